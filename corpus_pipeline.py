@@ -1,13 +1,52 @@
-"""Documents through quality, toxicity, near-duplicate, decontamination and packing stages."""
+"""Documents through quality, toxicity, near-duplicate, decontamination and packing stages.
+
+Each stage works on what the one before has kept. All but the last return the columns of
+``documents``; the last returns the pieces of packed sequences. SQL cannot express the stages
+that learn, so the tests hold ``run`` against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidencia.llm import decontaminate, minhash, packing, quality, queries, toxicity
+from evidencia.llm.common import shared_folder, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one_each(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(docs, queries.tokenizer_path(), queries.MAX_TOKENS)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
 
-STAGES: list = []
+STAGES = [("quality", good_quality), ("toxicity", civil), ("near-duplicates", one_of_each), ("decontamination", uncontaminated), ("packing", packed)]
 
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The last stage's rows; what each stage returns is a table in the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
