@@ -56,10 +56,12 @@ def tokens(text: Column, least: int = 3, stop: list[str] | None = None) -> Colum
 
 
 def priority_rank(priority: Column) -> Column:
-    """4 to 1 by the first word that occurs, else 0."""
+    """4 to 1 by the first word that occurs (the short forms must be all of it), else 0."""
     p = F.lower(F.coalesce(priority, F.lit("")))
-    has = lambda *words: F.lit(False) if not words else p.rlike("|".join(words))
-    return F.when(has("crit", "p0"), 4).when(has("high", "p1"), 3).when(has("med", "p2"), 2).when(has("low", "p3"), 1).otherwise(0)
+    out = F.when(p.contains("crit") | (p == "p0"), 4)
+    for rank, word, short in ((3, "high", "p1"), (2, "med", "p2"), (1, "low", "p3")):
+        out = out.when(p.contains(word) | (p == short), rank)
+    return out.otherwise(0)
 
 
 def extension(path: Column) -> Column:

@@ -44,7 +44,7 @@ STRENGTHS = ["hard", "reviewed", "framework-derived", "candidate", "weak"]
 GAP_EVIDENCE = ["none", "weak", "covered"]
 LAYERS = ["unit", "component", "integration", "api", "e2e", "manual", "unknown"]
 TIERS = ["proven", "runtime", "associated", "candidate", "none"]
-STATUSES = ["No integration signal", "Candidate signal", "Associated", "Generated-unverifiable", "Runtime-covered", "Proven", "Reproven"]
+STATUSES = ["No integration signal", "Candidate signal (unconfirmed)", "Associated signal", "Generated-unverifiable", "Runtime-covered", "Proven", "Reproven (this run)"]
 BEHAVIORS = ["Requirement", "UserFlow", "BusinessRule"]
 HARD_TYPES = ["TESTED_BY", "COVERS"]
 WEAK_TYPES = ["MAY_BE_TESTED_BY", "MAY_COVER"]
@@ -53,4 +53,7 @@ SIGNAL_TYPES = ["MAY_RELATE_TO", *WEAK_TYPES]
 
 def rank_of(value: Column, names: list[str]) -> Column:
     """A name's place in its order; after all for others."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, names)), value).cast("int"), F.lit(0)) + F.when(F.coalesce(value.isin(names), F.lit(False)), -1).otherwise(len(names))
+    out = F.when(value == names[0], 0)
+    for i, name in enumerate(names[1:], 1):
+        out = out.when(value == name, i)
+    return out.otherwise(len(names))
