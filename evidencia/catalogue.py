@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import evidence  # noqa: F401  registers its queries
+from .operators import evidence, graphs, ledger  # noqa: F401  each registers its queries
+from .plans import traceability  # noqa: F401
 
 
 def queries():
