@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import evidence, graphs, ledger  # noqa: F401  each registers its queries
-from .plans import traceability  # noqa: F401
+from .operators import evidence, graphs, ledger, merge  # noqa: F401  each registers its queries
+from .plans import risk, traceability  # noqa: F401
 
 
 def queries():

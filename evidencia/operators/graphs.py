@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +23,16 @@ DEPTH = 6
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """The frame cut from its lineage in the checkpoint folder; without one, as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """The frame cut from its lineage: written to the checkpoint folder that the cluster names,
+    or, in a session without one, to a temporary folder of this machine."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="evidencia-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def entry_point(file: Column, title: Column) -> Column:
@@ -49,16 +61,15 @@ def flow_depth(symbols: DataFrame, edges: DataFrame, entry_ids: DataFrame) -> Da
     """id and depth: calls from the nearest entry, six at most; without an entry, how many levels of callers there are.
 
     Callers are followed level by level; a node counts once in a walk, but for the start itself."""
-    calls = call_pairs(edges)
+    calls = shared(call_pairs(edges))
     starts = symbols.select(F.col("external_id").alias("id"))
     is_entry = entry_ids.select(F.col("id").alias("node"), F.lit(True).alias("entry"))
     zero = starts.join(entry_ids, "id", "left_semi").select("id", F.lit(0).alias("depth"))
     open_ = starts.join(entry_ids, "id", "left_anti")
-    frontier = open_.join(calls, open_.id == calls.callee).select("id", F.col("caller").alias("node"))
+    frontier = shared(open_.join(calls, open_.id == calls.callee).select("id", F.col("caller").alias("node")))
     seen = frontier
     levels, found = [], [zero]
     for depth in range(1, DEPTH + 1):
-        frontier = shared(frontier)
         levels.append(frontier.select("id").distinct().withColumn("depth", F.lit(depth)))
         hit = frontier.join(is_entry, "node").select("id").distinct()
         found.append(hit.withColumn("depth", F.lit(depth)))
@@ -66,7 +77,7 @@ def flow_depth(symbols: DataFrame, edges: DataFrame, entry_ids: DataFrame) -> Da
             break
         rest = frontier.join(hit, "id", "left_anti")
         after = rest.join(calls, rest.node == calls.callee).select("id", F.col("caller").alias("node")).distinct()
-        frontier = after.join(seen, ["id", "node"], "left_anti")
+        frontier = shared(after.join(seen, ["id", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     reached = found[0]
     for f in found[1:]:

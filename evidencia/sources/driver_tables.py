@@ -39,11 +39,11 @@ RELATIONS: dict[str, str] = {
         select c_custkey as k, case when c_custkey % 3 = 0 then 'REQ-' else 'flow:' end || cast(c_custkey as varchar(20)) as external_id, case when c_custkey % 3 = 0 then 'Requirement' else 'UserFlow' end as kind, c_name as title, o.priority, c_custkey % 4 = 0 as inline_criteria
         from {customer} left join (select o_custkey, max_by(o_orderpriority, o_orderkey) as priority from {orders} group by o_custkey) o on o_custkey = c_custkey""",
     "nodes": """
-        select k as ord, external_id, 'CodeSymbol' as kind, title, file, name, member_of, start_line, end_line, cast(null as varchar(20)) as layer, cast(null as varchar(20)) as priority, false as inline_criteria, eligible, reason, stale, 'code_export' as behavior_source, 0.9 as confidence from {symbols}
-        union all select 10000000 + k, external_id, 'TestCase', title, file, null, null, null, null, layer, null, false, false, null, false, null, 0.9 from {tests}
-        union all select 20000000 + k, external_id, kind, title, null, null, null, null, null, null, priority, inline_criteria, true, null, false, case when kind = 'Requirement' then 'requirement_template' else 'test_inferred' end, 0.8 from {behaviors}
-        union all select 30000000 + min(k), file, 'File', file, file, null, null, null, null, null, null, false, false, null, false, null, 1.0 from {symbols} group by file
-        union all select 40000000 + k, 'AC-' || cast(k as varchar(20)), 'AcceptanceCriterion', title, null, null, null, null, null, null, null, false, false, null, false, null, 0.8 from {behaviors} where k % 6 = 0""",
+        select k as ord, external_id, 'CodeSymbol' as kind, title, file, name, member_of, start_line, end_line, cast(null as varchar(20)) as layer, cast(null as varchar(20)) as priority, false as inline_criteria, eligible, reason, stale, 'code_export' as behavior_source, cast(0.9 as double) as confidence from {symbols}
+        union all select 10000000 + k, external_id, 'TestCase', title, file, null, null, null, null, layer, null, false, false, null, false, null, cast(0.9 as double) from {tests}
+        union all select 20000000 + k, external_id, kind, title, null, null, null, null, null, null, priority, inline_criteria, true, null, false, case when kind = 'Requirement' then 'requirement_template' else 'test_inferred' end, cast(0.8 as double) from {behaviors}
+        union all select 30000000 + min(k), file, 'File', file, file, null, null, null, null, null, null, false, false, null, false, null, cast(1.0 as double) from {symbols} group by file
+        union all select 40000000 + k, 'AC-' || cast(k as varchar(20)), 'AcceptanceCriterion', title, null, null, null, null, null, null, null, false, false, null, false, null, cast(0.8 as double) from {behaviors} where k % 6 = 0""",
     "symbol_tests": """
         select l_partkey as p, l_suppkey as s, case when min(l_linestatus) = 'F' then 'hard' else 'reviewed' end as strength from {lineitem} where l_returnflag = 'R' and l_orderkey % 20 = 0 group by l_partkey, l_suppkey""",
     "behavior_tests": """
