@@ -195,11 +195,11 @@ RISK_SQL = (
     head as (select max(ts) as head from commits), churned as (select file, sum(case when ts >= head - interval 180 days then adds + dels else 0 end) as churn, epoch(max(head)) - epoch(min(ts)) < 30 * 86400 as is_new from commits, head group by file),
     sizes as (select file, count(*) as n, sum(greatest(span, 1)) as total from universe group by file), imports as (select to_id as file, count(*) as n from edges where type = 'IMPORTS' group by to_id), calls_in as (select to_id as id, count(*) as n from edges where type = 'CALLS' group by to_id), calls_out as (select caller as id, count(*) as n from pairs group by caller),
     leads as (select from_id as id from candidates where type <> 'MAY_CALL' and not ai_suggested union select to_id from candidates where type <> 'MAY_CALL' and not ai_suggested),
-    parts as (select u.*, coalesce(c.churn, 0) * (greatest(u.span, 1)::double / s.total) as own_churn, coalesce(c.is_new, false) as is_new, coalesce(ci.n, 0) + coalesce(i.n::double / s.n, 0.0::double) as refs, coalesce(co.n, 0) as fan_out,
+    pieces as (select u.*, coalesce(c.churn, 0) * (greatest(u.span, 1)::double / s.total) as own_churn, coalesce(c.is_new, false) as is_new, coalesce(ci.n, 0) + coalesce(i.n::double / s.n, 0.0::double) as refs, coalesce(co.n, 0) as fan_out,
         case when u.id in (select id from entries) then 0 else coalesce(h.depth, d.depth, 0) end as depth, case when u.id in (select id from confirming) then 5 when u.id in (select id from leads) then 8 else 10 end as difficulty,
         case when u.id in (select id from entries) or regexp_matches(u.file, '(^|/)(services?|controllers?|handlers?|modules?)/') then 4 else 2 end as route_weight, 1 as sensitivity
         from universe u join sizes s using (file) left join churned c using (file) left join imports i using (file) left join calls_in ci on ci.id = u.id left join calls_out co on co.id = u.id left join hits h on h.id = u.id left join deepest d on d.id = u.id),
-    raws as (select *, greatest(0, 5 - depth) as flow_position, own_churn * 0.35::double + fan_out * 0.3::double + case when is_new then 15 else 0 end + span * 0.2::double as rp, refs * 0.3::double + route_weight * 0.3::double + greatest(0, 5 - depth) * 0.2::double + sensitivity * 0.2::double as ri from parts),
+    raws as (select *, greatest(0, 5 - depth) as flow_position, own_churn * 0.35::double + fan_out * 0.3::double + case when is_new then 15 else 0 end + span * 0.2::double as rp, refs * 0.3::double + route_weight * 0.3::double + greatest(0, 5 - depth) * 0.2::double + sensitivity * 0.2::double as ri from pieces),
     ends as (select min(rp) as lp, max(rp) as hp, min(ri) as li, max(ri) as hi from raws),
     normal as (select *, case when lp = hp then 5.0::double else 1 + ((rp - lp) / (hp - lp)) * 9 end as p, case when li = hi then 5.0::double else 1 + ((ri - li) / (hi - li)) * 9 end as i from raws, ends),
     risk as (select id, title, file, floor((case when floor(refs * 10 + 0.5) / 10 = 0 and fan_out = 0 then floor(p * i * difficulty * 10 + 0.5) / 10 * 0.25::double else floor(p * i * difficulty * 10 + 0.5) / 10 end) * 10 + 0.5) / 10 as score, floor(refs * 10 + 0.5) / 10 as refs, floor(own_churn + 0.5)::bigint as churn, id in (select id from entries) as entry_point,
@@ -218,7 +218,7 @@ def _risk_ranking(g: Graph) -> DataFrame:
     return rank_risks(g)
 
 
-@query("legacy_risk", RELATIONS, RISK_SQL + ", whole as (select file, sum(case when ts >= head - interval 180 days then adds + dels else 0 end) as churn from commits, head group by file) select p.id, floor((p.refs * 0.4::double + least(coalesce(w.churn, 0), 500) * 0.4::double + case when p.id in (select id from entries) then 20 else 0 end) * 10 + 0.5) / 10 as score from parts p left join whole w using (file)")
+@query("legacy_risk", RELATIONS, RISK_SQL + ", whole as (select file, sum(case when ts >= head - interval 180 days then adds + dels else 0 end) as churn from commits, head group by file) select p.id, floor((p.refs * 0.4::double + least(coalesce(w.churn, 0), 500) * 0.4::double + case when p.id in (select id from entries) then 20 else 0 end) * 10 + 0.5) / 10 as score from pieces p left join whole w using (file)")
 def _legacy(g: Graph) -> DataFrame:
     symbols = untested(g.nodes, g.edges, g.ledger)
     rows = symbols.withColumnRenamed("external_id", "id").join(references(symbols, g.edges), "id").join(file_churn(g.commits), "file", "left")
