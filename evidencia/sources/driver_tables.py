@@ -80,7 +80,7 @@ RELATIONS: dict[str, str] = {
         select file as rel_path, 'h' || cast(k as varchar(20)) || case when k % 7 = 0 then 'x' else '' end as hash from {file_keys} where k % 11 <> 0
         union all select 'src/new/' || lower(replace(r_name, ' ', '-')) || '.ts', 'n' || cast(r_regionkey as varchar(20)) from {region}""",
     "generated": """
-        select o_orderkey as ord, 'gen:' || cast(o_orderkey as varchar(20)) as test_id, l_linenumber as place, case when o_orderkey % 9 = 0 then 'sym:missing#' || cast(l_partkey as varchar(20)) else s.external_id end as entity_id, o_orderkey % 2 = 0 as runnable, o_orderkey % 40 as bucket_no, o_orderdate as created_at
+        select o_orderkey as ord, 'gen:' || cast(o_orderkey as varchar(20)) as test_id, l_linenumber as place, case when o_orderkey % 9 = 0 then 'sym:missing#' || cast(l_partkey as varchar(20)) else s.external_id end as entity_id, o_orderkey % 3 = 0 as runnable, o_orderkey % 40 as bucket_no, o_orderdate as created_at
         from {orders} join {lineitem} on l_orderkey = o_orderkey join {symbols} s on s.k = l_partkey where o_orderkey % 40 = 3""",
     "pings": """
         select event_id as id, event_type as lang, case when value < 10 then '0-10' when value < 50 then '10-50' when value < 100 then '50-100' else '100+' end as file_bucket, event_id % 2 as has_byok, value as duration, cast(user_id % 5 as varchar(20)) as version, ts from {events}""",

@@ -1,0 +1 @@
+"""Continuous forms of the telemetry and ledger queries."""
