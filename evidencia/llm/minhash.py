@@ -8,8 +8,10 @@ a batch advance together, and a document leaves when its largest value is below
 
 Documents with equal sets are one class from the start. Classes that agree in a band are
 candidates: each with the smallest and the largest class of its bucket, then, in buckets that
-still hold several components, with members of the others. Candidates are confirmed on their
-full sets. Links make components.
+still hold several components, with members of the others. In buckets of up to ``SMALL`` classes
+those are pairs; large ones that share classes are joined to one group, and in it the classes
+outside the largest component meet all others, block by block, where only links between
+components come out. All candidates are confirmed on their full sets. Links make components.
 
 Null and empty texts have the empty set: they link with nothing. A row without a doc_id is kept. A text of fewer than ``k``
 words has its whole sequence as its one shingle. Rows that repeat a doc_id are one node and each
@@ -30,6 +32,10 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Elements whose permutations are held at once.
 HELD = 60_000
+#: Classes of a bucket that are compared pair by pair.
+SMALL = 40
+#: Shingles of a block, about; and columns of the matrix that counts common ones.
+BLOCK, COLUMNS = 50_000, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,15 +124,22 @@ def sign(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(signed, "doc_id long, n long, key_a long, key_b long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def full_sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """id and the bytes of its shingles, for the given ids."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
-    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def cut_up(batches):
         for b in batches:
             yield batch(schema, id=b.column(0), shingles=[shingles(t.as_py(), k).tobytes() for t in b.column(1)])
 
+    texts = documents.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id", "left_semi")
+    return cut(texts.mapInArrow(cut_up, "id long, shingles binary"))
+
+
+def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
     def compared(batches):
         for b in batches:
             good = []
@@ -140,12 +153,57 @@ def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
             yield batch(linked, a=b.column(0), b=b.column(1)).filter(pa.array(good, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id", "left_semi")
-    sets = cut(texts.mapInArrow(cut_up, "id long, shingles binary"))
+    sets = full_sets(ids, documents, k)
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(compared, "a long, b long")
 
 
+def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of xs has in common with each of ys."""
+    sizes = [len(s) for s in xs + ys]
+    _, column = np.unique(np.concatenate(xs + ys), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        dense = np.zeros((len(sizes), COLUMNS), np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        out += dense[: len(xs)] @ dense[len(xs) :].T
+    return out.astype(np.int64)
+
+
+def across_components(rest: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components within groups of classes (group, rep, n, label), at least one where there are any."""
+    sums = rest.groupBy("group", "label").agg(F.count("*").alias("classes"), F.sum("n").alias("n"))
+    groups = cut(sums.groupBy("group").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"), F.max_by("n", F.struct("classes", "label")).alias("largest_n"), F.sum("n").alias("all_n")))
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = rest.join(groups, "group").select("group", "rep", "label", (F.col("label") != F.col("largest")).alias("apart"), of(F.col("all_n") - F.col("largest_n")).alias("apart_blocks"), of(F.col("all_n")).alias("all_blocks"))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    as_apart = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda i: F.struct(own(F.col("apart_blocks")).alias("x"), i.alias("y"), F.lit(True).alias("is_x"))))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("apart_blocks") - 1), lambda i: F.struct(i.alias("x"), own(F.col("all_blocks")).alias("y"), F.lit(False).alias("is_x")))
+    none = F.array().cast("array<struct<x:int,y:int,is_x:boolean>>")
+    sets = full_sets(rest.select(F.col("rep").alias("id")).distinct(), documents, k)
+    dealt = placed.join(sets, F.col("rep") == F.col("id")).select("group", "rep", "label", "shingles", F.explode(F.concat(F.coalesce(as_apart, none), as_any)).alias("at")).select("group", "rep", "label", "shingles", "at.*")
+    linked = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(rows: pa.Table) -> pa.Table:
+        rep, label, is_x = (np.array(rows.column(c)) for c in ("rep", "label", "is_x"))
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in rows.column("shingles")]
+        x, y = np.nonzero(is_x)[0], np.nonzero(~is_x)[0]
+        found: dict = {}
+        if len(x) and len(y):
+            both = common([sets[i] for i in x], [sets[j] for j in y])
+            n = np.array([len(s) for s in sets])
+            good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (label[x][:, None] != label[y][None, :])
+            for i, j in zip(*np.nonzero(good)):
+                found.setdefault((label[x[i]], label[y[j]]), (rep[x[i]], rep[y[j]]))
+        return pa.table({"a": [int(a) for a, _ in found.values()], "b": [int(b) for _, b in found.values()]}, schema=linked)
+
+    return dealt.groupBy("group", "x", "y").applyInArrow(compared, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = 26, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = cut(sign(documents, k, bands, rows))
@@ -163,15 +221,25 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
 
     found = connected_components(links)
     label = F.coalesce("component", "rep")
-    labelled = placed.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", label.alias("label"))
+    labelled = placed.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "size", "low", "rep", "n", label.alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
     rest = cut(labelled.join(mixed, "band"))
-    x, y = rest.alias("x"), rest.alias("y")
+    few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
+    x, y = few.alias("x"), few.alias("y")
     fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = cut(across.join(tested, ["a", "b"], "left_anti"))
+    found_more = []
     if not more.isEmpty():
-        links = links.unionByName(cut(confirm(more, documents, k, percent)))
+        found_more.append(cut(confirm(more, documents, k, percent)))
+    if not many.isEmpty():
+        grouped = connected_components(many.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+        group = F.coalesce("component", "rep").alias("group")
+        classes_in = many.select("rep", "n", "label").distinct().join(grouped, F.col("rep") == F.col("node"), "left").select(group, "rep", "n", "label")
+        found_more.append(cut(across_components(cut(classes_in), documents, k, percent)))
+    if found_more:
+        for f in found_more:
+            links = links.unionByName(f)
         found = connected_components(links)
 
     rows_out = members.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -185,7 +185,11 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_a_hub_joins_texts_that_agree_in_a_band_alone(spark):
+@pytest.mark.parametrize("small", [2, 1000])
+def test_a_hub_joins_texts_that_agree_in_a_band_alone(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 1500)
+    monkeypatch.setattr(minhash, "COLUMNS", 512)
     base = prose(77, 160)
     texts = [edited(base, i, 150 - i) for i in range(1, 60)] + [base]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, texts), 4).collect())
