@@ -1,7 +1,40 @@
-"""DuckDB SQL for the queries that SQL can express over whole tables."""
+"""DuckDB SQL for the queries that SQL can express over whole tables.
+
+The others learn, tokenise or report a method's own finds; the tests hold them against
+brute-force versions.
+"""
 
 from __future__ import annotations
 
+URL_FILTER = """
+with rules(host, path, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+parts as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as n from pages),
+hits as (select n, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by n)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join hits using (n)"""
+
+CHAT_FORMAT = r"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+marked as (select *, lag(role) over w as before, lead(role) over w as after, replace(replace(text, '\', '\\'), '<|', '<\|') as escaped, replace(replace(role, '\', '\\'), '<|', '<\|') as shown from rows window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(length(escaped) + case when before = role then 8 else 9 + length(shown) + 8 end + case when after = role then 0 else 7 end)::bigint as formatted_chars
+from marked group by conv_id"""
+
+NEAR_VECTORS = """
+with recursive unit as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+pairs as (select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(id, low) as (select vec_id, vec_id from embeddings union select p.b, r.low from reach r join pairs p on p.a = r.id where r.low < p.b),
+low as (select id, min(low) as component_id from reach group by id), links as (select a as id, count(*) as n from pairs group by a)
+select l.id as vec_id, coalesce(k.n, 0) as n_links, l.component_id, l.id = l.component_id as kept from low l left join links k using (id)"""
+
+NEAR_DUPLICATES = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from words),
+each as (select doc_id, unnest(s) as g from sets), met as (select a.doc_id as a, b.doc_id as b, count(*) as n from each a join each b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+pairs as (select a, b from met join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+reach(id, low) as (select doc_id, doc_id from documents union select p.b, r.low from reach r join pairs p on p.a = r.id where r.low < p.b), low as (select id, min(low) as component_id from reach group by id)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join low on id = doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embedding_near_dedup": NEAR_VECTORS, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op6_url_filter": URL_FILTER, "op9_chat_format": CHAT_FORMAT}
