@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import coverage, evidence, graphs, ledger, merge, text  # noqa: F401  each registers its queries
+from .operators import coverage, evidence, graphs, ledger, merge, selection, text  # noqa: F401  each registers its queries
 from .plans import risk, traceability  # noqa: F401
 from .streaming import telemetry  # noqa: F401
 

@@ -65,8 +65,8 @@ def _fingerprint(g: Graph) -> DataFrame:
     return symbols.join(files, "file", "left").select("external_id", fingerprint(F.col("hash"), F.col("external_id"), F.col("member_of")).alias("fingerprint"))
 
 
-@query("run_ids", "ledger", "select target_id, 'run:' || lpad((row_number() over (partition by target_id order by idx))::varchar, 6, '0') as run_id, idx from ledger")
+@query("run_ids", "ledger", "select target_id, printf('run:%06d', row_number() over (partition by target_id order by idx)) as run_id, idx from ledger")
 def _run_ids(g: Graph) -> DataFrame:
     """Runs numbered within their target."""
     n = F.row_number().over(Window.partitionBy("target_id").orderBy("idx"))
-    return g.ledger.select("target_id", F.concat(F.lit("run:"), F.lpad(n.cast("string"), 6, "0")).alias("run_id"), "idx")
+    return g.ledger.select("target_id", F.format_string("run:%06d", n).alias("run_id"), "idx")

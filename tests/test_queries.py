@@ -114,3 +114,28 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     q.stop()
     plain = lambda df: sorted(map(tuple, df.collect()))
     assert plain(spark.table("hourly")) == plain(telemetry.hourly(stored))
+
+
+def test_file_scan_ignores_and_hashes(spark, tmp_path):
+    from evidencia.sources.files import scan_files
+
+    for name in ("a.ts", "src/b.ts", "node_modules/c.ts", "src/gen/d.ts", "src/e.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    rows = {r.rel_path: r.hash for r in scan_files(spark, str(tmp_path), ["src/gen", "*.log"]).collect()}
+    assert set(rows) == {"a.ts", "src/b.ts"} and len(set(rows.values())) == 2
+
+
+def test_pack_leaves_out_imports_and_secrets(spark, tmp_path):
+    from evidencia.sources.files import export_pack
+
+    g = Graph(spark, SMALL)
+    nodes = g.nodes.limit(5).withColumn("title", F.lit("ghp_" + "a" * 24))
+    export_pack(nodes, g.edges, str(tmp_path))
+    assert {r.title for r in spark.read.json(f"{tmp_path}/entities").collect()} == {"<redacted:github-token>"}
+    assert not {r.type for r in spark.read.json(f"{tmp_path}/relationships").collect()} & {"IMPORTS"}
+
+
+def test_markdown_lines_skip_fences(spark):
+    rows = text.markdown_lines(spark.createDataFrame([(1, "# A\n```\n# no\n```\n- x\n## B #\n* y")], "id long, text string")).where("bullet is not null").orderBy("line").collect()
+    assert [(r.under, r.bullet) for r in rows] == [("A", "x"), ("B", "y")]
