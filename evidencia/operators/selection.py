@@ -145,7 +145,7 @@ def csv_requirements(rows: DataFrame) -> DataFrame:
     """(file, line, behavior_name, acceptance_criteria) rows to requirements and their criteria; ids count rows with a name within their file."""
     named = rows.where(F.trim("behavior_name") != "")
     n = F.row_number().over(Window.partitionBy("file").orderBy("line"))
-    required = named.select("file", F.concat(F.format_string("REQ-%03d-", n), slug(F.col("behavior_name"))).alias("id"), F.filter(F.transform(F.split("acceptance_criteria", r"[;\n]"), F.trim), lambda x: x != "").alias("criteria"))
+    required = named.select("file", F.concat(F.format_string("REQ-%03d-", n), slug(F.col("behavior_name"))).alias("id"), F.filter(F.transform(F.split("acceptance_criteria", r"[;\n]"), lambda x: F.trim(x)), lambda x: x != "").alias("criteria"))
     return required.select("file", "id", F.posexplode_outer("criteria").alias("place", "criterion"))
 
 
