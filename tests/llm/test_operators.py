@@ -84,10 +84,34 @@ def test_reparameterised_item_is_caught_and_inconsistent_slots_are_not(spark):
 
 
 def plain_words(text):
+    import regex
+
     text = re.sub(r"[.,](?=[0-9])(?<=[0-9].)", "", (text or "").replace("\x01", " "))
-    named = re.sub(r"[A-Z](?=[a-z])", lambda m: "\x01" + m[0] if re.search(r"[a-z0-9,;] $", m.string[: m.start()]) else m[0], text)
-    words = re.findall(r"[^\W_\x00]+|[a-z\x01]+", named.lower().replace("_", " ")) if False else [w for w in re.split(r"[^a-z0-9\x01]+", named.lower()) if w]
-    return words, [2 if w[0] == "\x01" else 1 if w[0].isdigit() else 3 if w in decontaminate.UNITS else w for w in words]
+    named = regex.sub(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}(?=\p{Ll})", lambda m: "\x01" + m[0], text)
+    words = [w for w in regex.split(r"[^\p{L}\p{N}\x01]+", named.lower()) if w]
+    return words, [2 if w[0] == "\x01" else 1 if "0" <= w[0] <= "9" else 3 if w in decontaminate.UNITS else w for w in words]
+
+
+def brute_contaminated(texts, items):
+    """(document, item, windows) by the definition, over two dictionaries of texts."""
+    w, want = decontaminate.WINDOW, set()
+    split = {d: plain_words(t) for d, t in texts.items()}
+    for i, b in items.items():
+        bw, bk = plain_words(b)
+        where = {}
+        for q in range(len(bk) - w + 1):
+            where.setdefault(tuple(bk[q : q + w]), []).append(q)
+        for d, (dw, dk) in split.items():
+            shifts = {}
+            for p in range(len(dk) - w + 1):
+                for q in where.get(tuple(dk[p : p + w]), ()):
+                    places, slots = shifts.setdefault(p - q, (set(), set()))
+                    places.add(q)
+                    slots |= {(bw[q + j], dw[p + j]) for j in range(w) if isinstance(bk[q + j], int)}
+            places = set().union(*(p for p, s in shifts.values() if len(s) == len({x for x, _ in s})), set())
+            if len(bk) >= w and places and (len(places) >= decontaminate.LEAST_SHARE * (len(bk) - w + 1) or len(places) >= decontaminate.LEAST_WINDOWS):
+                want.add((d, i, len(places)))
+    return want
 
 
 def test_decontamination_matches_brute_force(spark):
@@ -97,19 +121,7 @@ def test_decontamination_matches_brute_force(spark):
     items = [text(14) for _ in range(6)]
     texts = [text(30) + " " + (items[i % 6].replace("Anna", "Zoe") if i % 2 else "") + " " + text(20) for i in range(40)]
     got = {(x.doc_id, x.item_id, x.n_windows) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
-    want = set()
-    w = decontaminate.WINDOW
-    for (d, t), (i, b) in itertools.product(enumerate(texts), enumerate(items)):
-        (dw, dk), (bw, bk) = plain_words(t), plain_words(b)
-        shifts = {}
-        for p, q in itertools.product(range(len(dk) - w + 1), range(len(bk) - w + 1)):
-            if dk[p : p + w] == bk[q : q + w]:
-                places, slots = shifts.setdefault(p - q, (set(), set()))
-                places.add(q)
-                slots |= {(bw[q + j], dw[p + j]) for j in range(w) if isinstance(bk[q + j], int)}
-        places = set().union(*(p for p, s in shifts.values() if len(s) == len({x for x, _ in s})), set())
-        if len(places) >= decontaminate.LEAST_SHARE * (len(bk) - w + 1) or len(places) >= decontaminate.LEAST_WINDOWS:
-            want.add((d, i, len(places)))
+    want = brute_contaminated(dict(enumerate(texts)), dict(enumerate(items)))
     assert got == want and want
 
 
