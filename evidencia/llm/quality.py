@@ -29,6 +29,8 @@ UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 DIGITS = b"0123456789"
 ALL = bytes(range(256))
+#: Words of plain text that each share is smoothed by, so that a text of few words is no outlier.
+SMOOTH = 20
 #: Standard deviations beyond which a statistic counts as this far.
 REACH = 4.0
 
@@ -55,21 +57,22 @@ def statistics(text: bytes) -> list[float]:
         counts[w] = counts.get(w, 0) + 1
     lines = [x for x in text.split(b"\n") if x]
     upper, lower = count(NOT_UPPER), count(NOT_LOWER)
+    m, letters = n + SMOOTH, upper + lower + 5 * SMOOTH
     return [
         math.log1p(n),
-        math.log(sum(map(len, words)) / n),
-        math.log1p(10 * count(NOT_MARKS) / n),
-        math.log1p(10 * text.count(b"|") / n),
-        math.log1p(10 * text.count(b"!") / n),
-        math.sqrt(upper / (upper + lower + 1)),
-        math.sqrt(count(NOT_DIGITS) / size),
-        math.sqrt(count(NOT_BEYOND) / size),
-        math.log(len(counts)) / math.log(n + 1),
-        math.sqrt((max(counts.values()) - 1) / n),
-        math.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0.0,
+        math.log((sum(map(len, words)) + 6 * SMOOTH) / m),
+        math.log1p(10 * count(NOT_MARKS) / m),
+        math.log1p(10 * text.count(b"|") / m),
+        math.log1p(10 * text.count(b"!") / m),
+        math.sqrt((upper + 0.1 * SMOOTH) / letters),
+        math.sqrt(count(NOT_DIGITS) / (size + 6 * SMOOTH)),
+        math.sqrt(count(NOT_BEYOND) / (size + 6 * SMOOTH)),
+        math.log(len(counts) + SMOOTH) / math.log(m),
+        math.sqrt((max(counts.values()) - 1) / m),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 5)),
         math.log1p(n / max(1, len(lines))),
-        math.log1p(10 * (text.count(b".") + text.count(b",")) / n),
-        math.log(max(map(len, counts))),
+        math.log1p(10 * (text.count(b".") + text.count(b",") + 0.15 * SMOOTH) / m),
+        math.log(max(6, *map(len, counts))),
     ]
 
 
