@@ -1,19 +1,21 @@
 """LM scoring by prediction by partial matching.
 
 A text is its tokens: each word's bytes and a closing blank, and one end sign at last. A byte is
-predicted in the context of up to ``order`` bytes before it within its word, the blank before
-the word included. The trie of contexts holds the bytes seen after each. In a context with T
+predicted in the context of up to ``ORDER`` bytes before it: with ``across`` the bytes of the
+whole text (from a blank before its first word on), else those of its word, the blank before it
+included. The trie of contexts holds the bytes seen after each. In a context with T
 occurrences of d distinct bytes, one of them with count c has probability c / (T + d); else the
 prediction escapes, with probability d / (T + d), to the context that is one byte shorter, where
 bytes already seen in the longer one are excluded (method C with symbol exclusion). What no
-context has seen is equally likely among the bytes left. A token's code length depends on the
-token alone, so it is worked out once for each distinct word of the corpus.
+context has seen is equally likely among the bytes left.
 
-Words are counted over the whole corpus, and every distinct word adds to the trie with its
-training count. The trie goes to all executors: the highest order up to ``ORDER`` is taken at
-which it has ``TRIE_LIMIT`` entries at most; order 1 needs 2**16 at most. Words of the texts
-find their code lengths in a broadcast table of the ``FREQUENT`` most frequent words, all others
-in a join.
+A byte's code length depends on its window alone, which is its context and itself, so it is worked
+out once for each distinct window of the corpus. Windows are counted over the whole corpus and
+never gathered: all that agree in the last ``LOW`` + 1 bytes of the context lie in one partition,
+which builds the higher orders of their trie; only the orders up to ``LOW`` (2**24 entries at most,
+by the alphabet and not by the corpus) go to all executors. Order ``ORDER`` so holds at every
+size. Words are counted for the base score. Texts find the most frequent words and windows in
+broadcast tables of fixed size, all others in a join.
 
 Null text counts as empty: the end sign alone. Without training texts every byte is equally
 likely, and the base score is 0 for want of a vocabulary (N = V = 0). Repeated rows each get
@@ -22,6 +24,7 @@ their row, and count in training each time.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -29,15 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut, remainder, row_base, text_bytes
+from .common import arrow_ready, batch, cut, remainder, row_base, shared_folder, text_bytes
 
 ORDER = 6
-TRIE_LIMIT = 8_000_000
+#: The highest order that all executors hold.
+LOW = 2
 FREQUENT = 65_536
+#: Places for windows in the broadcast table, for each frequent word.
+SLOTS = 128
 #: The words' closing sign, and the sign of a text's end; neither byte occurs in a word.
 CLOSE, END = 0x20, 0x0A
 #: Distinct words that a task gathers before it hands them on.
 GATHER = 400_000
+#: Windows that a task holds before it merges or scores them, and bytes of text taken at once.
+HOLD, CHUNK = 2_000_000, 1_000_000
 
 
 def word_counts(documents: DataFrame, mod: int, held: int) -> DataFrame:
@@ -67,19 +75,39 @@ def word_counts(documents: DataFrame, mod: int, held: int) -> DataFrame:
     return rows.mapInArrow(counted, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
-def byte_windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte to predict: the bytes up to it packed in a number (the lowest is the byte itself),
-    how many stand before it in its word (``order`` at most), and the number of its word."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64) if words else np.array([], np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths)
+def text_windows(texts: list[bytes], order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The window (depth and last bytes, as an entry) of every byte to predict, and the number of its text.
+    Texts are words with single blanks between."""
+    flat = np.frombuffer(b"".join(b" %b \n" % t if t else b" \n" for t in texts), np.uint8)
+    lengths = np.fromiter((len(t) + 3 if t else 2 for t in texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(flat))
     start = np.cumsum(lengths) - lengths
-    depth = np.minimum(np.arange(len(flat)) - start[owner] + 1, order)
-    padded = np.concatenate([np.full(order, CLOSE, np.int64), flat])
+    if across:
+        depth = place - start[owner]
+    else:
+        blank = np.maximum.accumulate(np.where(flat == CLOSE, place, 0))
+        depth = np.append(0, place[1:] - blank[:-1])
+    depth = np.minimum(depth, order)
+    padded = np.concatenate([np.zeros(order, np.int64), flat])
     packed = np.zeros(len(flat), np.int64)
     for k in range(order, -1, -1):
         packed = packed << 8 | padded[order - k : order - k + len(flat)]
-    return packed, depth, owner
+    predicted = np.ones(len(flat), bool)
+    predicted[start] = False
+    return entry(packed[predicted], depth[predicted]), owner[predicted]
+
+
+def chunks(texts: list[bytes]):
+    """(first, end) of runs of texts of about ``CHUNK`` bytes."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def entry(packed: np.ndarray, order: int | np.ndarray) -> np.ndarray:
@@ -87,21 +115,132 @@ def entry(packed: np.ndarray, order: int | np.ndarray) -> np.ndarray:
     return np.int64(1) * order << 56 | packed & ((np.int64(1) << 8 * (np.int64(1) * order + 1)) - 1)
 
 
-def trie_entries(words: DataFrame, order: int) -> DataFrame:
-    """entry and training count, for all orders."""
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the sums of their counts."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(c[by], first) if len(first) else c for c in counts)
+
+
+def window_counts(documents: DataFrame, mod: int, held: int, across: bool) -> DataFrame:
+    """window and training count (0 if only held-out texts have it) of every distinct window."""
+    schema = pa.schema([("window", pa.int64()), ("c", pa.int64())])
+
+    def counted(batches):
+        merged = (np.zeros(0, np.int64),) * 2
+        waiting, size = [], 0
+
+        def merge():
+            return summed(*(np.concatenate(x) for x in zip(merged, *waiting)))
+
+        def given():
+            for at in range(0, len(merged[0]), 100_000):
+                yield batch(schema, **{n: x[at : at + 100_000] for n, x in zip(schema.names, merged)})
+
+        for b in batches:
+            out = np.array(b.column(1).to_pylist(), bool)
+            texts = [b" ".join(t.as_py().lower().split()) for t in b.column(0)]
+            for first, end in chunks(texts):
+                found, owner = text_windows(texts[first:end], ORDER, across)
+                outside = out[first:end][owner]
+                for part, weight in ((found[~outside], 1), (found[outside], 0)):
+                    keys, n = np.unique(part, return_counts=True)
+                    waiting.append((keys, n * weight))
+                    size += len(keys)
+                if size > HOLD:
+                    merged = merge()
+                    waiting, size = [], 0
+                    if len(merged[0]) > 2 * HOLD:
+                        yield from given()
+                        merged = (np.zeros(0, np.int64),) * 2
+        merged = merge()
+        yield from given()
+
+    rows = documents.select(text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
+    return rows.mapInArrow(counted, "window long, c long").groupBy("window").agg(F.sum("c").alias("c"))
+
+
+def orders(windows: np.ndarray, counts: np.ndarray, lowest: int, highest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trie's entries of some orders, with their counts."""
+    found = []
+    for k in range(lowest, highest + 1):
+        deep = (windows >> 56 >= k) & (counts > 0)
+        found.append(summed(entry(windows[deep], k), counts[deep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def low_orders(windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the orders up to ``LOW``, of all windows."""
     schema = pa.schema([("entry", pa.int64()), ("n", pa.int64())])
 
     def counted(batches):
+        merged = (np.zeros(0, np.int64),) * 2
+        waiting = []
         for b in batches:
-            packed, depth, owner = byte_windows(b.column(0).to_pylist(), order)
-            weight = np.array(b.column(1))[owner]
-            for k in range(order + 1):
-                deep = depth >= k
-                keys, at = np.unique(entry(packed[deep], k), return_inverse=True)
-                yield batch(schema, entry=keys, n=np.bincount(at, weight[deep], len(keys)).astype(np.int64))
+            waiting.append(orders(np.array(b.column(0)), np.array(b.column(1)), 0, LOW))
+            if len(waiting) == 200:
+                merged = summed(*(np.concatenate(x) for x in zip(merged, *waiting)))
+                waiting = []
+        merged = summed(*(np.concatenate(x) for x in zip(merged, *waiting)))
+        yield batch(schema, entry=merged[0], n=merged[1])
+
+    found = windows.where("c > 0").select("window", "c").mapInArrow(counted, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    return np.array(found.column("entry"), np.int64), np.array(found.column("n"), np.int64)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder in compressed columns."""
+    folder = f"{shared_folder(df.sparkSession)}/windows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
 
-    trained = words.where("c > 0").select("word", "c")
-    return trained.mapInArrow(counted, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+def window_keys(windows: np.ndarray) -> pa.Array:
+    """Join keys that no word and no text can be."""
+    keys = np.full((len(windows), 9), CLOSE, np.uint8)
+    keys[:, 1:] = windows.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(windows), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+
+
+def slot(windows: np.ndarray, slots: int) -> np.ndarray:
+    return ((windows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(slots)).astype(np.int64)
+
+
+def scored_windows(windows: DataFrame, slots: int) -> DataFrame:
+    """window, training count, slot in the broadcast table and log10 probability of every distinct window."""
+    low = windows.sparkSession.sparkContext.broadcast(low_orders(windows))
+    schema = pa.schema([("window", pa.int64()), ("c", pa.int64()), ("slot", pa.int64()), ("score", pa.float64())])
+
+    def scored(batches):
+        held, size = [], 0
+
+        def flush(rows):
+            found, c = rows[0], rows[1]
+            high = orders(found, c, LOW + 1, ORDER)
+            trie = Trie(*(np.concatenate(x) for x in zip(low.value, high)), ORDER)
+            score = trie.log10(found & ((1 << 56) - 1), found >> 56)
+            for at in range(0, len(found), 100_000):
+                part = found[at : at + 100_000]
+                yield batch(schema, window=part, c=c[at : at + 100_000], slot=slot(part, slots), score=score[at : at + 100_000])
+
+        for b in batches:
+            held.append([np.array(b.column(i), np.int64) for i in range(3)])
+            size += b.num_rows
+            if size > HOLD // 2:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                whole = int(np.searchsorted(rows[2], rows[2][-1]))  # the last group may go on
+                if whole:
+                    yield from flush([x[:whole] for x in rows])
+                held = [[x[whole:] for x in rows]]
+                size = size - whole if whole else 0
+        if held:
+            yield from flush([np.concatenate(x) for x in zip(*held)])
+
+    # groups of windows whose contexts end alike; shorter contexts need no higher orders
+    group = F.shiftright("window", 8).bitwiseAND((1 << 8 * (LOW + 1)) - 1)
+    placed = windows.select("window", "c", group.alias("group")).repartition("group").sortWithinPartitions("group")
+    return placed.mapInArrow(scored, "window long, c long, slot long, score double")
 
 
 class Trie:
@@ -157,35 +296,12 @@ class Trie:
         out[open_] -= np.log10(np.maximum(256 - seen, 1))
         return out
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with its closing blank."""
-        packed, depth, owner = byte_windows(words, self.order)
-        keys, first, at = np.unique(entry(packed, depth), return_index=True, return_inverse=True)
-        return np.bincount(owner, self.log10(packed[first], depth[first])[at], len(words))
-
-    def end(self) -> float:
-        """log10 probability of the end sign at a word's start."""
-        return float(self.log10(np.array([CLOSE << 8 | END], np.int64), np.array([min(1, self.order)]))[0])
-
-
-def train(words: DataFrame, texts: int) -> Trie:
-    """The trie of all words with their training counts, and ``texts`` end signs."""
-    found = cut(trie_entries(words, ORDER))
-    sizes = {r.k: r.n for r in found.groupBy(F.shiftright("entry", 56).alias("k")).agg(F.count("*").alias("n")).collect()}
-    order = max((k for k in range(1, ORDER + 1) if sum(sizes.get(i, 0) for i in range(k + 1)) <= TRIE_LIMIT), default=1)
-    rows = found.where(F.shiftright("entry", 56) <= order).toArrow()
-    entries, counts = np.array(rows.column("entry")), np.array(rows.column("n"))
-    if texts:
-        ends = [entry(np.array([CLOSE << 8 | END], np.int64), k)[0] for k in range(min(1, order) + 1)]
-        entries, counts = np.concatenate([entries, ends]), np.concatenate([counts, [texts] * len(ends)])
-    return Trie(entries.astype(np.int64), counts, order)
-
 
 PARTS = pa.schema([("row", pa.int64()), ("key", pa.binary()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 PARTS_DDL = "row long, key binary, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def score_texts(documents: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
+def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = documents.sparkSession
     arrow_ready(spark)
@@ -193,55 +309,90 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     texts = documents.where(remainder("doc_id", mod) != held).count()
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + texts, v + (texts > 0)
-    model = train(words, texts)
-    trie = spark.sparkContext.broadcast(model)
     room = n + v + 1
 
     def base(c):
         return np.log10((np.asarray(c, np.float64) + 1) / room)
 
-    scored_schema = pa.schema([("key", pa.binary()), ("known", pa.int64()), ("word_base", pa.float64()), ("word_score", pa.float64())])
+    based_schema = pa.schema([("key", pa.binary()), ("known", pa.int64()), ("word_base", pa.float64()), ("word_score", pa.float64())])
 
-    def scored(batches):
+    def based(batches):
         for b in batches:
-            yield batch(scored_schema, key=b.column(0), known=(np.array(b.column(1)) > 0).astype(np.int64), word_base=base(np.array(b.column(1))), word_score=trie.value.score(b.column(0).to_pylist()))
+            yield batch(based_schema, key=b.column(0), known=(np.array(b.column(1)) > 0).astype(np.int64), word_base=base(np.array(b.column(1))), word_score=np.zeros(b.num_rows))
+
+    slots = SLOTS * FREQUENT
+    windows = stored(scored_windows(stored(window_counts(documents, mod, held, across)), slots))
+    best = windows.groupBy("slot").agg(F.max_by(F.struct("window", "score"), F.struct("c", "window")).alias("b")).select("b.window", "b.score").toArrow()
+    near = spark.sparkContext.broadcast((np.array(best.column("window"), np.int64), np.array(best.column("score"), np.float64)))
+    del best
+
+    def spread_out():
+        """Window (-1 if none) and score of every slot."""
+        placed, placed_score = np.full(slots, -1, np.int64), np.zeros(slots)
+        at = slot(near.value[0], slots)
+        placed[at], placed_score[at] = near.value
+        return placed, placed_score
 
     top = words.orderBy(F.desc("all"), "word").limit(FREQUENT).toArrow()
     top_words, top_counts = top.column("word").to_pylist(), np.array(top.column("c"), np.float64)
     frequent = spark.sparkContext.broadcast({w: i for i, w in enumerate(top_words)})
-    values = spark.sparkContext.broadcast(np.stack([np.append(top_counts > 0, 0), np.append(base(top_counts), 0), np.append(model.score(top_words), 0)]) if top_words else np.zeros((3, 1)))
-    end_base, end_score, end_known = float(base(texts)), model.end(), int(texts > 0)
-    del model, top, top_words, top_counts
+    values = spark.sparkContext.broadcast(np.stack([np.append(top_counts > 0, 0), np.append(base(top_counts), 0)]) if top_words else np.zeros((2, 1)))
+    end_base, end_known = float(base(texts)), int(texts > 0)
+    del top, top_words, top_counts
     pa.default_memory_pool().release_unused()
-    table = words.select("word", "c").mapInArrow(scored, "key binary, known long, word_base double, word_score double")
+    table = words.select("word", "c").mapInArrow(based, "key binary, known long, word_base double, word_score double")
+
+    def unplaced(batches):
+        placed, _ = spread_out()
+        for b in batches:
+            found = np.array(b.column(0), np.int64)
+            far = placed[np.array(b.column(1), np.int64)] != found
+            m = int(far.sum())
+            yield batch(based_schema, key=window_keys(found[far]), known=np.zeros(m, np.int64), word_base=np.zeros(m), word_score=np.array(b.column(2), np.float64)[far])
+
+    table = table.unionAll(windows.select("window", "slot", "score").mapInArrow(unplaced, "key binary, known long, word_base double, word_score double"))
 
     def parts(batches):
         known, where = values.value, frequent.value
+        placed = spread_out()
         row = row_base()
         none = known.shape[1] - 1
         for b in batches:
-            rows, keys, times, docs = [], [], [], []
-            for doc_id, text, out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                tokens = text.as_py().lower().split()
-                at = np.fromiter((where.get(w, none) for w in tokens), np.int64, len(tokens))
-                sums = known[:, at].sum(1)
-                if len(tokens) and (at == none).any():
-                    others = Counter(w for w, i in zip(tokens, at.tolist()) if i == none)
-                    rows += [row] * len(others)
-                    keys += others.keys()
-                    times += others.values()
-                docs.append((row, b" %d" % row, 1, doc_id, out, len(tokens) + 1, int(sums[0]) + end_known, sums[1] + end_base, sums[2] + end_score))
-                row += 1
-                if len(rows) > 100_000:
-                    yield from flush(rows, keys, times, docs)
-                    rows, keys, times, docs = [], [], [], []
-            yield from flush(rows, keys, times, docs)
-
-    def flush(rows, keys, times, docs):
-        m = len(rows)
-        nothing = {name: pa.nulls(m, PARTS.field(name).type) for name in PARTS.names[3:]}
-        yield batch(PARTS, row=rows, key=keys, times=times, **nothing)
-        yield batch(PARTS, **dict(zip(PARTS.names, map(list, zip(*docs)) if docs else [[]] * len(PARTS.names))))
+            ids, out = b.column(0).to_pylist(), b.column(2).to_pylist()
+            tokens = [t.as_py().lower().split() for t in b.column(1)]
+            joined = [b" ".join(t) for t in tokens]
+            for first, end in chunks(joined):
+                score, others = known_windows(joined[first:end], *placed)
+                rows, keys, times, docs = [], [], [], []
+                for i in range(first, end):
+                    at = np.fromiter((where.get(w, none) for w in tokens[i]), np.int64, len(tokens[i]))
+                    sums = known[:, at].sum(1)
+                    if len(at) and (at == none).any():
+                        rare = Counter(w for w, j in zip(tokens[i], at.tolist()) if j == none)
+                        rows += [row + i] * len(rare)
+                        keys += rare.keys()
+                        times += rare.values()
+                    docs.append((row + i, b" %d" % (row + i), 1, ids[i], out[i], len(at) + 1, int(sums[0]) + end_known, sums[1] + end_base, score[i - first]))
+                yield rest(rows, keys, times)
+                yield rest(others[0] + (row + first), window_keys(others[1]), others[2])
+                yield batch(PARTS, **dict(zip(PARTS.names, map(list, zip(*docs)))))
+            row += b.num_rows
+
+    def known_windows(joined, placed, placed_score):
+        """Each text's sum over the windows of the broadcast table; (text, window, times) of all others."""
+        found, owner = text_windows(joined, ORDER, across)
+        at = slot(found, slots)
+        hit = placed[at] == found
+        score = np.bincount(owner, np.where(hit, placed_score[at], 0.0), len(joined))
+        owner, found = owner[~hit], found[~hit]
+        by = np.lexsort((found, owner))
+        owner, found = owner[by], found[by]
+        new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+        return score, (owner[new], found[new], np.diff(new, append=len(found)))
+
+    def rest(rows, keys, times):
+        nothing = {name: pa.nulls(len(rows), PARTS.field(name).type) for name in PARTS.names[3:]}
+        return batch(PARTS, row=rows, key=keys, times=times, **nothing)
 
     taken = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
     # a document's own row carries a key that no word can be, so that both kinds of rows spread evenly

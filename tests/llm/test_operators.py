@@ -371,6 +371,17 @@ def test_scoring_matches_plain_ppm(spark, monkeypatch, frequent):
     assert scoring.score_texts(docs(spark, [])).count() == 0
 
 
+def test_scoring_keeps_order_6_whatever_the_size_of_the_trie(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TRIE_LIMIT", 100, raising=False)
+    texts = [prose(i, 30) for i in range(12)]
+    counts = {}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for w in " ".join(train).encode().split():
+        counts[w] = counts.get(w, 0) + 1
+    for r in scoring.score_texts(docs(spark, texts)).collect():
+        assert abs(r.score - ppm_log10(texts[r.doc_id].encode().split(), counts, len(train), 6)) < 1e-6
+
+
 # --- chat
 
 
