@@ -57,7 +57,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_texts(table(spark, sf_dir, "documents"))
+    return scoring.score_texts(table(spark, sf_dir, "documents"), across=True)
 
 
 #: A conversation of control strings (fixed values).

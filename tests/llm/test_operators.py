@@ -382,6 +382,50 @@ def test_scoring_keeps_order_6_whatever_the_size_of_the_trie(spark, monkeypatch)
         assert abs(r.score - ppm_log10(texts[r.doc_id].encode().split(), counts, len(train), 6)) < 1e-6
 
 
+def ppm_across_log10(texts, train, order):
+    """Plain PPM of whole texts by dictionaries: each text's score after training on some."""
+    stream = lambda t: b" " + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n"
+    tree = {}
+    for t in train:
+        seq = stream(t)
+        for i in range(1, len(seq)):
+            for k in range(min(order, i) + 1):
+                node = tree.setdefault(seq[i - k : i], {})
+                node[seq[i]] = node.get(seq[i], 0) + 1
+    for t in texts:
+        seq, total = stream(t), 0.0
+        for i in range(1, len(seq)):
+            gone = set()
+            for k in range(min(order, i), -1, -1):
+                whole = tree.get(seq[i - k : i])
+                if whole is None:
+                    continue
+                node = {s: n for s, n in whole.items() if s not in gone}
+                if seq[i] in node:
+                    total += np.log10(node[seq[i]] / (sum(node.values()) + len(node)))
+                    break
+                if node:
+                    total += np.log10(len(node) / (sum(node.values()) + len(node)))
+                gone |= set(whole)
+            else:
+                total -= np.log10(max(1, 256 - len(gone)))
+        yield total
+
+
+@pytest.mark.parametrize("frequent, hold", [(1, 500), (1000, 2_000_000)])
+def test_scoring_across_words_matches_plain_ppm_and_sees_word_order(spark, monkeypatch, frequent, hold):
+    monkeypatch.setattr(scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(scoring, "HOLD", hold)
+    monkeypatch.setattr(scoring, "CHUNK", 700)
+    texts = [prose(i, 30) for i in range(20)] + ["The THE the", None, "", "  a\tb\n", "ünïcode 中文", "\x01\x02 \x00", prose(1, 300)]
+    texts.append(" ".join(reversed(prose(3, 30).split())))
+    rows = {r.doc_id: r for r in scoring.score_texts(docs(spark, texts), across=True).collect()}
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i, want in enumerate(ppm_across_log10(texts, train, scoring.ORDER)):
+        assert abs(rows[i].score - want) < 1e-6, i
+    assert abs(rows[3].score - rows[len(texts) - 1].score) > 0.1
+
+
 # --- chat
 
 
