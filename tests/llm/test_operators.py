@@ -258,6 +258,20 @@ def test_deobfuscation_restores_words():
     assert restorer.words(b"")[0] == {}
 
 
+def test_deobfuscation_parts_spaced_words_and_takes_doubles_and_long_forms():
+    counts = {}
+    for w in ["idiot", "stupid", "moron", "are", "now", "you", "there", "water"] * 30:
+        for g in toxicity.grams(w):
+            counts[g] = counts.get(g, 0) + 1
+    found = lambda t: toxicity.Restorer(counts).words(t.encode())[0]
+    assert {"are", "idiot", "now"} <= set(found("are a i d i o t now"))
+    assert {"idiot", "moron"} <= set(found("i d i o t m o r o n"))
+    assert "idiot" in found("you iddiiott") and "idiot" in found("i i i d i o t")
+    assert {"idiot", "moron"} <= set(found("1d10t-m0r0n"))
+    assert {"idiot", "moron", "stupid"} <= set(found("-".join(["1d10t", "m0r0n", "$tup1d"] * 6)))
+    assert len(found("-".join(["1d10t", "w4ter"] * 20_000))) < 100
+
+
 def test_toxicity_learns_and_catches_disguises(spark):
     clean = [prose(i, 60) for i in range(60)]
     toxic = [prose(100 + i, 30) + " idiot " + prose(200 + i, 20) + " moron." for i in range(30)]
