@@ -3,9 +3,10 @@
 Numbers, names (capitalised words within a sentence) and units become typed placeholders, so
 an item asked again with other numbers or names keeps its template. Windows of ``WINDOW``
 template words of documents meet those of items in a hash join. Matches are gathered by
-alignment (the window's place in the document less that in the item); an alignment counts if
-each slot value of the item has one value there. A document is contaminated by an item if the
-windows of its good alignments make up ``LEAST_SHARE`` of the item's, or ``LEAST_WINDOWS``.
+alignment (the window's place in the document less that in the item). In an alignment, windows
+whose words equal the item's count; a window that differs in a slot counts if each of its slot
+values has one value in the whole alignment. A document is contaminated by an item if the
+windows that count make up ``LEAST_SHARE`` of the item's, or ``LEAST_WINDOWS``.
 
 Null and empty texts match nothing, as do items of fewer than ``WINDOW`` words. Rows that repeat
 a doc_id count as one document. Other columns are ignored; empty tables give no rows.
@@ -57,8 +58,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # within coalesce(), as a bare equation would become a join key that is cut out of every window
     same = F.coalesce(F.slice("keys", F.col("doc_place") + 1, WINDOW) == F.col("item_keys"), F.lit(False))
     aligned = met.where(same).select("doc_id", "item_id", "item_windows", "item_place", (F.col("doc_place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
-    runs = aligned.groupBy("doc_id", "item_id", "shift", "item_windows").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    good = runs.where("size(slots) = size(array_distinct(transform(slots, s -> s.item)))")
+    runs = aligned.groupBy("doc_id", "item_id", "shift", "item_windows").agg(F.collect_set(F.struct("item_place", "slots")).alias("met"))
+    pairs = runs.withColumn("pairs", F.expr("array_sort(array_distinct(flatten(transform(met, m -> m.slots))))"))
+    torn = pairs.withColumn("torn", F.expr("transform(filter(pairs, (s, i) -> i > 0 and get(pairs, i - 1).item = s.item), s -> s.item)"))
+    counted = torn.withColumn("met", F.expr("filter(met, m -> size(torn) = 0 or forall(m.slots, s -> s.item = s.doc) or not exists(m.slots, s -> array_contains(torn, s.item)))"))
+    good = counted.where("size(met) > 0").select("doc_id", "item_id", "item_windows", F.expr("transform(met, m -> m.item_place)").alias("places"), F.expr("array_distinct(flatten(transform(met, m -> m.slots)))").alias("slots"))
     found = good.groupBy("doc_id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
     share = F.col("n_windows") / F.col("item_windows")
     return found.where((share >= LEAST_SHARE) | (F.col("n_windows") >= LEAST_WINDOWS)).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), share.alias("share"), "n_slots")

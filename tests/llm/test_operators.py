@@ -125,6 +125,15 @@ def test_decontamination_matches_brute_force(spark):
     assert got == want and want
 
 
+def test_windows_that_equal_the_item_count_beside_an_inconsistent_slot(spark):
+    item = "the old keeper counted 12 boats at dawn and wrote the number down in a book before the tide came in and took 12 away"
+    texts = [item[:-7] + "13 away", item.replace("12 boats", "13 boats").replace("took 12", "took 14"), "she counted 12 boats at dawn"]
+    found = {r.doc_id: r.n_windows for r in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    words = item.split()
+    runs = [words[i : i + 5] for i in range(len(words) - 4)]
+    assert found == {0: sum("12" not in r for r in runs[10:]) + 10, 1: sum("12" not in r for r in runs)}
+
+
 # --- vectors
 
 
