@@ -4,8 +4,9 @@ Vectors are sorted along many random projections. Two vectors collide in a proje
 lies in the window around the other. A pair at the least similarity collides in each projection
 with a known probability, so the number of collisions that all but ``1 - recall`` of such pairs
 reach follows from the binomial distribution; pairs that reach it are verified by their cosine
-in double precision. The first projection also orders the rows in blocks, and only blocks whose
-windows meet are compared, block by block.
+in double precision. The first projection also orders the rows in blocks, and only blocks that lie
+within a wider window of one another are compared, block by block, so that a miss in the first
+projection counts as one in any other.
 
 Equal vectors are one class from the start. Vectors that are null or zero, or hold null or
 non-finite components, link with nothing; vectors of unlike length link with nothing. Repeated
@@ -31,6 +32,8 @@ BLOCK = 2048
 FIRST, ALL = 8, 24
 #: Window in standard deviations of a projected difference at the least similarity.
 WIDTH = 2.0
+#: The same for blocks along the first projection, where a miss can't be made good.
+BLOCK_WIDTH = 3.5
 #: Share of pairs at the least similarity that each count keeps.
 RECALL = 0.998
 SCALE = 1000
@@ -54,6 +57,12 @@ def window(cosine: float) -> tuple[float, float]:
     return WIDTH * math.sqrt(2 - 2 * cosine), math.erf(WIDTH / math.sqrt(2))
 
 
+def block_window(cosine: float, dims: list[int]) -> float:
+    """The half width of the window between blocks, for the longest first direction at hand."""
+    longest = max((float(np.linalg.norm(projections(d)[:, 0])) / math.sqrt(d) for d in dims), default=1.0)
+    return BLOCK_WIDTH * max(1.0, longest) * math.sqrt(2 - 2 * cosine)
+
+
 def prepared(vectors: DataFrame) -> DataFrame:
     """vec_id, dim, first projection, components as bytes and their hash; the last four null for unfit vectors."""
     schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("first", pa.float64()), ("raw", pa.binary()), ("key_a", pa.int64()), ("key_b", pa.int64())])
@@ -157,7 +166,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     sizes = cut(rows.where("dim is not null").groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
     classes = rows.join(sizes, keys).where("vec_id = rep").dropDuplicates(keys)
     run = cut(blocks(classes))
-    half, _ = window(cosine)
+    half = block_window(cosine, [r.dim for r in run.select("dim").distinct().collect()])
     meta = run.select("block", "dim", "low", "high")
     cell = lambda c: F.floor(c / half).cast("long")
     left = meta.select(F.col("block").alias("i"), "dim", F.col("low").alias("i_low"), F.col("high").alias("i_high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") + half))).alias("cell"))

@@ -170,6 +170,19 @@ def test_vectors_match_brute_force(spark):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_narrow_blocks_lose_no_pairs_at_the_least_similarity(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 4)
+    g = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(g.standard_normal((400, 64)))
+    aside = g.standard_normal((400, 64))
+    aside = unit(aside - (aside * a).sum(1, keepdims=True) * a)
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * aside
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    linked = sum(r.n_links > 0 for r in embeddings.near_vectors(frame).collect())
+    assert linked >= 0.99 * 800, linked
+
+
 def test_counts_are_calibrated():
     assert embeddings.least_count(24, 0.9545, 0.998) == 19
     assert embeddings.least_count(8, 1.0, 0.9) == 8
