@@ -142,24 +142,6 @@ def _shortlist(g: Graph) -> DataFrame:
     return shortlist(wanted, g.symbols.select(F.col("external_id").alias("id"), "title", "file"))
 
 
-#: Layers by path, the first that fits (fixed values).
-LAYER_PATHS = [("e2e", r"(?i)(^|/)(e2e|cypress|playwright)(/|\.)|\.e2e\."), ("integration", r"(?i)integration"), ("api", r"(?i)(^|/)api(s)?/"), ("component", r"(?i)component"), ("unit", r"(?i)unit|\.(test|spec)\.")]
-
-
-def path_layer(path: Column) -> Column:
-    out = F.when(path.rlike(LAYER_PATHS[0][1]), LAYER_PATHS[0][0])
-    for name, pattern in LAYER_PATHS[1:]:
-        out = out.when(path.rlike(pattern), name)
-    return out.otherwise("unknown")
-
-
-@query("path_layers", "tests", "select file, case when regexp_matches(file, '(?i)(^|/)(e2e|cypress|playwright)(/|\\.)|\\.e2e\\.') then 'e2e' when regexp_matches(file, '(?i)integration') then 'integration' when regexp_matches(file, '(?i)(^|/)api(s)?/') then 'api' when regexp_matches(file, '(?i)component') then 'component' when regexp_matches(file, '(?i)unit|\\.(test|spec)\\.') then 'unit' else 'unknown' end as layer from (select replace(file, 'tests/', case k % 4 when 0 then 'e2e/' when 1 then 'tests/integration/' when 2 then 'api/' else 'tests/' end) as file from tests) x")
-def _path_layers(g: Graph) -> DataFrame:
-    k = F.col("k") % 4
-    moved = F.replace(F.col("file"), F.lit("tests/"), F.when(k == 0, "e2e/").when(k == 1, "tests/integration/").when(k == 2, "api/").otherwise("tests/"))
-    return g.tests.select(moved.alias("file")).select("file", path_layer(F.col("file")).alias("layer"))
-
-
 #: Kinds of failed baselines, the first that fits (fixed values).
 FAILURES = [("logic_failure", r"(?i)expected .* (to|received)|assertion(error)?"), ("engine_range", r"(?i)unsupported engine|requires node"), ("module", r"(?i)cannot find module|module not found"), ("external_service", r"(?i)econnrefused|connection refused")]
 

@@ -22,7 +22,46 @@ def _chain(remainder: int) -> str:
         where b_id is not null and a_id <> b_id group by a_id, b_id"""
 
 
+def _values(texts: list[str | None]) -> str:
+    """A VALUES list of numbered texts; a tilde stands for a line's end."""
+    shown = lambda t: "cast(null as varchar(20))" if t is None else f"'{t}'".replace("{", "{{").replace("}", "}}")
+    return "(values " + ", ".join(f"({i}, {shown(t)})" for i, t in enumerate(texts)) + ")"
+
+
+#: Directories, file names, symbol names and file heads that the rules of classification tell apart.
+DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures"]
+FILE_NAMES = ["order.ts", "orderService.ts", "order.test.ts", "order.spec.tsx", "order_test.go", "test_order.py", "OrderTest.java", "Latest.java", "OrderTests.cs", "LoadTest.cs", "order.d.ts", "order.e2e.ts", "cart.int.test.ts", "cart.api.test.ts", "cart.comp.test.tsx", "cart.unit.test.js", "order-helper.ts", "apitestlib.go", "README.md", "package.json", "jest.config.js", "schema.sql", "handler.py", "Makefile", "order_spec.rb", "OrderRepository.kt", "main.go", "index.ts", "testutils.ts"]
+FILE_HEADS = [
+    "import { test } from \"@playwright/test\";~test(1)",
+    "import request from \"supertest\";~import {app} from \"../app\";",
+    "import {Pool} from \"pg\";~import {x} from \"./x\";",
+    "import type {Pool} from \"pg\";~import {x} from \"./x\";",
+    "import {type Pool} from \"pg\";~export const a = 1;",
+    "import {render} from \"@testing-library/react\";",
+    "cy.visit(\"/\");",
+    "page.goto(\"/\");~import {x} from \"./x\";",
+    "page.next();~import {x} from \"./x\";",
+    "screen.getByText(\"a\");",
+    "import {x} from \"./x\";~const a = <Cart/>;",
+    "import {x} from \"pgx\";~request(app);",
+    "// Code generated by protoc. DO NOT EDIT.~package main~func Run() {}",
+    "package main~~// Code generated by mockgen~// DO NOT EDIT.~import \"fmt\"",
+    "package main~import \"fmt\"~// Code generated by tpl. DO NOT EDIT.",
+    "# Code generated by hand, edit freely~x = 1",
+    None,
+]
+SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwner", "toString", "__repr__", "__init__", "CacheService.get", "PaymentProviderService.capture", "getUserConfig", "getRedisClient", "loadModules", "loadOrder", "Order.__joinerConfig", "listOrders", "parseText", "formatPrice", "Cart", "isOpen", "equals", "QueryBuilderService.buildQuery", "handleLogin", "main", "renderCart", "OrderController.find", "buildSchema", "archive_order", "MAX_SIZE", "hashCode", "get_x", "sumOf", "helper"]
+SYMBOL_KINDS = ["function", "method", "class", "const"]
+
 RELATIONS: dict[str, str] = {
+    "source_files": f"""
+        select p_partkey as k, d.t || '/' || f.t as path, replace(c.t, '~', chr(10)) as content
+        from {{part}} join {_values(DIRECTORIES)} d(i, t) on d.i = p_partkey % {len(DIRECTORIES)} join {_values(FILE_NAMES)} f(i, t) on f.i = cast(floor(p_partkey / 3) as bigint) % {len(FILE_NAMES)} join {_values(FILE_HEADS)} c(i, t) on c.i = cast(floor(p_partkey / 5) as bigint) % {len(FILE_HEADS)}""",
+    "source_symbols": f"""
+        select s.k, s.path, n.t as name, x.t as kind, case when s.k % 6 = 0 then 'OrderQueue' when s.k % 6 = 1 then '' end as member_of, case when s.k % 5 < 2 then s.k % 5 = 0 end as callable, case when s.k % 7 < 4 then s.k % 7 = 0 end as trivial, s.k % 19 = 0 as generated
+        from {{source_files}} s join {_values(SYMBOL_NAMES)} n(i, t) on n.i = cast(floor(s.k / 2) as bigint) % {len(SYMBOL_NAMES)} join {_values(SYMBOL_KINDS)} x(i, t) on x.i = cast(floor(s.k / 7) as bigint) % {len(SYMBOL_KINDS)}""",
+    "public_files": """
+        select path from {source_files} where k % 8 = 0""",
     "parts": """
         select p_partkey as k, d as dir, 'src/' || d || '/' || lower(replace(p_brand, '#', '')) || '.ts' as file, 'fn' || cast(p_partkey as varchar(20)) as name, p_name as title, p_size, p_type
         from (select *, case p_partkey % 10 when 1 then 'controllers' when 2 then 'services' when 3 then 'utils' else lower(p_type) end as d from {part}) x""",
