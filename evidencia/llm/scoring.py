@@ -25,10 +25,10 @@ their row, and count in training each time.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,72 +42,98 @@ FREQUENT = 65_536
 SLOTS = 128
 #: The words' closing sign, and the sign of a text's end; neither byte occurs in a word.
 CLOSE, END = 0x20, 0x0A
-#: Distinct words that a task gathers before it hands them on.
-GATHER = 400_000
+#: Words that a task gathers before it counts them and hands them on.
+GATHER = 2_000_000
 #: Windows that a task holds before it merges or scores them, and bytes of text taken at once.
 HOLD, CHUNK = 2_000_000, 1_000_000
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Lower-case words of all texts in a row, how many each text has, and each text as words with single blanks."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    plain = pa.Array.from_buffers(kind, len(texts), texts.buffers(), texts.null_count, texts.offset)  # ASCII functions need no valid UTF-8
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(plain))
+    lists = pc.ascii_split_whitespace(trimmed)
+    words = lists.flatten()
+    empty = np.asarray(pc.binary_length(trimmed)) == 0  # they have one empty word
+    if empty.any():
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, np.asarray(pc.list_value_length(lists), np.int64) - empty, pc.binary_join(lists, " ")
+
+
+def as_binary(strings: pa.Array) -> pa.Array:
+    return strings.cast(pa.binary()) if pa.types.is_large_string(strings.type) else strings.view(pa.binary())
+
+
 def word_counts(documents: DataFrame, mod: int, held: int) -> DataFrame:
     """word (binary), training count and whole count of every distinct word."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("all", pa.int64())])
 
     def counted(batches):
-        train, rest = Counter(), Counter()
+        held_words: dict[bool, list] = {False: [], True: []}
+        size = 0
 
         def flush():
-            words = list(train.keys() | rest.keys())
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                c = [train.get(w, 0) for w in part]
-                yield batch(schema, word=part, c=c, all=[n + rest.get(w, 0) for n, w in zip(c, part)])
-            train.clear()
-            rest.clear()
+            for outside, parts in held_words.items():
+                if parts:
+                    found = pa.chunked_array(parts).value_counts()
+                    words, n = found.field(0), found.field(1)
+                    for at in range(0, len(words), 50_000):
+                        part = n.slice(at, 50_000)
+                        yield batch(schema, word=as_binary(words.slice(at, 50_000)), c=pa.array(np.zeros(len(part), np.int64)) if outside else part, all=part)
+                    parts.clear()
 
         for b in batches:
-            for text, out in zip(b.column(0), b.column(1).to_pylist()):
-                (rest if out else train).update(text.as_py().lower().split())
-                if len(train) + len(rest) > GATHER:
-                    yield from flush()
+            words, n, _ = split_words(b.column(0))
+            outside = np.repeat(np.array(b.column(1).to_pylist(), bool), n)
+            for k in (False, True):
+                held_words[k].append(words.filter(pa.array(outside == k)))
+            size += len(words)
+            if size > GATHER:
+                yield from flush()
+                size = 0
         yield from flush()
 
     rows = documents.select(text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
     return rows.mapInArrow(counted, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
-def text_windows(texts: list[bytes], order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+def text_windows(texts: pa.Array, order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """The window (depth and last bytes, as an entry) of every byte to predict, and the number of its text.
-    Texts are words with single blanks between."""
-    flat = np.frombuffer(b"".join(b" %b \n" % t if t else b" \n" for t in texts), np.uint8)
-    lengths = np.fromiter((len(t) + 3 if t else 2 for t in texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    place = np.arange(len(flat))
-    start = np.cumsum(lengths) - lengths
+    Texts are words with single blanks between; ``order`` is 7 at most."""
+    marked = pc.if_else(pc.equal(pc.binary_length(texts), 0), " \n", pc.binary_join_element_wise(" ", texts, " \n", ""))
+    offsets = np.frombuffer(marked.buffers()[1], np.int64 if pa.types.is_large_string(marked.type) else np.int32)[marked.offset : marked.offset + len(marked) + 1].astype(np.int64)
+    offsets, data = offsets - offsets[0], memoryview(marked.buffers()[2])[int(offsets[0]) : int(offsets[-1])]
+    n, start = len(data), offsets[:-1]
+    padded = bytes(7) + bytes(data)
+    # each byte with the seven before it, as one big-endian number
+    packed = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.int64)
+    flat = np.frombuffer(padded, np.uint8)[7:]
     if across:
-        depth = place - start[owner]
+        found = entry(packed, order)
+        for k in range(order):  # the first bytes of a text have shorter contexts
+            at = start + k
+            at = at[at < offsets[1:]]
+            found[at] = entry(packed[at], k)
     else:
+        place = np.arange(n)
         blank = np.maximum.accumulate(np.where(flat == CLOSE, place, 0))
         depth = np.append(0, place[1:] - blank[:-1])
-    depth = np.minimum(depth, order)
-    padded = np.concatenate([np.zeros(order, np.int64), flat])
-    packed = np.zeros(len(flat), np.int64)
-    for k in range(order, -1, -1):
-        packed = packed << 8 | padded[order - k : order - k + len(flat)]
-    predicted = np.ones(len(flat), bool)
+        found = entry(packed, np.minimum(depth, order))
+    predicted = np.ones(n, bool)
     predicted[start] = False
-    return entry(packed[predicted], depth[predicted]), owner[predicted]
+    return found[predicted], np.repeat(np.arange(len(texts)), np.diff(offsets) - 1)
 
 
-def chunks(texts: list[bytes]):
+def chunks(texts: pa.Array):
     """(first, end) of runs of texts of about ``CHUNK`` bytes."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        end = min(len(texts), int(np.searchsorted(ends, before + CHUNK)) + 1)
+        yield first, end
+        first = end
 
 
 def entry(packed: np.ndarray, order: int | np.ndarray) -> np.ndarray:
@@ -140,9 +166,9 @@ def window_counts(documents: DataFrame, mod: int, held: int, across: bool) -> Da
 
         for b in batches:
             out = np.array(b.column(1).to_pylist(), bool)
-            texts = [b" ".join(t.as_py().lower().split()) for t in b.column(0)]
+            texts = split_words(b.column(0))[2]
             for first, end in chunks(texts):
-                found, owner = text_windows(texts[first:end], ORDER, across)
+                found, owner = text_windows(texts.slice(first, end - first), ORDER, across)
                 outside = out[first:end][owner]
                 for part, weight in ((found[~outside], 1), (found[outside], 0)):
                     keys, n = np.unique(part, return_counts=True)
@@ -204,7 +230,10 @@ def window_keys(windows: np.ndarray) -> pa.Array:
 
 
 def slot(windows: np.ndarray, slots: int) -> np.ndarray:
-    return ((windows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(slots)).astype(np.int64)
+    """A place below ``slots`` from the product's high bits, which depend on every bit of the window."""
+    spread = windows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(32)
+    return ((spread * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
 def scored_windows(windows: DataFrame, slots: int) -> DataFrame:
@@ -243,6 +272,20 @@ def scored_windows(windows: DataFrame, slots: int) -> DataFrame:
     return placed.mapInArrow(scored, "window long, c long, slot long, score double")
 
 
+def frequent_windows(windows: DataFrame, most: int) -> pa.Table:
+    """window and score of the windows at least so frequent that ``most`` are at hand, rare ones first."""
+    level = F.floor(F.log2("c") * 8).cast("int")  # of counts up to 2**63, so few rows
+    sizes = {r.level: r.n for r in windows.where("c > 0").groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    least, held = 512, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        least = k
+    found = windows.where("c > 0").where(level >= least).select("window", "score", "c").toArrow()
+    return found.sort_by([("c", "ascending"), ("window", "ascending")]).select(["window", "score"])
+
+
 class Trie:
     """Arrays sorted by entry and by context, and what prediction needs of each context."""
 
@@ -305,7 +348,7 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = documents.sparkSession
     arrow_ready(spark)
-    words = cut(word_counts(documents, mod, held))
+    words = stored(word_counts(documents, mod, held))
     texts = documents.where(remainder("doc_id", mod) != held).count()
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + texts, v + (texts > 0)
@@ -322,21 +365,21 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
 
     slots = SLOTS * FREQUENT
     windows = stored(scored_windows(stored(window_counts(documents, mod, held, across)), slots))
-    best = windows.groupBy("slot").agg(F.max_by(F.struct("window", "score"), F.struct("c", "window")).alias("b")).select("b.window", "b.score").toArrow()
+    best = frequent_windows(windows, slots // 4)
     near = spark.sparkContext.broadcast((np.array(best.column("window"), np.int64), np.array(best.column("score"), np.float64)))
     del best
 
     def spread_out():
-        """Window (-1 if none) and score of every slot."""
+        """Window (-1 if none) and score of every slot; of windows with one slot the most frequent, which comes last."""
         placed, placed_score = np.full(slots, -1, np.int64), np.zeros(slots)
         at = slot(near.value[0], slots)
         placed[at], placed_score[at] = near.value
         return placed, placed_score
 
     top = words.orderBy(F.desc("all"), "word").limit(FREQUENT).toArrow()
-    top_words, top_counts = top.column("word").to_pylist(), np.array(top.column("c"), np.float64)
-    frequent = spark.sparkContext.broadcast({w: i for i, w in enumerate(top_words)})
-    values = spark.sparkContext.broadcast(np.stack([np.append(top_counts > 0, 0), np.append(base(top_counts), 0)]) if top_words else np.zeros((2, 1)))
+    top_words, top_counts = top.column("word").combine_chunks(), np.array(top.column("c"), np.float64)
+    # the last place is for words that aren't frequent
+    values = spark.sparkContext.broadcast((top_words.to_pylist(), np.stack([np.append(top_counts > 0, 0), np.append(base(top_counts), 0)])))
     end_base, end_known = float(base(texts)), int(texts > 0)
     del top, top_words, top_counts
     pa.default_memory_pool().release_unused()
@@ -353,31 +396,34 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
     table = table.unionAll(windows.select("window", "slot", "score").mapInArrow(unplaced, "key binary, known long, word_base double, word_score double"))
 
     def parts(batches):
-        known, where = values.value, frequent.value
+        frequent, known = values.value
+        frequent = pa.array(frequent, pa.binary())
         placed = spread_out()
         row = row_base()
         none = known.shape[1] - 1
         for b in batches:
-            ids, out = b.column(0).to_pylist(), b.column(2).to_pylist()
-            tokens = [t.as_py().lower().split() for t in b.column(1)]
-            joined = [b" ".join(t) for t in tokens]
+            words, n_words, joined = split_words(b.column(1))
+            words = as_binary(words)
+            owner = np.repeat(np.arange(b.num_rows), n_words)
+            at = pc.fill_null(pc.index_in(words, frequent), none).to_numpy()
+            n_known, total = (np.bincount(owner, values_of[at], b.num_rows) for values_of in known)
+            yield from rare_words(words.filter(pa.array(at == none)), owner[at == none], row)
+            score = np.zeros(b.num_rows)
             for first, end in chunks(joined):
-                score, others = known_windows(joined[first:end], *placed)
-                rows, keys, times, docs = [], [], [], []
-                for i in range(first, end):
-                    at = np.fromiter((where.get(w, none) for w in tokens[i]), np.int64, len(tokens[i]))
-                    sums = known[:, at].sum(1)
-                    if len(at) and (at == none).any():
-                        rare = Counter(w for w, j in zip(tokens[i], at.tolist()) if j == none)
-                        rows += [row + i] * len(rare)
-                        keys += rare.keys()
-                        times += rare.values()
-                    docs.append((row + i, b" %d" % (row + i), 1, ids[i], out[i], len(at) + 1, int(sums[0]) + end_known, sums[1] + end_base, score[i - first]))
-                yield rest(rows, keys, times)
+                score[first:end], others = known_windows(joined.slice(first, end - first), *placed)
                 yield rest(others[0] + (row + first), window_keys(others[1]), others[2])
-                yield batch(PARTS, **dict(zip(PARTS.names, map(list, zip(*docs)))))
+            rows = row + np.arange(b.num_rows)
+            yield batch(PARTS, row=rows, key=pa.array([b" %d" % r for r in rows.tolist()], pa.binary()), times=np.ones(b.num_rows, np.int64), doc_id=b.column(0), held_out=b.column(2), n_tokens=n_words + 1, n_known=n_known.astype(np.int64) + end_known, base=total + end_base, score=score)
             row += b.num_rows
 
+    def rare_words(words, owner, row):
+        """(document, word, times) of words that the broadcast table lacks."""
+        if not len(words):
+            return
+        coded = words.dictionary_encode()
+        pairs, times = np.unique(owner * np.int64(len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+        yield rest(pairs // len(coded.dictionary) + row, coded.dictionary.take(pa.array(pairs % len(coded.dictionary))), times)
+
     def known_windows(joined, placed, placed_score):
         """Each text's sum over the windows of the broadcast table; (text, window, times) of all others."""
         found, owner = text_windows(joined, ORDER, across)
