@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import extension
+from ..functions.expressions import extension, local_pair
+from ..lineage import cut as shared
 from ..registry import query
 from ..sources.driver_tables import Graph
 
@@ -22,19 +19,6 @@ ENTRY_NAME = r"(?i)(^|[.#])(main|serve|request|endpoint)"
 DEPTH = 6
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """The frame cut from its lineage: written to the checkpoint folder that the cluster names,
-    or, in a session without one, to a temporary folder of this machine."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="evidencia-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def entry_point(file: Column, title: Column) -> Column:
     api = title.rlike(API_NAME) & file.rlike(API_PATH)
     return F.coalesce(api | file.rlike(ENTRY_PATH) | file.rlike(ENTRY_FILE) | F.concat(file, F.lit("#"), title).rlike(ENTRY_NAME), F.lit(False))
@@ -141,7 +125,11 @@ def _flow_entries(g: Graph) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """id and the smallest id that its links reach; large and small stars by turns until nothing changes."""
+    """id and the smallest id that its links (a, b) reach, for all ids but the smallest ones themselves.
+
+    Large and small stars by turns until nothing changes. All links of a hub would meet its least
+    neighbour in one task; hubs have at least one link in ``SHARE``, so there are few, and theirs are
+    sent to all tasks instead."""
     now = shared(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
@@ -149,45 +137,60 @@ def components(pairs: DataFrame) -> DataFrame:
         if not total[0] or tuple(total) == state:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         state = tuple(total)
+        many = max(LEAST_HUB, total[0] // SHARE)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.where("b > a").join(both.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = with_least(both.where("b > a"), both, many).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        small = with_least(large, large, many).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         now = shared(small.distinct())
 
 
+#: A node with at least one link in so many is a hub, if it has that many at all. There are 2 * SHARE hubs at most.
+SHARE, LEAST_HUB = 2048, 128
+
+
+def with_least(edges: DataFrame, of: DataFrame, many: int) -> DataFrame:
+    """The edges with ``m``, the least b that their a has among the edges ``of``."""
+    least = of.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    hubs = F.broadcast(least.where(F.col("degree") >= many).select("a", "m"))  # 2 * SHARE rows at most
+    rest = least.where(F.col("degree") < many).select("a", "m")
+    return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
+
+
 def cluster_links(nodes: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links of eligible symbols: one file, calls, possible calls, and imports of files that aren't hubs."""
+    """Links (a, b, kind) of eligible symbols: one file, calls, possible calls, and imports of files that aren't hubs
+    from their own directory or one above or below it."""
     live = nodes.where("kind = 'CodeSymbol' and eligible and not stale").select("external_id", "file")
     first = live.groupBy("file").agg(F.min("external_id").alias("first"))
-    same_file = live.join(first, "file").select(F.col("external_id").alias("a"), F.col("first").alias("b"))
+    same_file = live.join(first, "file").select(F.col("external_id").alias("a"), F.col("first").alias("b"), F.lit("file").alias("kind"))
     ids = live.select("external_id")
-    calls = edges.where("type = 'CALLS' and strength in ('hard', 'framework-derived')").select("from_id", "to_id").unionByName(candidates.where("type = 'MAY_CALL'").select("from_id", "to_id"))
-    calls = calls.join(ids.withColumnRenamed("external_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("external_id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    imports = edges.where("type = 'IMPORTS'").select("from_id", "to_id").distinct()
+    hard = edges.where("type = 'CALLS' and strength in ('hard', 'framework-derived')").select("from_id", "to_id", F.lit("hard_call").alias("kind"))
+    calls = hard.unionByName(candidates.where("type = 'MAY_CALL'").select("from_id", "to_id", F.lit("likely_call").alias("kind")))
+    calls = calls.join(ids.withColumnRenamed("external_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("external_id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "kind")
+    own = first.select("file")
+    imports = edges.where("type = 'IMPORTS'").select("from_id", "to_id").join(own.withColumnRenamed("file", "from_id"), "from_id", "left_semi").join(own.withColumnRenamed("file", "to_id"), "to_id", "left_semi")
     files = first.agg(F.count("*").alias("n"))
-    local = imports.where(F.regexp_extract("from_id", "^(.*)/", 1) == F.regexp_extract("to_id", "^(.*)/", 1))
-    hubs = imports.groupBy("to_id").agg(F.count("*").alias("importers")).crossJoin(files).where(F.col("importers") > F.greatest(F.lit(25), F.ceil(F.col("n") * 0.02))).select("to_id")
-    joined = local.join(hubs, "to_id", "left_anti").join(first.select(F.col("file").alias("from_id"), F.col("first").alias("a")), "from_id").join(first.select(F.col("file").alias("to_id"), F.col("first").alias("b")), "to_id").select("a", "b")
+    local = imports.where((F.col("from_id") != F.col("to_id")) & local_pair(F.col("from_id"), F.col("to_id")))
+    hubs = imports.groupBy("to_id").agg(F.count("*").alias("importers")).crossJoin(F.broadcast(files)).where(F.col("importers") > F.greatest(F.lit(25), F.ceil(F.col("n") * 0.02))).select("to_id")  # one row beside
+    joined = local.join(hubs, "to_id", "left_anti").join(first.select(F.col("file").alias("from_id"), F.col("first").alias("a")), "from_id").join(first.select(F.col("file").alias("to_id"), F.col("first").alias("b")), "to_id").select("a", "b", F.lit("import").alias("kind"))
     return same_file.unionByName(calls).unionByName(joined)
 
 
-@query(
-    "clusters",
-    ("nodes", "edges", "candidates"),
-    """, live as (select external_id as id, file from nodes where kind = 'CodeSymbol' and eligible and not stale), firsts as (select file, min(id) as first from live group by file),
-    imports as (select distinct from_id, to_id from edges where type = 'IMPORTS'), hubs as (select to_id from imports group by to_id having count(*) > greatest(25, ceil((select count(*) from firsts) * 0.02))),
-    links as (select l.id as a, f.first as b from live l join firsts f using (file) union select from_id, to_id from edges where type = 'CALLS' and strength in ('hard', 'framework-derived') and from_id in (select id from live) and to_id in (select id from live)
-        union select from_id, to_id from candidates where type = 'MAY_CALL' and from_id in (select id from live) and to_id in (select id from live)
-        union select fa.first, fb.first from imports i join firsts fa on fa.file = i.from_id join firsts fb on fb.file = i.to_id where regexp_extract(i.from_id, '^(.*)/', 1) = regexp_extract(i.to_id, '^(.*)/', 1) and i.to_id not in (select to_id from hubs)),
+LINKS_SQL = """, live as (select external_id as id, file from nodes where kind = 'CodeSymbol' and eligible and not stale), firsts as (select file, min(id) as first from live group by file),
+    imports_in as (select from_id, to_id from edges where type = 'IMPORTS' and from_id in (select file from firsts) and to_id in (select file from firsts)), hubs as (select to_id from imports_in group by to_id having count(*) > greatest(25, ceil((select count(*) from firsts) * 0.02))),
+    links as (select l.id as a, f.first as b, 'file' as kind from live l join firsts f using (file) union all select from_id, to_id, 'hard_call' from edges where type = 'CALLS' and strength in ('hard', 'framework-derived') and from_id in (select id from live) and to_id in (select id from live)
+        union all select from_id, to_id, 'likely_call' from candidates where type = 'MAY_CALL' and from_id in (select id from live) and to_id in (select id from live)
+        union all select fa.first, fb.first, 'import' from imports_in i join firsts fa on fa.file = i.from_id join firsts fb on fb.file = i.to_id where i.from_id <> i.to_id and i.to_id not in (select to_id from hubs)
+            and (starts_with(regexp_replace(i.from_id, '/?[^/]*$', '') || '/', regexp_replace(i.to_id, '/?[^/]*$', '') || '/') or starts_with(regexp_replace(i.to_id, '/?[^/]*$', '') || '/', regexp_replace(i.from_id, '/?[^/]*$', '') || '/'))),
     both_ways as (select a, b from links where a <> b union select b, a from links where a <> b),
     reach(id, low) as (select id, id from live union select x.b, r.low from reach r join both_ways x on x.a = r.id where r.low < x.b),
-    labels as (select id, min(low) as component from reach group by id), sized as (select component, count(*) as n from labels group by component having count(*) > 1)
-    select l.component, count(*) as members, count(distinct v.file) as files from labels l join sized using (component) join live v on v.id = l.id group by l.component""",
-)
+    lows as (select id, min(low) as component from reach group by id), labels as (select w.id as member, l.file, w.component from lows w join live l using (id))"""
+
+
+@query("clusters", ("nodes", "edges", "candidates"), LINKS_SQL + " select component, count(*) as members, count(distinct file) as files from labels group by component having count(*) > 1")
 def _clusters(g: Graph) -> DataFrame:
     live = g.live_symbols.select(F.col("external_id").alias("member"), "file")
-    found = components(cluster_links(g.nodes, g.edges, g.candidates))
+    found = components(cluster_links(g.nodes, g.edges, g.candidates).select("a", "b"))
     labelled = live.join(found, live.member == found.id, "left").withColumn("component", F.coalesce("component", "member"))
     return labelled.groupBy("component").agg(F.count("*").alias("members"), F.countDistinct("file").alias("files")).where("members > 1")
 

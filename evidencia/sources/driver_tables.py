@@ -51,6 +51,7 @@ FILE_HEADS = [
     None,
 ]
 SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwner", "toString", "__repr__", "__init__", "CacheService.get", "PaymentProviderService.capture", "getUserConfig", "getRedisClient", "loadModules", "loadOrder", "Order.__joinerConfig", "listOrders", "parseText", "formatPrice", "Cart", "isOpen", "equals", "QueryBuilderService.buildQuery", "handleLogin", "main", "renderCart", "OrderController.find", "buildSchema", "archive_order", "MAX_SIZE", "hashCode", "get_x", "sumOf", "helper"]
+SPECIFIERS = ["./a.css", "../order.js", "./cart.tsx", "./helpers", "/abs/path.mts", "node:fs", "fs", "lodash", "@scope/pkg", "@/store", "config", "config/x", "shared/text", "core", "corex/a", "./logo.SVG", "../lib/index.cjs"]
 SYMBOL_KINDS = ["function", "method", "class", "const"]
 
 RELATIONS: dict[str, str] = {
@@ -60,6 +61,10 @@ RELATIONS: dict[str, str] = {
     "source_symbols": f"""
         select s.k, s.path, n.t as name, x.t as kind, case when s.k % 6 = 0 then 'OrderQueue' when s.k % 6 = 1 then '' end as member_of, case when s.k % 5 < 2 then s.k % 5 = 0 end as callable, case when s.k % 7 < 4 then s.k % 7 = 0 end as trivial, s.k % 19 = 0 as generated
         from {{source_files}} s join {_values(SYMBOL_NAMES)} n(i, t) on n.i = cast(floor(s.k / 2) as bigint) % {len(SYMBOL_NAMES)} join {_values(SYMBOL_KINDS)} x(i, t) on x.i = cast(floor(s.k / 7) as bigint) % {len(SYMBOL_KINDS)}""",
+    "imports": f"""
+        select x.k, s.t as specifier, case when x.k % 3 = 0 then 'test' else 'source' end as from_role, case when x.k % 5 = 1 then 'test' else 'source' end as target_role, case when x.k % 7 = 0 then 'type' else 'runtime' end as kind,
+            x.returned <> 'R' as resolved, x.k % 11 = 0 or s.i in (6, 7, 8) as external, x.k % 4 = 0 as barrel, x.k % 9 <> 0 as named, x.k % 13 <> 0 as covered
+        from (select l_orderkey * 8 + l_linenumber as k, l_returnflag as returned, l_partkey from {{lineitem}}) x join {_values(SPECIFIERS)} s(i, t) on s.i = x.l_partkey % {len(SPECIFIERS)}""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
