@@ -9,7 +9,9 @@ values has one value in the whole alignment. A document is contaminated by an it
 windows that count make up ``LEAST_SHARE`` of the item's, or ``LEAST_WINDOWS``.
 
 Null and empty texts match nothing, as do items of fewer than ``WINDOW`` words. Rows that repeat
-a doc_id count as one document. Other columns are ignored; empty tables give no rows.
+a doc_id count as one document; rows without a doc_id count as one document for each text. Other
+columns are kept by ``keep_clean`` whatever their names, and ignored else; empty tables give no
+rows. Long texts are searched whole.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 5
 LEAST_SHARE = 0.5
 LEAST_WINDOWS = 10
@@ -46,29 +50,36 @@ def windows(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.select("*", F.posexplode_outer(hashed).alias(f"{prefix}_place", "window"))
 
 
+def document_key():
+    """The document that a row belongs to: its doc_id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, share and n_slots of each contaminated document and item."""
     items = templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).drop("text")
     searched = windows(items, "item").select("item_id", "item_place", "window", (F.size("words") - WINDOW + 1).alias("item_windows"), F.slice("words", F.col("item_place") + 1, WINDOW).alias("item_words"), F.slice("keys", F.col("item_place") + 1, WINDOW).alias("item_keys")).where("window is not null")
     if searched.count() <= BROADCAST_WINDOWS:
         searched = F.broadcast(searched)
-    docs = templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
+    docs = templates(documents.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("document"), "text")).drop("text")
     met = windows(docs, "doc").join(searched, "window")
     slots = F.expr(f"filter(transform(sequence(0, {WINDOW - 1}), j -> if(item_keys[j] between 1 and 3, named_struct('item', item_words[j], 'doc', get(words, doc_place + j)), null)), s -> s is not null)")
     # within coalesce(), as a bare equation would become a join key that is cut out of every window
     same = F.coalesce(F.slice("keys", F.col("doc_place") + 1, WINDOW) == F.col("item_keys"), F.lit(False))
-    aligned = met.where(same).select("doc_id", "item_id", "item_windows", "item_place", (F.col("doc_place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
-    runs = aligned.groupBy("doc_id", "item_id", "shift", "item_windows").agg(F.collect_set(F.struct("item_place", "slots")).alias("met"))
+    aligned = met.where(same).select("doc_id", "document", "item_id", "item_windows", "item_place", (F.col("doc_place") - F.col("item_place")).alias("shift"), slots.alias("slots"))
+    runs = aligned.groupBy("doc_id", "document", "item_id", "shift", "item_windows").agg(F.collect_set(F.struct("item_place", "slots")).alias("met"))
     pairs = runs.withColumn("pairs", F.expr("array_sort(array_distinct(flatten(transform(met, m -> m.slots))))"))
     torn = pairs.withColumn("torn", F.expr("transform(filter(pairs, (s, i) -> i > 0 and get(pairs, i - 1).item = s.item), s -> s.item)"))
     counted = torn.withColumn("met", F.expr("filter(met, m -> size(torn) = 0 or forall(m.slots, s -> s.item = s.doc) or not exists(m.slots, s -> array_contains(torn, s.item)))"))
-    good = counted.where("size(met) > 0").select("doc_id", "item_id", "item_windows", F.expr("transform(met, m -> m.item_place)").alias("places"), F.expr("array_distinct(flatten(transform(met, m -> m.slots)))").alias("slots"))
-    found = good.groupBy("doc_id", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
+    good = counted.where("size(met) > 0").select("doc_id", "document", "item_id", "item_windows", F.expr("transform(met, m -> m.item_place)").alias("places"), F.expr("array_distinct(flatten(transform(met, m -> m.slots)))").alias("slots"))
+    found = good.groupBy("doc_id", "document", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
     share = F.col("n_windows") / F.col("item_windows")
-    return found.where((share >= LEAST_SHARE) | (F.col("n_windows") >= LEAST_WINDOWS)).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), share.alias("share"), "n_slots")
+    return found.where((share >= LEAST_SHARE) | (F.col("n_windows") >= LEAST_WINDOWS)).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), share.alias("share"), "n_slots", "document")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, with their own columns."""
-    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return documents.join(found, documents.doc_id == found.found_id, "left_anti")
+    """The documents that no item contaminates, with their own columns. The keys of the others are
+    written first, so that the planner knows their size and sends small ones to all executors."""
+    found = stored(contaminated(documents, benchmark).select(F.col("document").alias("found")).distinct(), "contaminated")
+    key = document_key()
+    return documents.join(found, key == found.found, "left_anti")
