@@ -15,7 +15,9 @@ components come out. All candidates are confirmed on their full sets. Links make
 
 Null and empty texts have the empty set: they link with nothing. A row without a doc_id is kept. A text of fewer than ``k``
 words has its whole sequence as its one shingle. Rows that repeat a doc_id are one node and each
-get their row. Shingles are compared by 64-bit hashes.
+get their row. Shingles are compared by 64-bit hashes: two of a pair's n shingles share one with
+a probability of n * n / 2**64, which a confirmed pair would need about n / 5 times. Other columns
+are ignored, and kept by ``keep_one_each`` whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut, text_bytes
+from .common import arrow_ready, batch, cut, stored, text_bytes
 from .graph import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +250,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
 
 def keep_one_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns. Of rows that
-    repeat a doc_id one stays; rows without a doc_id all stay."""
-    kept = near_duplicates(documents, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = documents.join(kept, documents.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id is null"))
+    repeat a doc_id one stays; rows without a doc_id all stay.
+
+    Only the ids of rows that may go are written and joined, so that texts move only where there are many."""
+    found = near_duplicates(documents, k, percent).where("doc_id is not null")
+    marked = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1")
+    odd = stored(marked.select(F.col("doc_id").alias("odd_id"), "kept"), "copies")
+    key = documents.doc_id.cast("long")
+    once = documents.join(odd, key == odd.odd_id, "left_anti")
+    repeated = documents.join(odd.where("kept"), key == F.col("odd_id"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
