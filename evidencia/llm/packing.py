@@ -2,8 +2,9 @@
 
 Each document's token ids are cut into pieces whose lengths are powers of two: as many of
 ``max_tokens`` as fit, then one for each set bit of the rest, the largest first. A piece is a
-sequence of its own, so a sequence never crosses documents and never needs padding; sequences
-of one length form a bucket, from which batches of equal shape are drawn.
+sequence of its own, so a sequence never crosses documents and never needs padding. Sequences
+of one length form a bucket; each task fills batches of ``max_tokens`` tokens from its bucket, so
+a batch holds sequences of one length alone (each task's last batch of a length may be short).
 
 Null text counts as empty: such a document has one piece with the end id alone. Rows that
 repeat a doc_id are packed one by one. Other columns of the input are ignored. An empty table
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_ready, batch, row_base, text_bytes
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("batch_id", pa.int64())])
+DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, batch_id long"
 
 #: Chunks whose pre-tokens the standard library's patterns find as the tokenizer does:
 #: printable ASCII and precomposed Latin letters, which normalisation leaves alone.
@@ -50,6 +51,10 @@ class Recent(dict):
         return value
 
 
+#: Texts that a tokenizer must encode as this encoder does.
+PROBES = ["The quick brown fox's 12 jumps, over ÉTÉ's \"lazy\" dogs!!", "a_b don't we'll x99y\n\n  naïve--coöp; Straße 中文 <|x|> e\u0301", "ALL CAPS, mixedCase & snake_case...?!"]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable bytes are themselves, the others follow from 256 on."""
     keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -74,6 +79,10 @@ class Encoder:
         self.four = struct.Struct("<I").pack
         self.words = Recent(self._word, memo)
         self.chunks = Recent(self._chunk, memo)
+        for probe in PROBES:
+            plain = b"".join(map(self.four, self.tokenizer.encode(probe, add_special_tokens=False).ids))
+            if self.encode(probe.encode()) != plain:
+                raise ValueError(f"{path}: this tokenizer doesn't lower case, split and encode as the memo of chunks does")
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
@@ -115,14 +124,15 @@ ENCODERS: dict[str, Encoder] = {}
 
 def pack(documents: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset and bucket (the length's base-2 logarithm)."""
+    doc_tokens, sequence_id, offset, bucket (the length's base-2 logarithm) and batch_id (sequences of one bucket)."""
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches):
         encoder = ENCODERS.get(tokenizer_path) or ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
-        sequence = row_base()
+        sequence = fresh = row_base()
+        open_batches: dict[int, tuple[int, int]] = {}  # of each length: the batch and the sequences that it still takes
         for b in batches:
             out = {n: [] for n in SCHEMA.names}
             held = 0
@@ -130,7 +140,11 @@ def pack(documents: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_
                 ids = encoder.encode(text.as_py()) + end
                 n = len(ids) // 4
                 for start, length in cuts(n, max_tokens):
-                    for name, value in zip(SCHEMA.names, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n, sequence, 0)):
+                    batch_id, room = open_batches.get(length, (0, 0))
+                    if not room:
+                        batch_id, room, fresh = fresh, max_tokens // length, fresh + 1
+                    open_batches[length] = batch_id, room - 1
+                    for name, value in zip(SCHEMA.names, (doc_id, start, length, ids[4 * start : 4 * (start + length)], n, sequence, 0, batch_id)):
                         out[name].append(value)
                     sequence += 1
                 held += len(ids)
