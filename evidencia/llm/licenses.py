@@ -7,13 +7,16 @@ reports the span and the number of edits. An edit changes three of a notice's ru
 characters at most, so places that miss more than 3 k of them are passed over first.
 
 Null text counts as empty: no words, labels or spans, and score 0. Repeated rows each get
-their row. Other columns of the input are ignored.
+their row. Other columns of the input are ignored. Long texts are scanned whole; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +107,7 @@ def scan(text: bytes) -> dict:
                 for notice, offset, k in uses:
                     windows.setdefault(notice, []).append((max(0, at - offset - k), at - offset + len(notice) + k))
     spans, best = [], float(bool(starts))
+    blanks = None
     for notice, ranges in windows.items():
         merged: list[list[int]] = []
         for a, b in sorted(ranges):
@@ -117,15 +121,18 @@ def scan(text: bytes) -> dict:
                 continue
             for m in pattern.finditer(whole, a, min(b, len(whole))):
                 edits = sum(m.fuzzy_counts)
-                first_word = whole.count(b" ", 0, m.start())
+                if blanks is None:
+                    blanks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+                first_word = int(np.searchsorted(blanks, m.start()))
                 spans.append((NOTICES[notice], first_word, first_word + m.group().strip().count(b" ") + 1, edits))
                 best = max(best, 1 - edits / len(notice))
     spans.sort(key=lambda s: (s[3], s[1] - s[2], s))
-    kept: list[tuple[str, int, int, int]] = []
+    kept: list[tuple[int, int, tuple]] = []  # by place; no two lie over each other
     for s in spans:  # of notices that lie over each other, the one with fewest edits
-        if all(s[1] >= t[2] or s[2] <= t[1] for t in kept):
-            kept.append(s)
-    spans = kept
+        at = bisect(kept, (s[1], s[2]))
+        if (not at or kept[at - 1][1] <= s[1]) and (at == len(kept) or kept[at][0] >= s[2]):
+            kept.insert(at, (s[1], s[2], s))
+    spans = [s for _, _, s in kept]
     return {"n_words": len(words), "n_base": len(starts), "first_word": first, "last_word": last, "base_labels": sorted(base), "labels": sorted(base | {s[0] for s in spans}), "score": best, "spans": sorted(spans)}
 
 
