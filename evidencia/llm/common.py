@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_folder, stored  # noqa: F401  used by the operators
+
 #: Rows handed to a Python worker at once; texts may be long, so batches stay small.
 BATCH_ROWS = 1000
 
@@ -23,24 +21,6 @@ def arrow_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # a test session on one machine
-            folder = tempfile.mkdtemp(prefix="evidencia-checkpoint-")
-            atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_bytes(column: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

@@ -1,40 +1,12 @@
-"""Union-find over tables of links: alternate large and small stars until nothing changes."""
+"""Union-find over tables of links, by the library's large and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the smallest of its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node links its smaller neighbours and itself to the smallest of them. Edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    inner = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return inner.unionByName(least.select("a", F.col("m").alias("b")))
+from ..operators.graphs import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (a, b) but the smallest ones themselves."""
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if not total[0] or tuple(total) == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = tuple(total)
-        now = cut(_small_star(_large_star(now)).distinct())
-
-
-def with_components(rows: DataFrame, node: str, edges: DataFrame) -> DataFrame:
-    """The rows with component_id of their node column; nodes without links are their own."""
-    found = connected_components(edges).withColumnRenamed("node", "found_node")
-    return rows.join(found, rows[node] == F.col("found_node"), "left").withColumn("component_id", F.coalesce("component", node)).drop("found_node", "component")
+    return components(edges.select("a", "b")).withColumnsRenamed({"id": "node"})

@@ -9,7 +9,9 @@ posterior of label 1.
 Learning needs sums and sums of products alone, which are gathered from all labelled rows that
 are not held out. Null text counts as empty; null labels are passed over; where a document has
 several labels the largest counts. With fewer than two rows in either class every score is the
-share of label 1, or 0.5 without labels. Repeated rows each get their row.
+share of label 1, or 0.5 without labels. Repeated rows each get their row; other columns are
+ignored, and kept by ``keep_good`` whatever their names. An empty table gives no rows. Long texts
+are measured whole.
 """
 
 from __future__ import annotations

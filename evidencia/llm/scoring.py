@@ -24,15 +24,13 @@ their row, and count in training each time.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut, remainder, row_base, shared_folder, text_bytes
+from .common import arrow_ready, batch, remainder, row_base, stored, text_bytes
 
 ORDER = 6
 #: The highest order that all executors hold.
@@ -215,13 +213,6 @@ def low_orders(windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found.column("entry"), np.int64), np.array(found.column("n"), np.int64)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written to the shared folder in compressed columns."""
-    folder = f"{shared_folder(df.sparkSession)}/windows-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def window_keys(windows: np.ndarray) -> pa.Array:
     """Join keys that no word and no text can be."""
     keys = np.full((len(windows), 9), CLOSE, np.uint8)
