@@ -38,3 +38,8 @@ def first_of(rules: list[tuple[Column, str | Column | None]], other: str | Colum
 def first_sql(rules: list[tuple[str, str]], other: str = "null") -> str:
     """``rules``: condition and result, both SQL."""
     return "case " + " ".join(f"when {c} then {t}" for c, t in rules) + f" else {other} end"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bucket, priority_rank, round_half_up, route, slug, token_estimate, tokens
+from ..functions.expressions import LINK_STOP_WORDS, STOP_WORDS, bucket, priority_rank, round_half_up, route, shared_depth, slug, token_estimate, tokens
+from ..functions.rules import any_sql, first_of, first_sql, let, quoted
 from ..registry import query
 from ..sources.driver_tables import Graph
 
@@ -89,8 +90,9 @@ def _estimate(g: Graph) -> DataFrame:
     return g.documents.select("doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
-def similar(left: DataFrame, right: DataFrame, least: float = 0.28, top: int = 3) -> DataFrame:
-    """Pairs of (id, text) rows by the Jaccard index of their tokens; the ``top`` of each right one.
+def similar(left: DataFrame, right: DataFrame, least: float = 0.28, top: int = 3, linked: DataFrame | None = None) -> DataFrame:
+    """Pairs of (id, text) rows by the Jaccard index of their tokens; the ``top`` of each right one, and of
+    those the ones that aren't ``linked`` (l_id, r_id) yet.
 
     Words on the left and right meet in one equi-join; common words are met once for each pair."""
     own = lambda rows, c: rows.select(F.col("id").alias(f"{c}_id"), F.explode(tokens(F.col("text"))).alias("token"))
@@ -98,65 +100,172 @@ def similar(left: DataFrame, right: DataFrame, least: float = 0.28, top: int = 3
     shared = own(left, "l").join(own(right, "r"), "token").groupBy("l_id", "r_id").agg(F.count("*").alias("n"))
     scored = shared.join(size(left, "l"), "l_id").join(size(right, "r"), "r_id").withColumn("score", F.col("n") / (F.col("l_size") + F.col("r_size") - F.col("n"))).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("r_id").orderBy(F.desc("score"), "l_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("l_id", "r_id", round_half_up(F.col("score"), 2).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= top).select("l_id", "r_id", round_half_up(F.col("score"), 2).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+    return best if linked is None else best.join(linked, ["l_id", "r_id"], "left_anti")
 
 
-TOKEN_SQL = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: length(w) >= 3 and w not in ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'when', 'then', 'should', 'test', 'tests', 'spec', 'into', 'has', 'have', 'are')))"
+def token_sql(text: str, stop: list[str]) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({text}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: length(w) >= 3 and w not in ({', '.join(map(quoted, stop))})))"
+
+
+#: Words that the driver's texts borrow from the stop words, so that these are seen to be left out.
+_WHOLE = "p_type || ' ' || p_brand || ' ' || p_name || case when p_size % 2 = 0 then ' apiTest Should' else ' fromRoute' end"
 
 
 @query(
     "token_jaccard_topk",
     (),
-    f"""with titles as (select p_name as id, {TOKEN_SQL.format('p_name')} as t from part group by p_name), types as (select p_type || ' ' || p_brand || ' ' || p_name as id, {TOKEN_SQL.format("p_type || ' ' || p_brand || ' ' || p_name")} as t from part group by 1, p_type, p_brand, p_name),
+    f"""with titles as (select 'test ' || p_name as id, {token_sql("'test ' || p_name", STOP_WORDS)} as t from part group by p_name), wholes as (select distinct {_WHOLE} as id from part), types as (select id, {token_sql("id", STOP_WORDS)} as t from wholes),
     l as (select id, unnest(t) as token from titles), r as (select id, unnest(t) as token from types), n as (select l.id as l_id, r.id as r_id, count(*) as n from l join r using (token) group by 1, 2),
     s as (select l_id, r_id, n::double / (len(a.t) + len(b.t) - n) as score from n join titles a on a.id = l_id join types b on b.id = r_id)
     select l_id, r_id, floor(score * 100 + 0.5) / 100 as confidence, row_number() over (partition by r_id order by score desc, l_id) as rank from s where score >= 0.28 qualify row_number() over (partition by r_id order by score desc, l_id) <= 3""",
 )
 def _jaccard(g: Graph) -> DataFrame:
-    left = g.part.select(F.col("p_name").alias("id"), F.col("p_name").alias("text")).distinct()
-    whole = F.concat_ws(" ", "p_type", "p_brand", "p_name")
+    title = F.concat(F.lit("test "), "p_name")
+    left = g.part.select(title.alias("id"), title.alias("text")).distinct()
+    whole = F.concat(F.concat_ws(" ", "p_type", "p_brand", "p_name"), F.when(F.col("p_size") % 2 == 0, " apiTest Should").otherwise(" fromRoute"))
     return similar(left, g.part.select(whole.alias("id"), whole.alias("text")).distinct())
 
 
 def shortlist(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFrame:
-    """Symbols (id, title, file) of a behaviour (id, title): 10 for each shared word, 6 for each word of the path, 25 when the title holds it."""
-    b = behaviors.select(F.col("id").alias("b_id"), F.lower("title").alias("b_title"), tokens(F.col("title")).alias("b_words"))
-    words = symbols.select(F.col("id").alias("s_id"), F.lower("title").alias("s_title"), tokens(F.col("title")).alias("s_words"), tokens(F.col("file")).alias("p_words"))
-    keys = words.select("*", F.explode(F.array_union("s_words", "p_words")).alias("token"))
-    met = b.select("*", F.explode("b_words").alias("token")).join(keys, "token").dropDuplicates(["b_id", "s_id"])
-    score = 10 * F.size(F.array_intersect("b_words", "s_words")) + 6 * F.size(F.array_intersect("b_words", "p_words")) + F.when(F.col("b_title").contains(F.col("s_title")), 25).otherwise(0)
-    rank = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("score"), "s_id"))
+    """The ``top`` symbols (id, title, file, detail) of each behaviour (id, title, kind, source_ref, criteria) by
+    score, then file and id: 10 for each shared word, 6 for each word of the source's path in the file's, 25 when
+    the behaviour's text holds the title, 3 for each directory that both paths begin with.
+
+    Symbols that score meet a behaviour by a word, by the first letters of their title, or among the first ``top``
+    of a directory above the source; the first ``top`` of all fill up with scores of 0. No others can be chosen."""
+    cased = lambda *parts: F.concat_ws(" ", *[F.coalesce(p, F.lit("")) if not isinstance(p, str) else p for p in parts])
+    words = lambda text: tokens(text, stop=LINK_STOP_WORDS)
+    criteria = F.array_join(F.coalesce("criteria", F.array().cast("array<string>")), " ")
+    b = behaviors.select(
+        F.col("id").alias("b_id"), F.coalesce("source_ref", F.lit("")).alias("ref"), F.lower(F.concat_ws(" ", "title", criteria)).alias("b_text"),
+        words(cased("id", "title", "kind", F.col("source_ref"), criteria)).alias("b_words"), words(F.coalesce("source_ref", F.lit(""))).alias("ref_words"),
+    )
+    s = symbols.select(F.col("id").alias("s_id"), "file", F.lower(F.coalesce("title", F.lit(""))).alias("s_title"), words(cased("id", F.col("title"), F.col("file"), F.col("detail"))).alias("s_words"), words(F.coalesce("file", F.lit(""))).alias("file_words"))
+    # what a title begins with: three letters, or all of a shorter one
+    start = F.concat(F.lit("^"), F.substring("s_title", 1, 3))
+    starts = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("b_text") - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit("^"), F.substring(F.col("b_text"), i, n))) for n in (1, 2, 3)])))
+    dirs = lambda path: F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.filter(F.split(path, r"[\\/]+"), lambda x: x != "")), F.lit(0))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(F.filter(F.split(path, r"[\\/]+"), lambda x: x != ""), 1, i), "/")))
+    by_word = s.select("s_id", F.explode(F.array_union("s_words", F.array(start))).alias("key"))
+    by_dir = s.select("s_id", "file", F.explode(dirs(F.col("file"))).alias("key"))
+    first = by_dir.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("file", "s_id"))).where(F.col("n") <= top).select("s_id", "key")
+    keys = by_word.unionByName(first)
+    wanted = b.select("b_id", F.explode(F.array_union(F.array_union("b_words", starts), dirs(F.col("ref")))).alias("key"))
+    pairs = wanted.join(keys, "key").select("b_id", "s_id").distinct()
+    met = pairs.join(b, "b_id").join(s, "s_id")
+    held = (F.col("s_title") != "") & F.col("b_text").contains(F.col("s_title"))
+    score = 10 * F.size(F.array_intersect("b_words", "s_words")) + 6 * F.size(F.array_intersect("ref_words", "file_words")) + F.when(held, 25).otherwise(0) + 3 * shared_depth(F.col("file"), F.col("ref"))
+    rank = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("score"), "file", "s_id"))
     return met.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= top).select("b_id", "s_id", F.col("score").cast("long").alias("score"))
 
 
 @query(
     "symbol_shortlist",
     "symbols",
-    f""", b as (select distinct p_name || ' ' || p_type as id, lower(p_name || ' ' || p_type) as title, {TOKEN_SQL.format("p_name || ' ' || p_type")} as w from part where p_partkey % 10 = 0), s as (select external_id as id, lower(title) as title, {TOKEN_SQL.format('title')} as w, {TOKEN_SQL.format('file')} as p from symbols),
-    x as (select b.id as b_id, s.id as s_id, 10 * len(list_intersect(b.w, s.w)) + 6 * len(list_intersect(b.w, s.p)) + case when contains(b.title, s.title) then 25 else 0 end as score from b, s where len(list_intersect(b.w, list_concat(s.w, s.p))) > 0)
-    select b_id, s_id, score from x qualify row_number() over (partition by b_id order by score desc, s_id) <= 40""",
+    f""", b0 as (select distinct 'REQ ' || p_name || ' ' || p_type as id, p_name || ' for code ' || p_type as title, 'src/' || lower(p_type) || '/docs/list.md' as ref, p_name || ' expected' as criteria from part),
+    b as (select *, lower(title || ' ' || criteria) as text, {token_sql("id || ' ' || title || ' Requirement ' || ref || ' ' || criteria", LINK_STOP_WORDS)} as w, {token_sql("ref", LINK_STOP_WORDS)} as rw, list_filter(string_split(ref, '/'), lambda x: x <> '') as rp from b0),
+    s as (select external_id as id, file, lower(title) as title, {token_sql("external_id || ' ' || title || ' ' || file || ' function'", LINK_STOP_WORDS)} as w, {token_sql("file", LINK_STOP_WORDS)} as fw, list_filter(string_split(file, '/'), lambda x: x <> '') as fp from symbols),
+    x as (select b.id as b_id, s.id as s_id, s.file, 10 * len(list_intersect(b.w, s.w)) + 6 * len(list_intersect(b.rw, s.fw)) + case when s.title <> '' and contains(b.text, s.title) then 25 else 0 end
+        + 3 * coalesce(list_min(list_filter(range(1, greatest(len(rp), len(fp)) + 1), lambda i: rp[i] is null or fp[i] is null or rp[i] <> fp[i])) - 1, len(rp)) as score from b, s)
+    select b_id, s_id, score from x qualify row_number() over (partition by b_id order by score desc, file, s_id) <= 40""",
 )
 def _shortlist(g: Graph) -> DataFrame:
-    title = F.concat_ws(" ", "p_name", "p_type")
-    wanted = g.part.where("p_partkey % 10 = 0").select(title.alias("id"), title.alias("title")).distinct()
-    return shortlist(wanted, g.symbols.select(F.col("external_id").alias("id"), "title", "file"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    name, type_ = F.col("p_name"), F.col("p_type")
+    wanted = g.part.select(text("REQ ", name, " ", type_).alias("id"), text(name, " for code ", type_).alias("title"), F.lit("Requirement").alias("kind"), text("src/", F.lower(type_), "/docs/list.md").alias("source_ref"), F.array(text(name, " expected")).alias("criteria")).distinct()
+    return shortlist(wanted, g.symbols.select(F.col("external_id").alias("id"), "title", "file", F.lit("function").alias("detail")))
+
+
+#: Lines that say that a test ran and reached what it expects (fixed value).
+ASSERTION = r"(?i)assertionerror|jestassertionerror|\bexpect\(|\btoBe\b|\btoEqual\b|\btoMatch\b|\btoContain\b|\btoThrow\b|\btoBeInstanceOf\b|to (?:be|equal|match|contain|deep) "
+#: Kinds of failed baselines after those and versions out of range, the first that fits (fixed values).
+FAILURES = [
+    ("experimental_builtin", r"(?i)node:sqlite|databasesync|experimental[ -]sqlite|no such built-?in module"),
+    ("tsconfig_missing", r"(?i)cannot find base config|tsconfig not found|failed to load tsconfig|\[tsconfig_error\]"),
+    ("module_not_found", r"(?i)cannot find module|module not found|failed to resolve (?:import|entry)|cannot find package|err_module_not_found|cannot resolve|failed to load url"),
+    ("db_or_external", r"(?i)econnrefused|enotfound|etimedout|econnreset|connection refused|could not connect|connect(?:ion)? tim\w*|getaddrinfo|sequelize|typeorm|postgres|mysql|mongo(?:db)?|redis|prisma|database (?:connection|is not|error)|no database"),
+]
+
+
+def _numbers(version: Column) -> Column:
+    """The leading numbers of a version, three at most; null if a part before the first wildcard is none."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(version), r"^[v=]+", ""), r"[+-].*$", "")
+
+    def of(parts):
+        stop = F.coalesce(F.array_min(F.transform(parts, lambda x, i: F.when(x.isin("", "x", "X", "*"), i))), F.size(parts))
+        return let(F.slice(parts, 1, stop), lambda kept: F.when((F.size(kept) > 0) & F.forall(kept, lambda x: x.rlike(r"^\s*\d+")), F.transform(F.slice(kept, 1, 3), lambda x: F.regexp_extract(x, r"^\s*(\d+)", 1).cast("bigint"))))
+
+    return let(F.split(cleaned, r"\."), of)
+
+
+def _meets(version: Column, comparator: Column) -> Column:
+    """Whether a version (three numbers) meets one comparator; null if that can't be read."""
+    op = F.regexp_extract(comparator, r"^(\^|~|>=|<=|>|<|=)?", 1)
+
+    def of(n):
+        at = lambda i: F.coalesce(F.get(n, F.lit(i)), F.lit(0).cast("bigint"))
+        triple = lambda *x: F.array(*[y if isinstance(y, Column) else F.lit(y).cast("bigint") for y in x])
+        whole, part = F.size(n) >= 3, F.size(n)
+        low = triple(at(0), at(1), at(2))
+        after = F.when(part == 1, triple(at(0) + 1, 0, 0)).otherwise(triple(at(0), at(1) + 1, 0))
+        caret = F.when(at(0) > 0, triple(at(0) + 1, 0, 0)).when(at(1) > 0, triple(0, at(1) + 1, 0)).otherwise(triple(0, 0, at(2) + 1))
+        return (
+            F.when(op == "^", (version >= low) & (version < caret))
+            .when(op == "~", (version >= low) & (version < after))
+            .when(op.isin("", "="), F.when(whole, version == low).otherwise((version >= low) & (version < after)))
+            .when(op == ">=", version >= low)
+            .when(op == "<", version < low)
+            .when(op == ">", F.when(whole, version > low).otherwise(version >= after))
+            .when(op == "<=", F.when(whole, version <= low).otherwise(version < after))
+        )
+
+    numbers = _numbers(F.regexp_replace(comparator, r"^(\^|~|>=|<=|>|<|=)?\s*", ""))
+    return F.when(comparator.isin("", "*", "x", "X"), F.lit(True)).otherwise(let(numbers, lambda n: F.when(n.isNotNull(), of(n))))
 
 
-#: Kinds of failed baselines, the first that fits (fixed values).
-FAILURES = [("logic_failure", r"(?i)expected .* (to|received)|assertion(error)?"), ("engine_range", r"(?i)unsupported engine|requires node"), ("module", r"(?i)cannot find module|module not found"), ("external_service", r"(?i)econnrefused|connection refused")]
+def in_node_range(version: Column, wanted: Column) -> Column:
+    """Whether a version lies in a range of comparators joined by blanks and ``||``; null where that can't be told."""
+    padded = lambda n: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(n, i), F.lit(0).cast("bigint")))
+    first = lambda array, test: F.array_min(F.transform(array, lambda x, i: F.when(test(x), i)))
+    nothing = F.lit(None).cast("boolean")
 
+    def judged(v, g):
+        """Null where a comparator can't be read before one fails, or where the group has a hyphen."""
+        def of(each):
+            bad, failed = first(each, lambda r: r.isNull()), first(each, lambda r: r == F.lit(False))
+            return F.when(F.size(g) == 0, True).when(failed.isNotNull() & (bad.isNull() | (failed < bad)), False).when(bad.isNotNull(), nothing).otherwise(True)
 
-def failure_kind(text: Column) -> Column:
-    out = F.when(text.rlike(FAILURES[0][1]), FAILURES[0][0])
-    for name, pattern in FAILURES[1:]:
-        out = out.when(text.rlike(pattern), name)
-    return out.otherwise("unknown")
+        return let(F.transform(g, lambda c: _meets(v, c)), of)
 
+    def of(groups, v):
+        hyphen = first(groups, lambda g: F.array_contains(g, "-"))  # such a range isn't guessed at, unless a group before it holds
 
-@query("failure_kinds", (), "select event_id, case event_type when 'click' then 'logic_failure' when 'view' then 'module' when 'error' then 'external_service' when 'signup' then 'engine_range' else 'unknown' end as kind from events")
+        def result(each):
+            met = first(each, lambda r: r)
+            return F.when(met.isNotNull() & (hyphen.isNull() | (met < hyphen)), True).when(hyphen.isNotNull(), nothing).when(F.exists(each, lambda r: r.isNotNull()), False)
+
+        return let(F.transform(groups, lambda g: judged(v, g)), result)
+
+    groups = F.transform(F.split(wanted, r"\|\|"), lambda g: F.filter(F.split(F.trim(g), r"\s+"), lambda c: c != ""))
+    return let(_numbers(version), lambda n: F.when(n.isNotNull(), let(padded(n), lambda v: let(groups, lambda g: of(g, v)))))
+
+
+def failure_kind(text: Column, runner: Column | None = None, engines: Column | None = None) -> Column:
+    """Why a baseline failed, from its first line and the versions of the runner and of the package's engines."""
+    line = F.trim(F.coalesce(text, F.lit("")))
+    out_of_range = F.coalesce(~in_node_range(runner, engines), F.lit(False)) if runner is not None and engines is not None else F.lit(False)
+    return first_of([(line.rlike(ASSERTION), "logic_failure"), (out_of_range, "engine_mismatch"), *[(line.rlike(p), name) for name, p in FAILURES]], "unknown")
+
+
+@query("failure_kinds", "failures", f"select k, {first_sql([(any_sql('said', [ASSERTION]), quoted('logic_failure')), ('bad_engine', quoted('engine_mismatch')), *[(any_sql('said', [p]), quoted(name)) for name, p in FAILURES]], quoted('unknown'))} as kind from (select *, engines in ('>=24.2.0 <25', '^18', '~20.1', '>24', '<=22') as bad_engine from failures) x")
 def _failures(g: Graph) -> DataFrame:
-    said = F.when(F.col("event_type") == "click", "AssertionError: expected 1").when(F.col("event_type") == "view", "Cannot find module 'x'").when(F.col("event_type") == "error", "connect ECONNREFUSED").when(F.col("event_type") == "signup", "Unsupported engine").otherwise("?")
-    return g.events.select("event_id", failure_kind(said).alias("kind"))
+    """The driver's runner is version 23.5.1, so of its ranges those named in the SQL don't hold it."""
+    return g.failures.select("k", failure_kind(F.col("said"), F.lit("v23.5.1"), F.col("engines")).alias("kind"))
+
+
+@query("node_ranges", "failures", "select k, case when engines in ('>=24.2.0 <25', '^18', '~20.1', '>24', '<=22') then false when engines in ('18 - 22', 'latest') or engines is null then null else true end as fits from failures")
+def _ranges(g: Graph) -> DataFrame:
+    return g.failures.select("k", in_node_range(F.lit("v23.5.1"), F.col("engines")).alias("fits"))
 
 
 def markdown_lines(documents: DataFrame) -> DataFrame:
@@ -181,6 +290,11 @@ def _markdown(g: Graph) -> DataFrame:
     return rows.where("bullet is not null and lower(under) like '%acceptance%'").select("id", "requirement", F.col("bullet").alias("criterion"))
 
 
-@query("bucketised_counts", (), "select o_custkey, case when n < 5 then '0-5' when n < 10 then '5-10' when n < 20 then '10-20' else '20+' end as bucket from (select o_custkey, count(*) as n from orders group by o_custkey) x")
+#: Thresholds of file and behaviour counts (fixed values).
+FILE_THRESHOLDS, BEHAVIOR_THRESHOLDS = [50, 200, 500, 1000, 5000, 10000], [100, 500, 1000, 5000, 10000]
+
+
+@query("bucketised_counts", (), "select l_suppkey, case when n < 50 then '1-49' when n < 200 then '50-199' when n < 500 then '200-499' when n < 1000 then '500-999' when n < 5000 then '1000-4999' when n < 10000 then '5000-9999' else '10000+' end as files, case when n < 100 then '1-99' when n < 500 then '100-499' when n < 1000 then '500-999' when n < 5000 then '1000-4999' when n < 10000 then '5000-9999' else '10000+' end as behaviors from (select l_suppkey, count(*) * (1 + l_suppkey % 30) as n from lineitem group by l_suppkey) x")
 def _buckets(g: Graph) -> DataFrame:
-    return g.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", bucket(F.col("n"), [5, 10, 20]).alias("bucket"))
+    counts = g.lineitem.groupBy("l_suppkey").agg((F.count("*") * (1 + F.col("l_suppkey") % 30)).alias("n"))
+    return counts.select("l_suppkey", bucket(F.col("n"), FILE_THRESHOLDS).alias("files"), bucket(F.col("n"), BEHAVIOR_THRESHOLDS).alias("behaviors"))

@@ -52,6 +52,8 @@ FILE_HEADS = [
 ]
 SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwner", "toString", "__repr__", "__init__", "CacheService.get", "PaymentProviderService.capture", "getUserConfig", "getRedisClient", "loadModules", "loadOrder", "Order.__joinerConfig", "listOrders", "parseText", "formatPrice", "Cart", "isOpen", "equals", "QueryBuilderService.buildQuery", "handleLogin", "main", "renderCart", "OrderController.find", "buildSchema", "archive_order", "MAX_SIZE", "hashCode", "get_x", "sumOf", "helper"]
 SPECIFIERS = ["./a.css", "../order.js", "./cart.tsx", "./helpers", "/abs/path.mts", "node:fs", "fs", "lodash", "@scope/pkg", "@/store", "config", "config/x", "shared/text", "core", "corex/a", "./logo.SVG", "../lib/index.cjs"]
+FAILURE_LINES = ["AssertionError: expected 1 to be 2", "expect(received).toBe(expected) redis", "Cannot find module node:sqlite", "Cannot find base config file ../tsconfig.json", "[TSCONFIG_ERROR] x", "Error: Cannot find package x", "Failed to resolve import y", "connect ECONNREFUSED 127.0.0.1", "PrismaClient init", "Connection timed out", "Segmentation fault", None, "SyntaxError: x to contain y", "Failed to load url z"]
+NODE_RANGES = [None, ">=24.2.0 <25", ">=18", "^18", "^18 || ^23.1", "~23.5", "~20.1", "23", "23.5.1", ">24", ">22.9", "<=22", "<=23", "18 - 22", "latest", "*", ">=18 <23.6"]
 SYMBOL_KINDS = ["function", "method", "class", "const"]
 
 RELATIONS: dict[str, str] = {
@@ -65,6 +67,8 @@ RELATIONS: dict[str, str] = {
         select x.k, s.t as specifier, case when x.k % 3 = 0 then 'test' else 'source' end as from_role, case when x.k % 5 = 1 then 'test' else 'source' end as target_role, case when x.k % 7 = 0 then 'type' else 'runtime' end as kind,
             x.returned <> 'R' as resolved, x.k % 11 = 0 or s.i in (6, 7, 8) as external, x.k % 4 = 0 as barrel, x.k % 9 <> 0 as named, x.k % 13 <> 0 as covered
         from (select l_orderkey * 8 + l_linenumber as k, l_returnflag as returned, l_partkey from {{lineitem}}) x join {_values(SPECIFIERS)} s(i, t) on s.i = x.l_partkey % {len(SPECIFIERS)}""",
+    "failures": f"""
+        select e.event_id as k, replace(s.t, '~', chr(10)) as said, n.t as engines from {{events}} e join {_values(FAILURE_LINES)} s(i, t) on s.i = e.event_id % {len(FAILURE_LINES)} join {_values(NODE_RANGES)} n(i, t) on n.i = e.user_id % {len(NODE_RANGES)}""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
