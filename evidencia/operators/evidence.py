@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import area, percent, priority_rank, reasons, round_half_up, saturate
+from ..functions.expressions import percent, priority_rank, reasons, round_half_up, saturate
 from ..registry import query
 from ..schema import BEHAVIORS, GAP_EVIDENCE, HARD_TYPES, LAYERS, WEAK_TYPES, rank_of
 from ..sources.driver_tables import Graph
@@ -253,21 +253,3 @@ def _endpoint_degree(g: Graph) -> DataFrame:
     """Edges at either end of each id."""
     ends = g.edges.select("type", F.explode(F.array("from_id", "to_id")).alias("id"))
     return ends.groupBy("id").agg(F.count("*").alias("degree"), F.countDistinct("type").alias("types"))
-
-
-@query(
-    "code_areas",
-    ("nodes", "edges", "candidates"),
-    EVIDENCE_SQL + """ select split_part(file, '/', 2) as area, count(*) as total, count(*) filter (evidence = 'covered') as covered, count(*) filter (evidence = 'weak') as weak, count(*) filter (evidence = 'none') as none,
-    coalesce(list_slice(list_sort(list(external_id) filter (evidence = 'none')), 1, 6), []) as samples from judged where kind = 'CodeSymbol' and eligible and not stale group by 1""",
-)
-def _code_areas(g: Graph) -> DataFrame:
-    """Counts by code area with the first samples that have no evidence."""
-    rows = gap_evidence(denominator(g.nodes).where("kind = 'CodeSymbol'"), g.edges, g.candidates)
-    first = rows.where("evidence = 'none'").withColumn("area", area(F.col("file"))).select("area", "external_id")
-    from pyspark.sql import Window
-
-    top = first.withColumn("n", F.row_number().over(Window.partitionBy("area").orderBy("external_id"))).where("n <= 6").groupBy("area").agg(F.array_sort(F.collect_list("external_id")).alias("samples"))
-    is_ = lambda e: F.count_if(F.col("evidence") == e)
-    counts = rows.groupBy(area(F.col("file")).alias("area")).agg(F.count("*").alias("total"), is_("covered").alias("covered"), is_("weak").alias("weak"), is_("none").alias("none"))
-    return counts.join(top, "area", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))

@@ -6,12 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_half_up
+from ..lineage import cut as shared
 from ..registry import query
 from ..sources.driver_tables import Graph
 
 
+def certified(record: str = "") -> Column:
+    """Whether a record's certificate (its struct ``proof``) and outcome are those of a dynamic proof: reproven and
+    closed, of the targeted kind, green before, failing on the mutant's assertion, with the target not mocked."""
+    c = lambda n: F.col(record + n)
+    proof = lambda n: c(f"proof.{n}")
+    return F.coalesce((c("status") == "reproven") & c("closed") & (proof("kind") == "dynamic_targeted") & proof("baseline_green") & proof("mutant_failed_assertion") & proof("target_not_mocked"), F.lit(False))
+
+
+@query("proof_certificates", "ledger", "select idx, coalesce(status = 'reproven' and closed and case when idx % 11 = 0 then 'other' when idx % 13 <> 0 then 'dynamic_targeted' end = 'dynamic_targeted' and idx % 5 <> 1 and idx % 7 <> 1 and case when idx % 17 <> 0 then idx % 3 <> 1 end, false) as certified from ledger")
+def _certificates(g: Graph) -> DataFrame:
+    """Records whose certificates lack one part or another."""
+    n = F.col("idx")
+    proof = F.struct(F.when(n % 11 == 0, "other").when(n % 13 != 0, "dynamic_targeted").alias("kind"), (n % 5 != 1).alias("baseline_green"), (n % 7 != 1).alias("mutant_failed_assertion"), F.when(n % 17 != 0, n % 3 != 1).alias("target_not_mocked"))
+    return g.ledger.withColumn("proof", proof).select("idx", certified().alias("certified"))
+
+
 def dynamic_proof(row: str = "") -> Column:
-    """A record that may prove: reproven, closed and with a valid certificate."""
+    """The same for records whose certificate has been judged before (``dynamic_proof``)."""
     c = lambda n: F.col(row + n)
     return F.coalesce((c("status") == "reproven") & c("closed") & c("dynamic_proof"), F.lit(False))
 
@@ -65,8 +82,20 @@ def _fingerprint(g: Graph) -> DataFrame:
     return symbols.join(files, "file", "left").select("external_id", fingerprint(F.col("hash"), F.col("external_id"), F.col("member_of")).alias("fingerprint"))
 
 
-@query("run_ids", "ledger", "select target_id, printf('run:%06d', row_number() over (partition by target_id order by idx)) as run_id, idx from ledger")
+def numbered(records: DataFrame, order: str = "idx") -> DataFrame:
+    """Records with run_id: their own, or their place in the whole ledger from 1 on.
+
+    Places come from counts of sorted partitions, so no task sees the whole ledger."""
+    ordered = shared(records.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each partition
+    place = F.col("before") + F.col("row") - F.col("first") + 1
+    own = F.nullif(F.col("run_id"), F.lit("")) if "run_id" in records.columns else F.lit(None).cast("string")
+    joined = ordered.join(F.broadcast(before), "part")
+    return joined.withColumn("run_id", F.coalesce(own, F.concat(F.lit("run:"), F.lpad(place.cast("string"), F.greatest(F.lit(6), F.length(place.cast("string"))), F.lit("0"))))).drop("part", "row", "first", "before")
+
+
+@query("run_ids", "ledger", "select target_id, case when idx % 50 = 0 then 'own:' || idx else printf('run:%06d', row_number() over (order by idx)) end as run_id, idx from ledger")
 def _run_ids(g: Graph) -> DataFrame:
-    """Runs numbered within their target."""
-    n = F.row_number().over(Window.partitionBy("target_id").orderBy("idx"))
-    return g.ledger.select("target_id", F.format_string("run:%06d", n).alias("run_id"), "idx")
+    """Runs numbered within the ledger; some bring their own id."""
+    return numbered(g.ledger.withColumn("run_id", F.when(F.col("idx") % 50 == 0, F.concat(F.lit("own:"), F.col("idx").cast("string"))))).select("target_id", "run_id", "idx")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import round_half_up
 from ..operators.evidence import CONFIRM_SQL, HARD_TYPES, confirming_tests, denominator, marked
-from ..operators.graphs import API_NAME, API_PATH, ENTRY_SQL, call_pairs, entries, entry_point, flow_depth, shared
+from ..functions.rules import any_sql, first_sql, quoted
+from ..operators.graphs import API_NAME, API_PATH, ENTRY_FILE, ENTRY_NAME, ENTRY_PATH, ENTRY_SQL, call_pairs, entries, entry_point, flow_depth, shared
 from ..operators.ledger import best_records
 from ..registry import query
 from ..sources.driver_tables import Graph
@@ -155,6 +156,17 @@ def stretched(rows: DataFrame, *columns: str) -> DataFrame:
     return out.drop(*ends.columns)
 
 
+#: Concerns in their order (fixed values).
+CONCERNS = ["contract", "authorization_safety", "boundary_limits", "integration_flow", "state_lifecycle", "failure_recovery", "data_integrity", "concurrency_ordering"]
+
+
+def applicable_concerns(title: Column, file: Column, sensitive: Column, entry: Column, flow_position: Column, fan_out: Column, churn: Column) -> Column:
+    """What tests of a symbol should look at, from the parts of its score."""
+    verb = title.rlike(r"(?i)^(GET|POST|PUT|PATCH|DELETE)\s+.+$")
+    holds = [F.lit(True), sensitive >= 9, entry | verb, (flow_position >= 3) | (fan_out >= 1), (fan_out >= 1) & (churn > 0), fan_out >= 2, sensitive >= 6, F.concat_ws(" ", title, file).rlike("(?i)job|queue|cron|stream|lock|worker")]
+    return F.array_compact(F.array(*[F.when(h, c) for c, h in zip(CONCERNS, holds)]))
+
+
 def risk_rows(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, ledger: DataFrame, commits: DataFrame) -> DataFrame:
     """Every untested symbol with its score and what it is made of."""
     symbols = shared(untested(nodes, edges, ledger))
@@ -172,8 +184,9 @@ def risk_rows(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, ledger:
     score = F.floor(F.col("p") * F.col("i") * F.col("difficulty") * 10 + 0.5) / 10
     lone = (round_half_up(F.col("refs"), 1) == 0) & (F.col("fan_out") == 0)
     scored = scored.withColumn("score", F.when(lone, F.floor(score * 0.25 * 10 + 0.5) / 10).otherwise(score)).withColumn("disconnected", lone)
-    concerns = F.array_compact(F.array(F.when(F.col("sensitivity") >= 7, "sensitive data"), F.when(F.col("route_weight") >= 4, "entry or service"), F.when(F.col("own_churn") >= 100, "churn"), F.when(F.col("is_new"), "new code"), F.when(lone, "disconnected")))
-    return scored.select("id", title.alias("title"), "file", "score", round_half_up(F.col("refs"), 1).alias("refs"), F.floor(F.col("own_churn") + 0.5).alias("churn"), entry_point(file, title).alias("entry_point"), F.floor(F.col("p") + 0.5).alias("probability"), F.floor(F.col("i") + 0.5).alias("impact"), F.col("difficulty").cast("long").alias("difficulty"), F.col("fan_out").cast("long").alias("fan_out"), F.col("route_weight").cast("long").alias("route_weight"), F.col("sensitivity").cast("long").alias("sensitivity"), F.col("flow_position").cast("long").alias("flow_position"), F.array_join(concerns, ", ").alias("concerns"))
+    scored = scored.withColumn("entry_point", entry_point(file, title))
+    concerns = applicable_concerns(title, file, F.col("sensitivity"), F.col("entry_point"), F.col("flow_position"), F.col("fan_out"), F.floor(F.col("own_churn") + 0.5))
+    return scored.select("id", title.alias("title"), "file", "score", round_half_up(F.col("refs"), 1).alias("refs"), F.floor(F.col("own_churn") + 0.5).alias("churn"), "entry_point", F.floor(F.col("p") + 0.5).alias("probability"), F.floor(F.col("i") + 0.5).alias("impact"), F.col("difficulty").cast("long").alias("difficulty"), F.col("fan_out").cast("long").alias("fan_out"), F.col("route_weight").cast("long").alias("route_weight"), F.col("sensitivity").cast("long").alias("sensitivity"), F.col("flow_position").cast("long").alias("flow_position"), F.array_join(concerns, ", ").alias("concerns"))
 
 
 def by_risk(rows: DataFrame) -> DataFrame:
@@ -204,8 +217,28 @@ RISK_SQL = (
     normal as (select *, case when lp = hp then 5.0::double else 1 + ((rp - lp) / (hp - lp)) * 9 end as p, case when li = hi then 5.0::double else 1 + ((ri - li) / (hi - li)) * 9 end as i from raws, ends),
     risk as (select id, title, file, floor((case when floor(refs * 10 + 0.5) / 10 = 0 and fan_out = 0 then floor(p * i * difficulty * 10 + 0.5) / 10 * 0.25::double else floor(p * i * difficulty * 10 + 0.5) / 10 end) * 10 + 0.5) / 10 as score, floor(refs * 10 + 0.5) / 10 as refs, floor(own_churn + 0.5)::bigint as churn, id in (select id from entries) as entry_point,
         floor(p + 0.5)::bigint as probability, floor(i + 0.5)::bigint as impact, difficulty::bigint as difficulty, fan_out, route_weight::bigint as route_weight, sensitivity::bigint as sensitivity, flow_position::bigint as flow_position,
-        concat_ws(', ', case when route_weight >= 4 then 'entry or service' end, case when own_churn >= 100 then 'churn' end, case when is_new then 'new code' end, case when floor(refs * 10 + 0.5) / 10 = 0 and fan_out = 0 then 'disconnected' end) as concerns from normal)"""
+        concat_ws(', ', 'contract', case when sensitivity >= 9 then 'authorization_safety' end, case when id in (select id from entries) or regexp_matches(title, '(?i)^(GET|POST|PUT|PATCH|DELETE)\\s+.+$') then 'boundary_limits' end, case when flow_position >= 3 or fan_out >= 1 then 'integration_flow' end,
+        case when fan_out >= 1 and floor(own_churn + 0.5) > 0 then 'state_lifecycle' end, case when fan_out >= 2 then 'failure_recovery' end, case when sensitivity >= 6 then 'data_integrity' end, case when regexp_matches(title || ' ' || file, '(?i)job|queue|cron|stream|lock|worker') then 'concurrency_ordering' end) as concerns from normal)"""
+)
+
+
+_SAID = "list_filter(regexp_split_to_array(lower(regexp_replace(path || ' ' || name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
+_HAS = lambda words: f"list_has_any(w, [{', '.join(map(quoted, words))}])"
+_HTTP = "regexp_matches(name, '(?i)^(GET|POST|PUT|PATCH|DELETE)$') and regexp_matches(path, '(?i)(^|/)api(s)?/')"
+_ENTRY = f"({any_sql('path', [ENTRY_PATH, ENTRY_FILE])} or {any_sql("path || '#' || name", [ENTRY_NAME])} or ({any_sql('name', [API_NAME])} and {any_sql('path', [API_PATH])}))"
+
+
+@query(
+    "risk_weights",
+    "source_symbols",
+    f"""select k, path, name, {first_sql([(f"{_HAS(SENSITIVE[0][1])} or (list_contains(w, 'capture') and {_HAS(['payment', 'stripe', 'transaction'])})", "10"), *[(_HAS(words), str(n)) for n, words in SENSITIVE[1:]]], "1")} as sensitivity,
+    case when {_HTTP} and regexp_matches(path, '(?i)/store(/|\\b)') then case upper(name) when 'POST' then 10 when 'DELETE' then 9 when 'PUT' then 8 when 'GET' then 5 else 7 end when {_HTTP} and regexp_matches(path, '(?i)/admin(/|\\b)') then case upper(name) when 'POST' then 6 when 'GET' then 3 else 5 end
+        when {_ENTRY} then 4 when regexp_matches(path, '(?i)(^|/)(services?|controllers?|handlers?|modules?)/') then 4 else 2 end as route_weight, {_ENTRY} as entry_point from (select *, {_SAID} as w from source_symbols) x""",
 )
+def _weights(g: Graph) -> DataFrame:
+    """The parts of a score that depend on words: sensitivity, route and entry."""
+    path, name = F.col("path"), F.col("name")
+    return g.source_symbols.select("k", "path", "name", sensitivity(F.concat_ws(" ", path, name)).alias("sensitivity"), route_weight(path, name).alias("route_weight"), entry_point(path, name).alias("entry_point"))
 
 
 @query("risk_rows", RELATIONS, RISK_SQL + " select * from risk")

@@ -29,7 +29,7 @@ def _values(texts: list[str | None]) -> str:
 
 
 #: Directories, file names, symbol names and file heads that the rules of classification tell apart.
-DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures"]
+DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures", "src/api/store/carts", "src/api/admin/users"]
 FILE_NAMES = ["order.ts", "orderService.ts", "order.test.ts", "order.spec.tsx", "order_test.go", "test_order.py", "OrderTest.java", "Latest.java", "OrderTests.cs", "LoadTest.cs", "order.d.ts", "order.e2e.ts", "cart.int.test.ts", "cart.api.test.ts", "cart.comp.test.tsx", "cart.unit.test.js", "order-helper.ts", "apitestlib.go", "README.md", "package.json", "jest.config.js", "schema.sql", "handler.py", "Makefile", "order_spec.rb", "OrderRepository.kt", "main.go", "index.ts", "testutils.ts"]
 FILE_HEADS = [
     "import { test } from \"@playwright/test\";~test(1)",
@@ -50,7 +50,7 @@ FILE_HEADS = [
     "# Code generated by hand, edit freely~x = 1",
     None,
 ]
-SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwner", "toString", "__repr__", "__init__", "CacheService.get", "PaymentProviderService.capture", "getUserConfig", "getRedisClient", "loadModules", "loadOrder", "Order.__joinerConfig", "listOrders", "parseText", "formatPrice", "Cart", "isOpen", "equals", "QueryBuilderService.buildQuery", "handleLogin", "main", "renderCart", "OrderController.find", "buildSchema", "archive_order", "MAX_SIZE", "hashCode", "get_x", "sumOf", "helper"]
+SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwner", "toString", "__repr__", "__init__", "CacheService.get", "PaymentProviderService.capture", "getUserConfig", "getRedisClient", "loadModules", "loadOrder", "Order.__joinerConfig", "listOrders", "parseText", "formatPrice", "Cart", "isOpen", "equals", "QueryBuilderService.buildQuery", "handleLogin", "main", "renderCart", "OrderController.find", "buildSchema", "archive_order", "MAX_SIZE", "hashCode", "get_x", "sumOf", "helper", "POST", "GET", "DELETE", "PUT", "PATCH", "captureStripe", "captureImage", "resetPassword", "sendEmail", "userProfile"]
 SPECIFIERS = ["./a.css", "../order.js", "./cart.tsx", "./helpers", "/abs/path.mts", "node:fs", "fs", "lodash", "@scope/pkg", "@/store", "config", "config/x", "shared/text", "core", "corex/a", "./logo.SVG", "../lib/index.cjs"]
 FAILURE_LINES = ["AssertionError: expected 1 to be 2", "expect(received).toBe(expected) redis", "Cannot find module node:sqlite", "Cannot find base config file ../tsconfig.json", "[TSCONFIG_ERROR] x", "Error: Cannot find package x", "Failed to resolve import y", "connect ECONNREFUSED 127.0.0.1", "PrismaClient init", "Connection timed out", "Segmentation fault", None, "SyntaxError: x to contain y", "Failed to load url z"]
 NODE_RANGES = [None, ">=24.2.0 <25", ">=18", "^18", "^18 || ^23.1", "~23.5", "~20.1", "23", "23.5.1", ">24", ">22.9", "<=22", "<=23", "18 - 22", "latest", "*", ">=18 <23.6"]
