@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .operators import classification, coverage, evidence, graphs, ledger, merge, selection, tallies, text  # noqa: F401  each registers its queries
-from .plans import risk, traceability  # noqa: F401
+from .plans import reports, risk, traceability  # noqa: F401
 from .streaming import telemetry  # noqa: F401
 
 

@@ -29,8 +29,8 @@ def _values(texts: list[str | None]) -> str:
 
 
 #: Directories, file names, symbol names and file heads that the rules of classification tell apart.
-DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures", "src/api/store/carts", "src/api/admin/users"]
-FILE_NAMES = ["order.ts", "orderService.ts", "order.test.ts", "order.spec.tsx", "order_test.go", "test_order.py", "OrderTest.java", "Latest.java", "OrderTests.cs", "LoadTest.cs", "order.d.ts", "order.e2e.ts", "cart.int.test.ts", "cart.api.test.ts", "cart.comp.test.tsx", "cart.unit.test.js", "order-helper.ts", "apitestlib.go", "README.md", "package.json", "jest.config.js", "schema.sql", "handler.py", "Makefile", "order_spec.rb", "OrderRepository.kt", "main.go", "index.ts", "testutils.ts"]
+DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "src/test/java/org/shop/cart", "app/models/tests", "tests/models", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures", "src/api/store/carts", "src/api/admin/users"]
+FILE_NAMES = ["order.ts", "orderService.ts", "order.test.ts", "order.spec.tsx", "order_test.go", "test_order.py", "OrderTest.java", "Latest.java", "OrderTests.cs", "LoadTest.cs", "order.d.ts", "order.e2e.ts", "cart.int.test.ts", "cart.api.test.ts", "cart.comp.test.tsx", "cart.unit.test.js", "order-helper.ts", "apitestlib.go", "README.md", "package.json", "jest.config.js", "schema.sql", "handler.py", "Makefile", "order_spec.rb", "OrderRepository.kt", "main.go", "index.ts", "testutils.ts", "order.py", "order.go", "Order.java", "text_test.py", "text.py", "CartIT.kt"]
 FILE_HEADS = [
     "import { test } from \"@playwright/test\";~test(1)",
     "import request from \"supertest\";~import {app} from \"../app\";",
@@ -69,6 +69,9 @@ RELATIONS: dict[str, str] = {
         from (select l_orderkey * 8 + l_linenumber as k, l_returnflag as returned, l_partkey from {{lineitem}}) x join {_values(SPECIFIERS)} s(i, t) on s.i = x.l_partkey % {len(SPECIFIERS)}""",
     "failures": f"""
         select e.event_id as k, replace(s.t, '~', chr(10)) as said, n.t as engines from {{events}} e join {_values(FAILURE_LINES)} s(i, t) on s.i = e.event_id % {len(FAILURE_LINES)} join {_values(NODE_RANGES)} n(i, t) on n.i = e.user_id % {len(NODE_RANGES)}""",
+    "scored": """
+        select event_id as k, ((event_id * 7) % 11) / 10.0 as acceptance_criteria, ((event_id * 3) % 11) / 10.0 as interface_mapping, ((event_id * 5) % 11) / 10.0 as validation_evidence, (event_id % 11) / 10.0 as known_regressions, ((event_id * 9) % 11) / 10.0 as provenance,
+            (user_id % 4) * 50 as total, user_id % 3 as excluded_test_inferred, case when event_id % 5 < 2 then 0 else user_id % 4 end as requirement_template, case when event_id % 5 < 2 then 0 else event_id % 2 end as markdown_requirement, (event_id % 6) * 20 as code_export, event_id % 3 as requirements, event_id % 101 as overall from {events}""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
