@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import extension, local_pair
@@ -44,34 +44,29 @@ def call_pairs(edges: DataFrame) -> DataFrame:
 def flow_depth(symbols: DataFrame, edges: DataFrame, entry_ids: DataFrame) -> DataFrame:
     """id and depth: calls from the nearest entry, six at most; without an entry, how many levels of callers there are.
 
-    Callers are followed level by level; a node counts once in a walk, but for the start itself."""
+    One walk goes from all entries at once and labels each symbol that it reaches within six calls. Only the others
+    are followed back level by level; there a node counts once in a walk, but for the start itself."""
     calls = shared(call_pairs(edges))
     starts = symbols.select(F.col("external_id").alias("id"))
-    is_entry = entry_ids.select(F.col("id").alias("node"), F.lit(True).alias("entry"))
-    zero = starts.join(entry_ids, "id", "left_semi").select("id", F.lit(0).alias("depth"))
-    open_ = starts.join(entry_ids, "id", "left_anti")
-    frontier = shared(open_.join(calls, open_.id == calls.callee).select("id", F.col("caller").alias("node")))
-    seen = frontier
-    levels, found = [], [zero]
+    frontier = shared(entry_ids.select("id").distinct())
+    reached = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, DEPTH + 1):
-        levels.append(frontier.select("id").distinct().withColumn("depth", F.lit(depth)))
-        hit = frontier.join(is_entry, "node").select("id").distinct()
-        found.append(hit.withColumn("depth", F.lit(depth)))
-        if depth == DEPTH:
-            break
-        rest = frontier.join(hit, "id", "left_anti")
-        after = rest.join(calls, rest.node == calls.callee).select("id", F.col("caller").alias("node")).distinct()
+        after = frontier.join(calls, frontier.id == calls.caller).select(F.col("callee").alias("id")).distinct()
+        frontier = shared(after.join(reached, "id", "left_anti"))
+        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    reached = shared(reached)
+    open_ = starts.join(reached, "id", "left_anti")
+    frontier = shared(open_.join(calls, open_.id == calls.callee).select("id", F.col("caller").alias("node")))
+    seen, levels = frontier, frontier.select("id").distinct().withColumn("depth", F.lit(1))
+    for depth in range(2, DEPTH + 1):
+        after = frontier.join(calls, frontier.node == calls.callee).select("id", F.col("caller").alias("node")).distinct()
         frontier = shared(after.join(seen, ["id", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    reached = found[0]
-    for f in found[1:]:
-        reached = reached.unionByName(f)
-    deepest = levels[0]
-    for f in levels[1:]:
-        deepest = deepest.unionByName(f)
-    first = reached.groupBy("id").agg(F.min("depth").alias("entry_depth"))
-    last = deepest.groupBy("id").agg(F.max("depth").alias("levels"))
-    return starts.join(first, "id", "left").join(last, "id", "left").select("id", F.coalesce("entry_depth", "levels", F.lit(0)).alias("depth"))
+        levels = levels.unionByName(frontier.select("id").distinct().withColumn("depth", F.lit(depth)))
+    last = levels.groupBy("id").agg(F.max("depth").alias("levels"))
+    return starts.join(reached, "id", "left").join(last, "id", "left").select("id", F.coalesce("depth", "levels", F.lit(0)).alias("depth"))
 
 
 @query(
@@ -88,30 +83,6 @@ def _flow_depth(g: Graph) -> DataFrame:
     return flow_depth(g.live_symbols, g.edges, entries(g.nodes))
 
 
-def flow_paths(entry_ids: DataFrame, edges: DataFrame, live: DataFrame, depth: int = 8) -> DataFrame:
-    """Simple call paths from entries by up to ``depth`` calls; ``leaf`` where none goes on, ``truncated`` at the full depth."""
-    ids = live.select(F.col("external_id").alias("x"))
-    calls = call_pairs(edges).join(ids.withColumnRenamed("x", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("x", "callee"), "callee", "left_semi")
-    paths = entry_ids.join(ids, entry_ids.id == ids.x, "left_semi").select(F.array("id").alias("path"))
-    out = paths
-    for _ in range(depth):
-        paths = shared(paths.join(calls, F.element_at("path", -1) == F.col("caller")).where("not array_contains(path, callee)").select(F.concat("path", F.array("callee")).alias("path")))
-        out = out.unionByName(paths)
-    return out.select(F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("nodes"), (F.size("path") == depth + 1).alias("truncated"))
-
-
-@query(
-    "flow_paths",
-    ("nodes", "edges"),
-    ENTRY_SQL
-    + """, call_pairs as (select distinct e.from_id as caller, e.to_id as callee from edges e join nodes a on a.external_id = e.from_id and not a.stale join nodes b on b.external_id = e.to_id and not b.stale where e.type = 'CALLS'),
-    walk(path) as (select [id] from entries e join nodes n on n.external_id = e.id and not n.stale union all select list_append(w.path, c.callee) from walk w join call_pairs c on c.caller = w.path[-1] where not list_contains(w.path, c.callee) and len(w.path) <= 8)
-    select array_to_string(path, '>') as path, len(path) as nodes, len(path) = 9 as truncated from walk""",
-)
-def _flow_paths(g: Graph) -> DataFrame:
-    return flow_paths(entries(g.nodes), g.edges, g.nodes.where("kind = 'CodeSymbol' and not stale"))
-
-
 @query(
     "flow_entries",
     ("nodes", "edges"),
@@ -124,12 +95,116 @@ def _flow_entries(g: Graph) -> DataFrame:
     return live.join(called, "id", "left_anti")
 
 
+#: Calls of a path, paths of an entry, paths in all (fixed values).
+MOST_CALLS, MOST_OF_ENTRY, MOST_PATHS = 8, 20, 500
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """caller, callee and strength of hard and derived calls between live symbols; of parallel ones the first by name."""
+    live = nodes.where("kind = 'CodeSymbol' and not stale").select("external_id")
+    calls = edges.where("type = 'CALLS' and strength in ('hard', 'framework-derived')").select(F.col("from_id").alias("caller"), F.col("to_id").alias("callee"), "strength")
+    kept = calls.join(live.withColumnRenamed("external_id", "caller"), "caller", "left_semi").join(live.withColumnRenamed("external_id", "callee"), "callee", "left_semi")
+    return kept.groupBy("caller", "callee").agg(F.min("strength").alias("strength"))
+
+
+def ranked_entries(entry_ids: DataFrame, calls: DataFrame, risk: DataFrame | None = None) -> DataFrame:
+    """Entries (id, kind, title) with their score: that of their risk (id, score) or of their calls and, for
+    endpoints, of their route, whichever is greater."""
+    fans = calls.groupBy(F.col("caller").alias("id")).agg(F.count("*").alias("fans"))
+    said = F.concat_ws(" ", F.col("title"), F.col("id"))
+    route = F.when(F.col("kind") == "Endpoint", 500 + F.when(said.rlike(MUTATION), 250).otherwise(0) + F.when(said.rlike(HIGH_ROUTE), 250).otherwise(0)).otherwise(0)
+    rows = entry_ids.dropDuplicates(["kind", "id"]).join(fans, "id", "left")
+    known = F.lit(0.0)
+    if risk is not None:
+        rows, known = rows.join(risk.select("id", F.col("score").alias("risk")), "id", "left"), F.coalesce("risk", F.lit(0.0))
+    return rows.select("id", "kind", F.greatest(known, (route + F.coalesce("fans", F.lit(0)) * 10).cast("double")).alias("score"))
+
+
+#: Routes that change things and routes that matter most (fixed values).
+MUTATION = r"(?i)^(POST|PUT|PATCH|DELETE)\b"
+HIGH_ROUTE = r"(?i)payment|refund|checkout|cart|order|auth|login|token|customer|user|tax|fulfillment|ship"
+
+
+def flow_paths(ranked: DataFrame, calls: DataFrame) -> DataFrame:
+    """Simple call paths from entries (id, kind, score) that end where no call goes on, or at ``MOST_CALLS`` calls.
+
+    Depth-first order is that of the paths themselves, so of the first paths of an entry every start is among
+    its first starts: no level keeps more than ``MOST_OF_ENTRY`` paths of an entry. Of all, those of the best
+    entries count, ``MOST_PATHS`` at most. A path is as strong as its weakest call."""
+    calls = shared(calls)
+    first = Window.partitionBy("entry").orderBy("path")
+    paths = ranked.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.lit(False).alias("derived"), F.lit(False).alias("ended"))
+    for _ in range(MOST_CALLS):
+        going = paths.where("not ended")
+        steps = going.join(calls, F.element_at("path", -1) == F.col("caller")).where("not array_contains(path, callee)")
+        longer = steps.select("entry", F.concat("path", F.array("callee")).alias("path"), (F.col("derived") | (F.col("strength") == "framework-derived")).alias("derived"), F.lit(False).alias("ended"))
+        stuck = going.join(steps.select("path").distinct(), "path", "left_anti").select("entry", "path", "derived", F.lit(True).alias("ended"))
+        every = paths.where("ended").unionByName(longer).unionByName(stuck).where("not (ended and size(path) = 1)")
+        paths = shared(every.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MOST_OF_ENTRY).drop("n"))
+    tier = F.when(F.col("derived"), "framework-derived: reachable").otherwise("hard: reachable")
+    rows = paths.join(ranked.select(F.col("id").alias("entry"), "kind", "score"), "entry").withColumn("tier", tier).withColumn("key", F.array_join("path", ">"))
+    rows = rows.withColumn("id", F.concat(F.lit("flow:"), F.substring(F.sha2(F.concat_ws("|", F.lit("flow"), "kind", "entry", "key", "tier"), 256), 1, 12)))
+    best = rows.orderBy(F.desc("score"), (F.col("kind") != "Endpoint"), "entry", "id").limit(MOST_PATHS)
+    return best.select("id", "entry", F.col("key").alias("path"), (F.size("path") - 1).cast("long").alias("depth"), "tier", (F.size("path") == MOST_CALLS + 1).alias("truncated"))
+
+
+FLOWS_SQL = """, live_ids as (select external_id as id from nodes where kind = 'CodeSymbol' and not stale), eligible_ids as (select external_id as id from nodes where kind = 'CodeSymbol' and eligible and not stale),
+    call_pairs as (select from_id as caller, to_id as callee, min(strength) as strength from edges where type = 'CALLS' and strength in ('hard', 'framework-derived') and from_id in (select id from live_ids) and to_id in (select id from live_ids) group by 1, 2),
+    starts as (select id from eligible_ids where id not in (select to_id from edges where type = 'CALLS' and from_id in (select id from eligible_ids))),
+    scored_starts as (select s.id, 'Behavior' as kind, greatest(0, count(c.caller) * 10)::double as score from starts s left join call_pairs c on c.caller = s.id group by s.id),
+    walk(path, derived) as (select [id], false from starts union all select list_append(w.path, c.callee), w.derived or c.strength = 'framework-derived' from walk w join call_pairs c on c.caller = w.path[-1] where not list_contains(w.path, c.callee) and len(w.path) <= 8),
+    whole as (select *, path[1] as entry from walk w where len(path) > 1 and (len(path) = 9 or not exists (select 1 from call_pairs c where c.caller = w.path[-1] and not list_contains(w.path, c.callee)))),
+    placed as (select *, row_number() over (partition by entry order by path) as n from whole),
+    named as (select *, array_to_string(path, '>') as key, case when derived then 'framework-derived: reachable' else 'hard: reachable' end as tier from placed where n <= 20),
+    flows as (select 'flow:' || left(sha256('flow|' || s.kind || '|' || entry || '|' || key || '|' || tier), 12) as id, entry, key as path, len(path) - 1 as depth, tier, len(path) = 9 as truncated, s.score from named join scored_starts s on s.id = entry)"""
+
+
+def static_flows(g: Graph) -> DataFrame:
+    calls = adjacency(g.nodes, g.edges)
+    starts = _flow_entries(g).select("id", F.lit("Behavior").alias("kind"), F.lit("").alias("title"))
+    return flow_paths(ranked_entries(starts, calls), calls)
+
+
+@query("flow_paths", ("nodes", "edges"), FLOWS_SQL + " select id, entry, path, depth, tier, truncated from flows order by score desc, entry, id limit 500")
+def _flow_paths(g: Graph) -> DataFrame:
+    return static_flows(g)
+
+
+@query("flow_tiers", ("nodes", "edges"), FLOWS_SQL + ", kept as (select * from flows order by score desc, entry, id limit 500) select tier, count(*) as flows, count(*) filter (truncated) as truncated, max(depth) as longest from kept group by tier")
+def _flow_tiers(g: Graph) -> DataFrame:
+    return static_flows(g).groupBy("tier").agg(F.count("*").alias("flows"), F.count_if("truncated").alias("truncated"), F.max("depth").alias("longest"))
+
+
+@query("flow_entry_ranking", ("nodes", "edges"), FLOWS_SQL + " select id, kind, score from scored_starts order by score desc, id")
+def _entry_ranking(g: Graph) -> DataFrame:
+    starts = _flow_entries(g).select("id", F.lit("Behavior").alias("kind"), F.lit("").alias("title"))
+    return ranked_entries(starts, adjacency(g.nodes, g.edges)).orderBy(F.desc("score"), F.col("kind") != "Endpoint", "id")
+
+
+def flow_chain(flows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of each wanted id the first flow that holds it, as its steps in order."""
+    steps = flows.select(F.col("id").alias("flow"), F.split("path", ">").alias("steps")).withColumn("target", F.explode("steps"))
+    first = steps.join(ids.select(F.col("id").alias("target")), "target", "left_semi").groupBy("target").agg(F.min_by("steps", "flow").alias("steps"))
+    return first.select("target", F.posexplode("steps").alias("position", "step")).select("target", (F.col("position") + 1).cast("long").alias("position"), "step")
+
+
+@query("flow_chain", ("nodes", "edges"), FLOWS_SQL + """, kept as (select * from flows order by score desc, entry, id limit 500), steps as (select id, string_split(path, '>') as steps, unnest(string_split(path, '>')) as target from kept),
+    chosen as (select target, arg_min(steps, id) as steps from steps group by target) select target, unnest(range(1, len(steps) + 1)) as position, unnest(steps) as step from chosen""")
+def _flow_chain(g: Graph) -> DataFrame:
+    return flow_chain(static_flows(g), g.nodes.where("kind = 'CodeSymbol'").select(F.col("external_id").alias("id")))
+
+
+#: A node with at least one link in so many is a hub, if it has that many at all: there are 2 * SHARE hubs at most.
+SHARE, LEAST_HUB = 2048, 128
+#: Links of a partition in the loop over components.
+LINKS = 50_000
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """id and the smallest id that its links (a, b) reach, for all ids but the smallest ones themselves.
 
-    Large and small stars by turns until nothing changes. All links of a hub would meet its least
-    neighbour in one task; hubs have at least one link in ``SHARE``, so there are few, and theirs are
-    sent to all tasks instead."""
+    Large and small stars by turns until nothing changes. A large star ties each node's larger neighbours to
+    the least of its neighbours, a small star the smaller ones and itself."""
     now = shared(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
@@ -137,24 +212,22 @@ def components(pairs: DataFrame) -> DataFrame:
         if not total[0] or tuple(total) == state:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
         state = tuple(total)
+        few = max(8, total[0] // LINKS)
         many = max(LEAST_HUB, total[0] // SHARE)
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both.where("b > a"), both, many).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = with_least(large, large, many).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        now = shared(small.distinct())
-
-
-#: A node with at least one link in so many is a hub, if it has that many at all. There are 2 * SHARE hubs at most.
-SHARE, LEAST_HUB = 2048, 128
-
-
-def with_least(edges: DataFrame, of: DataFrame, many: int) -> DataFrame:
-    """The edges with ``m``, the least b that their a has among the edges ``of``."""
-    least = of.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
-    hubs = F.broadcast(least.where(F.col("degree") >= many).select("a", "m"))  # 2 * SHARE rows at most
-    rest = least.where(F.col("degree") < many).select("a", "m")
-    return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
+        both = now.coalesce(few).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        large = shared(with_least(both, many).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        small = with_least(large.coalesce(few), many).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        now = shared(small.select("e.*").where("a <> b").distinct())
+
+
+def with_least(edges: DataFrame, many: int) -> DataFrame:
+    """The edges with ``m``, the least b of their a. Those of hubs get it from a small table and then spread over
+    all tasks, where they would all go to the hub's own task else."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+    hubs = F.broadcast(least.where(F.col("degree") >= many).select("a", F.col("m").alias("hub_m")))  # 2 * SHARE rows at most
+    rest = least.where(F.col("degree") < many).select("a", "m", F.lit(0).alias("salt"))
+    salted = edges.join(hubs, "a", "left").withColumn("salt", F.when(F.col("hub_m").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("b"), F.lit(SHARE)).cast("int")))
+    return salted.join(rest, ["a", "salt"], "left").select("a", "b", F.coalesce("hub_m", "m").alias("m"))
 
 
 def cluster_links(nodes: DataFrame, edges: DataFrame, candidates: DataFrame) -> DataFrame:

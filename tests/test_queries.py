@@ -15,8 +15,6 @@ from evidencia.streaming import telemetry
 from scripts.compare import compare
 
 SMALL = "/root/testdata/sf0.001"
-#: Run by hand with scripts/compare.py; they take long in one test session.
-SLOW = {"risk_rows", "risk_ranking", "legacy_risk", "risk_portfolio", "flow_depth", "flow_paths"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +25,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_agrees_with_sql(spark, db, name):
     assert compare(catalogue.queries()[name](spark, SMALL), db.execute(catalogue.oracle_sql()[name])) == ""
 
@@ -42,10 +40,10 @@ def test_names_routes_and_cells(spark):
     lit = F.lit
     assert one(X.slug(lit("  Ünï Code! x "))) == "n-code-x" and one(X.slug(lit("!!"))) == "item"
     assert one(X.route(lit("/a/[id]/[...rest]/"))) == "/a/:id/:rest*" and one(X.route(lit(""))) == "/"
-    assert sorted(one(X.tokens(lit("getUserName the for a b2b_test")))) == ["b2b", "get", "name", "user"]
+    assert sorted(one(X.tokens(lit("getUserName the for a b2b_test apiRoute")))) == ["b2b", "for", "get", "name", "the", "user"]
     assert one(X.csv_cell(lit("=1+1"))) == "'=1+1" and one(X.csv_cell(lit('a"b'))) == '"a""b"'
     assert [one(X.priority_rank(lit(p))) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW", "P0", "xp0", None)] == [0, 3, 2, 1, 4, 0, 0]
-    assert one(X.clamp_confidence(lit(float("nan")))) == 0.5 and one(X.bucket(lit(7), [5, 10])) == "5-10" and one(X.bucket(lit(70), [5, 10])) == "10+"
+    assert one(X.clamp_confidence(lit(float("nan")))) == 0.5 and one(X.bucket(lit(7), [5, 10])) == "5-9" and one(X.bucket(lit(1), [5, 10])) == "1-4" and one(X.bucket(lit(10), [5, 10])) == "10+"
     assert one(X.short_hash(lit("a"), lit(None).cast("string"))) is not None
 
 
@@ -74,11 +72,21 @@ def test_depth_of_unreachable_symbols_counts_levels(spark):
     assert found["x"] == 2 and found["y"] == 2
 
 
-def test_paths_are_simple(spark):
-    edges = spark.createDataFrame([("a", "b", "CALLS"), ("b", "a", "CALLS"), ("b", "c", "CALLS"), ("c", "d", "CALLS")], "from_id string, to_id string, type string")
-    live = spark.createDataFrame([(s,) for s in "abc"], "external_id string")
-    found = {r.path for r in graphs.flow_paths(spark.createDataFrame([("a",)], "id string"), edges, live).collect()}
-    assert found == {"a", "a>b", "a>b>c"}
+def test_paths_are_simple_and_end_where_no_call_goes_on(spark):
+    edges = spark.createDataFrame([("a", "b", "hard"), ("b", "a", "hard"), ("b", "c", "framework-derived"), ("a", "c", "hard")], "caller string, callee string, strength string")
+    ranked = graphs.ranked_entries(spark.createDataFrame([("a", "Behavior", ""), ("z", "Behavior", "")], "id string, kind string, title string"), edges)
+    assert {r.id: r.score for r in ranked.collect()} == {"a": 20.0, "z": 0.0}
+    found = {r.path: (r.tier, r.truncated, r.depth) for r in graphs.flow_paths(ranked, edges).collect()}
+    assert found == {"a>b>c": ("framework-derived: reachable", False, 2), "a>c": ("hard: reachable", False, 1)}
+
+
+def test_paths_keep_to_their_caps(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "MOST_OF_ENTRY", 3)
+    monkeypatch.setattr(graphs, "MOST_CALLS", 2)
+    edges = spark.createDataFrame([("a", f"b{i}", "hard") for i in range(5)] + [(f"b{i}", f"c{j}", "hard") for i in range(5) for j in range(2)] + [("c0", "d", "hard")], "caller string, callee string, strength string")
+    ranked = graphs.ranked_entries(spark.createDataFrame([("a", "Behavior", "")], "id string, kind string, title string"), edges)
+    found = sorted((r.path, r.truncated) for r in graphs.flow_paths(ranked, edges).collect())
+    assert found == [("a>b0>c0", True), ("a>b0>c1", True), ("a>b1>c0", True)]
 
 
 def test_components_of_a_long_chain_and_shuffled_links(spark):
