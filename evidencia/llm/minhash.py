@@ -134,6 +134,7 @@ def full_sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield batch(schema, id=b.column(0), shingles=[shingles(t.as_py(), k).tobytes() for t in b.column(1)])
 
+    ids = stored(ids, "ids")  # so that the planner knows their size: few ids go to the texts, not the texts to them
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id", "left_semi")
     return cut(texts.mapInArrow(cut_up, "id long, shingles binary"))
 
