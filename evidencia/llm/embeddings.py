@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut
+from .common import arrow_ready, batch, cut, lean
 from .graph import connected_components
 
 #: Rows of a block.
@@ -100,7 +100,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
             yield batch(schema, **out)
 
     arrow_ready(vectors.sparkSession)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(made, "vec_id long, dim int, first double, raw binary, key_a long, key_b long")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(lean(made), "vec_id long, dim int, first double, raw binary, key_a long, key_b long")
 
 
 def blocks(classes: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def blocks(classes: DataFrame) -> DataFrame:
             yield flush()
 
     ordered = classes.select("dim", "first", "rep", "weight", "raw").repartitionByRange("dim", "first", "rep").sortWithinPartitions("dim", "first", "rep")
-    return ordered.mapInArrow(packed, "block long, dim int, low double, high double, ids binary, weights binary, raw binary")
+    return ordered.mapInArrow(lean(packed), "block long, dim int, low double, high double, ids binary, weights binary, raw binary")
 
 
 def components_in(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
                 yield batch(schema, rep=ids[linked], links=links[linked], low=low[linked])
 
     spread = max(8, vectors.sparkSession.sparkContext.defaultParallelism * 2)
-    found = cut(meet.join(side("i"), "i").join(side("j"), "j").repartition(spread, F.xxhash64("i", "j")).mapInArrow(compared, "rep long, links long, low long"))
+    found = cut(meet.join(side("i"), "i").join(side("j"), "j").repartition(spread, F.xxhash64("i", "j")).mapInArrow(lean(compared), "rep long, links long, low long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = classes.select(*keys, "rep", "least", "weight").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(*keys, "least", "weight", "links", F.coalesce("component", "rep").alias("group"))

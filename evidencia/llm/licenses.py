@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, text_bytes
+from .common import arrow_ready, batch, lean, text_bytes
 
 #: Exact phrases and their labels (fixed values).
 PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
@@ -151,4 +151,4 @@ def license_scan(documents: DataFrame) -> DataFrame:
             yield batch(SCHEMA, doc_id=b.column(0), spans=spans, **{n: [x[n] for x in found] for n in SCHEMA.names[1:-1]})
 
     arrow_ready(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(scanned, DDL)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(lean(scanned), DDL)

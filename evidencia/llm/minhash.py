@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut, stored, text_bytes
+from .common import arrow_ready, batch, cut, lean, stored, text_bytes
 from .graph import connected_components
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +123,7 @@ def sign(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 at = end
 
     arrow_ready(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(signed, "doc_id long, n long, key_a long, key_b long, bands array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(lean(signed), "doc_id long, n long, key_a long, key_b long, bands array<long>")
 
 
 def full_sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -136,7 +136,7 @@ def full_sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
 
     ids = stored(ids, "ids")  # so that the planner knows their size: few ids go to the texts, not the texts to them
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("text")).join(ids, "id", "left_semi")
-    return cut(texts.mapInArrow(cut_up, "id long, shingles binary"))
+    return cut(texts.mapInArrow(lean(cut_up), "id long, shingles binary"))
 
 
 def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -158,7 +158,7 @@ def confirm(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> Dat
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = full_sets(ids, documents, k)
     left, right = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(compared, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(compared), "a long, b long")
 
 
 def common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, row_base, text_bytes
+from .common import arrow_ready, batch, lean, row_base, text_bytes
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("batch_id", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, batch_id long"
@@ -70,7 +70,7 @@ class Encoder:
     outside ``PLAIN``, or with a special token's string, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -155,4 +155,4 @@ def pack(documents: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_
 
     arrow_ready(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(pieces, DDL).withColumn("bucket", F.log2("length").cast("int"))
+    return rows.mapInArrow(lean(pieces), DDL).withColumn("bucket", F.log2("length").cast("int"))

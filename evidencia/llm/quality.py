@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, cut, remainder, text_bytes
+from .common import arrow_ready, batch, cut, lean, remainder, text_bytes
 
 MARKS = b"#$%&*|~^<>{}[]=+_@\\/"
 UPPER = bytes(range(65, 91))
@@ -134,7 +134,7 @@ def measure(documents: DataFrame) -> DataFrame:
             yield batch(schema, doc_id=b.column(0), x=[statistics(t.as_py()) for t in b.column(1)])
 
     arrow_ready(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(measured, "doc_id long, x array<double>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(lean(measured), "doc_id long, x array<double>")
 
 
 def learn(measured: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
@@ -155,7 +155,7 @@ def learn(measured: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, s
             yield batch(schema, k=np.full(len(v), c, "int32"), i=np.arange(len(v), dtype="int32"), v=v)
 
     marked = labels.filter(F.col("quality").isin(0, 1) & (remainder("doc_id", mod) != held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("k"))
-    rows = measured.join(marked, "doc_id").select("k", "x").mapInArrow(summed, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    rows = measured.join(marked, "doc_id").select("k", "x").mapInArrow(lean(summed), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     sums = {}
     for k in {r.k for r in rows}:
         v = np.zeros(1 + d + d * d)
@@ -176,7 +176,7 @@ def score_measured(measured: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array(b.column(1).flatten()).reshape(-1, d)
             yield batch(schema, doc_id=b.column(0), score=shared.value.score(x))
 
-    return measured.mapInArrow(scored, "doc_id long, score double")
+    return measured.mapInArrow(lean(scored), "doc_id long, score double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
@@ -195,4 +195,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, mod: int = 4, held: int =
             x = np.array([statistics((t.as_py() or "").encode()) for t in b.column("text")]).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(shared.value.score(x) >= least))
 
-    return documents.mapInArrow(good, documents.schema)
+    return documents.mapInArrow(lean(good), documents.schema)

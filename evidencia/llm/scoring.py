@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, remainder, row_base, stored, text_bytes
+from .common import arrow_ready, batch, lean, remainder, row_base, stored, text_bytes
 
 ORDER = 6
 #: The highest order that all executors hold.
@@ -93,7 +93,7 @@ def word_counts(documents: DataFrame, mod: int, held: int) -> DataFrame:
         yield from flush()
 
     rows = documents.select(text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
-    return rows.mapInArrow(counted, "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
+    return rows.mapInArrow(lean(counted), "word binary, c long, all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("all").alias("all"))
 
 
 def text_windows(texts: pa.Array, order: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def window_counts(documents: DataFrame, mod: int, held: int, across: bool) -> Da
         yield from given()
 
     rows = documents.select(text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
-    return rows.mapInArrow(counted, "window long, c long").groupBy("window").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(lean(counted), "window long, c long").groupBy("window").agg(F.sum("c").alias("c"))
 
 
 def orders(windows: np.ndarray, counts: np.ndarray, lowest: int, highest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def low_orders(windows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         merged = summed(*(np.concatenate(x) for x in zip(merged, *waiting)))
         yield batch(schema, entry=merged[0], n=merged[1])
 
-    found = windows.where("c > 0").select("window", "c").mapInArrow(counted, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
+    found = windows.where("c > 0").select("window", "c").mapInArrow(lean(counted), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toArrow()
     return np.array(found.column("entry"), np.int64), np.array(found.column("n"), np.int64)
 
 
@@ -260,7 +260,7 @@ def scored_windows(windows: DataFrame, slots: int) -> DataFrame:
     # groups of windows whose contexts end alike; shorter contexts need no higher orders
     group = F.shiftright("window", 8).bitwiseAND((1 << 8 * (LOW + 1)) - 1)
     placed = windows.select("window", "c", group.alias("group")).repartition("group").sortWithinPartitions("group")
-    return placed.mapInArrow(scored, "window long, c long, slot long, score double")
+    return placed.mapInArrow(lean(scored), "window long, c long, slot long, score double")
 
 
 def frequent_windows(windows: DataFrame, most: int) -> pa.Table:
@@ -374,7 +374,7 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
     end_base, end_known = float(base(texts)), int(texts > 0)
     del top, top_words, top_counts
     pa.default_memory_pool().release_unused()
-    table = words.select("word", "c").mapInArrow(based, "key binary, known long, word_base double, word_score double")
+    table = words.select("word", "c").mapInArrow(lean(based), "key binary, known long, word_base double, word_score double")
 
     def unplaced(batches):
         placed, _ = spread_out()
@@ -384,7 +384,7 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
             m = int(far.sum())
             yield batch(based_schema, key=window_keys(found[far]), known=np.zeros(m, np.int64), word_base=np.zeros(m), word_score=np.array(b.column(2), np.float64)[far])
 
-    table = table.unionAll(windows.select("window", "slot", "score").mapInArrow(unplaced, "key binary, known long, word_base double, word_score double"))
+    table = table.unionAll(windows.select("window", "slot", "score").mapInArrow(lean(unplaced), "key binary, known long, word_base double, word_score double"))
 
     def parts(batches):
         frequent, known = values.value
@@ -433,7 +433,7 @@ def score_texts(documents: DataFrame, mod: int = 7, held: int = 2, across: bool
 
     taken = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), (remainder("doc_id", mod) == held).alias("held_out"))
     # a document's own row carries a key that no word can be, so that both kinds of rows spread evenly
-    met = taken.mapInArrow(parts, PARTS_DDL).join(table, "key", "left")
+    met = taken.mapInArrow(lean(parts), PARTS_DDL).join(table, "key", "left")
     add = lambda own, word: (F.coalesce(F.sum(own), F.lit(0)) + F.coalesce(F.sum(F.col("times") * F.col(word)), F.lit(0))).alias(own)
     out = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), add("n_known", "known"), add("base", "word_base"), add("score", "word_score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
