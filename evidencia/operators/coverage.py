@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import percent, stem
 from ..registry import query
-from ..schema import HARD_TYPES
+from ..schema import HARD_TYPES, WEAK_TYPES
 from ..sources.driver_tables import Graph
 from .classification import language, language_sql
 from .evidence import denominator, of_kinds
@@ -192,3 +192,188 @@ def _status(g: Graph) -> DataFrame:
     files = g.manifest_now.agg(F.count("*").alias("files"))
     changes = manifest_diff(g.manifest_before, g.manifest_now).agg(F.count("*").alias("changes"))
     return files.crossJoin(changes).crossJoin(denominator(g.nodes).agg(F.count("*").alias("behaviors")))  # single rows
+
+
+#: Directories that say nothing of an area, and how an area's behaviours are capped (fixed values).
+AREA_SKIP = ["src", "app", "lib", "packages", "tests", "test", "e2e", "__tests__", "spec"]
+MOST_OF_AREAS = 50
+#: What ties a change to a behaviour, the strongest last (fixed values).
+LINK_KINDS = ["area", "stem", "import", "direct"]
+
+
+def meaningful_area(path: Column) -> Column:
+    """The first directory that isn't one of ``AREA_SKIP``, else the first one, else ``core``."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    named = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: ~F.lower(x).isin(AREA_SKIP))
+    return F.coalesce(F.get(named, F.lit(0)), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))), F.lit("core"))
+
+
+def impacted_behaviors(changed: DataFrame, nodes: DataFrame, edges: DataFrame, candidates: DataFrame, links: DataFrame, areas: DataFrame) -> DataFrame:
+    """Behaviours that a change of files touches, with the strongest tie: a test of theirs changed (direct), imports a
+    changed file (import) or has its name (stem); else they lie in an area of a changed file that has no such tie.
+
+    ``links``: code_file, test_file, kind (import or stem); ``areas``: external_id, area. A changed file that more
+    than 20 tests and 2 % of all are tied to ties nothing, neither by tests nor by its area. Of the areas only the
+    first ``MOST_OF_AREAS`` behaviours by id count."""
+    changed = changed.select("file").distinct()
+    tests = of_kinds(nodes, ["TestCase"]).select(F.col("external_id").alias("test_id"), F.col("file").alias("test_file"))
+    behaviors = nodes.where("kind in ('Requirement', 'UserFlow', 'BusinessRule')").select(F.col("external_id").alias("id"))
+    rank = F.when(F.col("kind") == "import", 2).otherwise(1)
+    files = tests.select("test_file").distinct()
+    tied = links.join(changed, links.code_file == changed.file, "left_semi").join(files, "test_file", "left_semi").groupBy("code_file", "test_file").agg(F.max(rank).alias("rank"))
+    total = files.agg(F.count("*").alias("n"))
+    hubs = tied.groupBy("code_file").agg(F.count("*").alias("fans")).crossJoin(F.broadcast(total)).where(F.col("fans") > F.greatest(F.lit(20), F.ceil(F.col("n") * 0.02))).select("code_file")  # one row beside
+    through = tied.join(hubs, "code_file", "left_anti").groupBy("test_file").agg(F.max("rank").alias("rank"))
+    reached = tests.join(through, "test_file").select("test_id", "rank").unionByName(tests.join(changed, F.col("test_file") == F.col("file"), "left_semi").select("test_id", F.lit(3).alias("rank"))).groupBy("test_id").agg(F.max("rank").alias("rank"))
+    ties = edges.where(F.col("type").isin(HARD_TYPES)).select("from_id", "to_id").unionByName(candidates.where(F.col("type").isin(WEAK_TYPES)).select("from_id", "to_id"))
+    both = ties.select(F.explode(F.array(F.struct(F.col("from_id").alias("test_id"), F.col("to_id").alias("id")), F.struct(F.col("to_id").alias("test_id"), F.col("from_id").alias("id")))).alias("e")).select("e.*")
+    precise = both.join(reached, "test_id").join(behaviors, "id", "left_semi").groupBy("id").agg(F.max("rank").alias("rank"))
+    own = areas.select(F.col("external_id").alias("id"), "area").where("area is not null").join(behaviors, "id", "left_semi")
+    known = precise.join(own, "id").select("area").distinct()
+    open_areas = changed.join(hubs, changed.file == hubs.code_file, "left_anti").select(meaningful_area(F.col("file")).alias("area")).distinct().join(known, "area", "left_anti")
+    by_area = own.join(open_areas, "area", "left_semi").join(precise, "id", "left_anti").select("id").distinct().orderBy("id").limit(MOST_OF_AREAS).withColumn("rank", F.lit(0))
+    return precise.unionByName(by_area).select("id", F.element_at(F.array(*map(F.lit, LINK_KINDS)), F.col("rank") + 1).alias("link"))
+
+
+@query(
+    "impacted_behaviors",
+    ("nodes", "edges", "candidates", "file_links", "behavior_areas", "changed_files"),
+    """, changed as (select file from changed_files union select file from tests where k % 9 = 1), all_tests as (select external_id as test_id, file as test_file from nodes where kind = 'TestCase'), behs as (select external_id as id from nodes where kind in ('Requirement', 'UserFlow', 'BusinessRule')),
+    tied as (select code_file, test_file, max(case kind when 'import' then 2 else 1 end) as rank from file_links where code_file in (select file from changed) and test_file in (select test_file from all_tests) group by 1, 2),
+    hub_files as (select code_file from tied group by code_file having count(*) > greatest(20, ceil((select count(distinct test_file) from all_tests) * 0.02))),
+    reached as (select test_id, max(rank) as rank from (select t.test_id, x.rank from all_tests t join tied x using (test_file) where x.code_file not in (select code_file from hub_files) union all select test_id, 3 from all_tests where test_file in (select file from changed)) y group by test_id),
+    ties as (select from_id, to_id from edges where type in ('TESTED_BY', 'COVERS') union all select from_id, to_id from candidates where type in ('MAY_BE_TESTED_BY', 'MAY_COVER')), ends as (select from_id as test_id, to_id as id from ties union all select to_id, from_id from ties),
+    precise as (select id, max(rank) as rank from ends join reached using (test_id) where id in (select id from behs) group by id), own as (select external_id as id, area from behavior_areas where area is not null),
+    open_areas as (select distinct case when split_part(file, '/', 1) in ('src', 'tests') and split_part(file, '/', 3) <> '' then split_part(file, '/', 2) else split_part(file, '/', 1) end as area from changed where file not in (select code_file from hub_files)),
+    by_area as (select id from own where area in (select area from open_areas) and area not in (select area from own where id in (select id from precise)) and id not in (select id from precise) order by id limit 50)
+    select id, case rank when 3 then 'direct' when 2 then 'import' else 'stem' end as link from precise union all select id, 'area' from by_area""",
+)
+def _impacted(g: Graph) -> DataFrame:
+    """Some tests are among the changed files."""
+    changed = g.changed_files.unionByName(g.tests.where("k % 9 = 1").select("file"))
+    return impacted_behaviors(changed, g.nodes, g.edges, g.candidates, g.file_links, g.behavior_areas)
+
+
+#: Files that installing packages changes (fixed values).
+INSTALL_ARTIFACTS = r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|node_modules/.*)$"
+
+
+def provable(nodes: DataFrame) -> DataFrame:
+    """Symbols that a proof may aim at: eligible, live, entry points by their surface and of a language and shape that
+    can be run. ``nodes``: file, name, kind, eligible, stale, surface, reason_code, symbol_kind."""
+    lang = language(F.col("file"))
+    method = F.regexp_extract("name", r"([^.]*)$", 1)
+    shape = F.when(lang.isin("typescript", "javascript"), True).when(lang == "go", ~F.col("name").contains(".")).when(lang.isin("java", "kotlin"), F.col("symbol_kind") == "method").when(lang == "python", ~method.rlike("^__.*__$")).otherwise(False)
+    return nodes.where((F.col("kind") == "CodeSymbol") & F.col("eligible") & ~F.coalesce("stale", F.lit(False)) & (F.col("surface") == "entrypoint_adjacent") & F.col("reason_code").isNull() & shape)
+
+
+def associated_tests(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, links: DataFrame, strict: DataFrame) -> DataFrame:
+    """Symbol, test file, whether a hard edge ties them, and the place of the first tie. Hard edges tie any eligible
+    symbol; possible links, and files that belong together (all their symbols), only those of ``strict`` (id, file).
+    What a model suggested doesn't count."""
+    tests = of_kinds(nodes, ["TestCase"]).select(F.col("external_id").alias("t"), F.col("file").alias("test_file"))
+    symbols = nodes.where("kind = 'CodeSymbol' and eligible and not stale").select(F.col("external_id").alias("s"))
+
+    def pairs(rows: DataFrame, hard: bool, first: int, of: DataFrame) -> DataFrame:
+        ends = rows.select(F.explode(F.array(F.struct(F.col("from_id").alias("s"), F.col("to_id").alias("t")), F.struct(F.col("to_id").alias("s"), F.col("from_id").alias("t")))).alias("e"), "ord").select("e.*", "ord")
+        return ends.join(tests, "t").join(of, "s", "left_semi").select("s", "test_file", F.lit(hard).alias("hard"), F.struct(F.lit(first).alias("list"), F.col("ord").cast("string").alias("ord")).alias("place"))
+
+    narrow = strict.select(F.col("id").alias("s"))
+    kept = candidates.where(F.col("type").isin(WEAK_TYPES) & ~F.coalesce("ai_suggested", F.lit(False)))
+    by_file = links.join(files_of(tests), "test_file", "left_semi").join(strict.select(F.col("id").alias("s"), F.col("file").alias("code_file")), "code_file").select("s", "test_file", F.lit(False).alias("hard"), F.struct(F.lit(2).alias("list"), F.col("test_file").alias("ord")).alias("place"))
+    every = pairs(edges.where(F.col("type").isin(HARD_TYPES)), True, 0, symbols).unionByName(pairs(kept, False, 1, narrow)).unionByName(by_file)
+    return every.groupBy("s", "test_file").agg(F.max("hard").alias("hard"), F.min("place").alias("place")).select(F.col("s").alias("symbol"), "test_file", "hard", F.col("place.list").cast("long").alias("first_list"))
+
+
+def files_of(tests: DataFrame) -> DataFrame:
+    return tests.select("test_file").distinct()
+
+
+@query(
+    "associated_tests",
+    ("nodes", "edges", "candidates", "file_links"),
+    """, t as (select external_id as t, file as test_file from nodes where kind = 'TestCase'), sym as (select external_id as s, file from nodes where kind = 'CodeSymbol' and eligible and not stale), strict as (select * from sym where contains(file, 'controllers') or contains(file, 'services')),
+    hard_ends as (select from_id as s, to_id as t from edges where type in ('TESTED_BY', 'COVERS') union all select to_id, from_id from edges where type in ('TESTED_BY', 'COVERS')),
+    weak_ends as (select from_id as s, to_id as t from candidates where type in ('MAY_BE_TESTED_BY', 'MAY_COVER') and not ai_suggested union all select to_id, from_id from candidates where type in ('MAY_BE_TESTED_BY', 'MAY_COVER') and not ai_suggested),
+    found as (select s, test_file, true as hard, 0 as list from hard_ends join t using (t) where s in (select s from sym) union all select s, test_file, false, 1 from weak_ends join t using (t) where s in (select s from strict) union all select x.s, l.test_file, false, 2 from file_links l join strict x on x.file = l.code_file where l.test_file in (select test_file from t))
+    select s as symbol, test_file, bool_or(hard) as hard, min(list) as first_list from found group by s, test_file""",
+)
+def _associated(g: Graph) -> DataFrame:
+    """Symbols of controllers and services count as entry points here."""
+    strict = g.live_symbols.where("file like '%controllers%' or file like '%services%'").select(F.col("external_id").alias("id"), "file")
+    return associated_tests(g.nodes, g.edges, g.candidates, g.file_links, strict)
+
+
+@query(
+    "provable_targets",
+    ("source_symbols", "public_files"),
+    f""", shown as (select *, {language_sql("path")} as language, regexp_extract(name, '([^.]*)$', 1) as method, k % 4 <> 0 as eligible, case when k % 3 <> 0 then 'entrypoint_adjacent' else 'public_api_entry' end as surface, case when k % 11 = 0 then 'infra_behavior_surface' end as reason_code, k % 13 = 0 as stale from source_symbols)
+    select k from shown where eligible and not stale and surface = 'entrypoint_adjacent' and reason_code is null and case when language in ('typescript', 'javascript') then true when language = 'go' then not contains(name, '.') when language in ('java', 'kotlin') then kind = 'method' when language = 'python' then not regexp_matches(method, '^__.*__$') else false end""",
+)
+def _provable(g: Graph) -> DataFrame:
+    k = F.col("k")
+    rows = g.source_symbols.select("k", F.col("path").alias("file"), "name", F.col("kind").alias("symbol_kind"), F.lit("CodeSymbol").alias("kind"), (k % 4 != 0).alias("eligible"), F.when(k % 3 != 0, "entrypoint_adjacent").otherwise("public_api_entry").alias("surface"), F.when(k % 11 == 0, "infra_behavior_surface").alias("reason_code"), (k % 13 == 0).alias("stale"))
+    return provable(rows).select("k")
+
+
+def proof_scope(changed: DataFrame, targets: DataFrame, explicit: bool) -> DataFrame:
+    """The changed files that proofs are scoped to: all of an explicit diff; else those that installing didn't change,
+    if a provable target lies in one of them; else none, which means no scope."""
+    if explicit:
+        return changed.select("file")
+    kept = changed.select("file").where(~F.col("file").rlike(INSTALL_ARTIFACTS))
+    touched = targets.select("file").join(kept, "file", "left_semi").limit(1).agg(F.count("*").alias("touched"))
+    return kept.crossJoin(F.broadcast(touched)).where("touched > 0").select("file")  # one row beside
+
+
+@query("proof_scope", ("nodes", "changed_files"), "select 'diff' as mode, file from (select file from changed_files union all select 'web/package-lock.json') x union all select 'auto', file from changed_files where exists (select 1 from nodes where kind = 'CodeSymbol' and eligible and not stale and file in (select file from changed_files))")
+def _scope_of_proof(g: Graph) -> DataFrame:
+    changed = g.changed_files.unionByName(g.spark.sql("select 'web/package-lock.json' as file"))
+    shown = lambda mode, explicit: proof_scope(changed, g.live_symbols, explicit).select(F.lit(mode).alias("mode"), "file")
+    return shown("diff", True).unionByName(shown("auto", False))
+
+
+#: Languages whose targets can be proven dynamically (fixed values).
+PROVABLE_LANGUAGES = ["typescript", "javascript", "go", "java", "python"]
+
+
+def recorded_runs(attempts: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Status and reason of attempts (id, target, language, test_file, vacuous) from the hard proof edges (target, test)
+    before and after them. A static edge is only associated: nothing here is ever proven or closed."""
+    had = before.groupBy("target").agg(F.count("*").alias("pre_edges"))
+    new = after.join(before, ["target", "test"], "left_anti")
+    rows = attempts.join(had, "target", "left").join(new.groupBy("target").agg(F.count("*").alias("any_new")), "target", "left")
+    own = attempts.where("test_file is not null").select("id", "target", F.concat(F.lit("test:"), "test_file").alias("test")).join(new, ["target", "test"], "left_semi").select("id", "target", F.lit(1).alias("own")).distinct()
+    rows = rows.join(own, ["id", "target"], "left")
+    credited = F.when(F.col("test_file").isNull(), F.coalesce("any_new", F.lit(0))).otherwise(F.coalesce("own", F.lit(0)))
+    verifiable, had_edges = F.col("language").isin(PROVABLE_LANGUAGES), F.coalesce("pre_edges", F.lit(0)) > 0
+    status = F.when(verifiable, "unproven").otherwise("generated_unverifiable")
+    reason = F.when(~verifiable, "not verifiable").when(had_edges, "already associated").when(credited > 0, "static edge found").when(F.col("vacuous"), "vacuous").otherwise("no new edge")
+    return rows.select("id", status.alias("status"), F.lit(False).alias("closed"), F.when(verifiable & ~had_edges, credited).otherwise(0).alias("new_edges"), reason.alias("reason"))
+
+
+@query(
+    "recorded_runs",
+    ("generated", "edges"),
+    """, attempts as (select ord as id, 'A' || entity_id as target, case ord % 5 when 0 then 'rust' when 1 then 'go' else 'typescript' end as language, case when ord % 3 = 0 then null else 'tests/s' || (1 + ord % 10) || '.test.ts' end as test_file, ord % 7 = 0 as vacuous from generated where place = 1 group by all),
+    post as (select distinct 'A' || from_id as target, to_id as test from edges where type = 'TESTED_BY' and strength = 'hard'), pre as (select * from post where length(target) % 3 = 0), fresh as (select * from post except select * from pre),
+    j as (select a.*, exists (select 1 from pre p where p.target = a.target) as had, case when test_file is null then (select count(*) from fresh f where f.target = a.target) else (select count(*) from fresh f where f.target = a.target and f.test = 'test:' || a.test_file) end as credited from attempts a)
+    select id, case when language = 'rust' then 'generated_unverifiable' else 'unproven' end as status, false as closed, case when language <> 'rust' and not had then credited else 0 end as new_edges, case when language = 'rust' then 'not verifiable' when had then 'already associated' when credited > 0 then 'static edge found' when vacuous then 'vacuous' else 'no new edge' end as reason from j""",
+)
+def _recorded(g: Graph) -> DataFrame:
+    n = F.col("ord")
+    attempts = g.generated.where("place = 1").select(n.alias("id"), F.concat(F.lit("A"), "entity_id").alias("target"), F.when(n % 5 == 0, "rust").when(n % 5 == 1, "go").otherwise("typescript").alias("language"), F.when(n % 3 != 0, F.concat(F.lit("tests/s"), (1 + n % 10).cast("string"), F.lit(".test.ts"))).alias("test_file"), (n % 7 == 0).alias("vacuous")).distinct()
+    after = g.edges.where("type = 'TESTED_BY' and strength = 'hard'").select(F.concat(F.lit("A"), "from_id").alias("target"), F.col("to_id").alias("test")).distinct()
+    return recorded_runs(attempts, after.where("length(target) % 3 = 0"), after)
+
+
+def within_budget(rows, most: int) -> list:
+    """Candidates (test, implementation) in rank order whose files together stay within ``most``; one that would
+    exceed it is passed over whole. ``most`` bounds what is held, and the rows are read one by one."""
+    taken, files = [], set()
+    for test, implementation in rows:
+        more = files | {test, implementation}
+        if len(more) <= most:
+            taken.append((test, implementation))
+            files = more
+    return taken

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_half_up
@@ -285,10 +285,21 @@ def portfolio(rows, limit: int = 20, per_file: int = 3, per_title: int = 1) -> l
     return sorted(taken, key=lambda r: (-r.score, -r.refs, -r.churn, r.id))
 
 
+def contenders(rows: DataFrame, limit: int = 20, per_file: int = 3, per_title: int = 1) -> DataFrame:
+    """The rows that ``portfolio`` can choose: of each file and title the first ``per_title``, and of each title as many
+    as there can be files that are full, and ``per_title`` more. Both limits hold before the shuffle, too."""
+    rank = [F.desc("score"), F.desc("refs"), F.desc("churn"), F.col("id")]
+    key = F.trim(F.substring_index(F.coalesce("title", F.lit("")), "(", 1))
+    one = Window.partitionBy("file", "title_key").orderBy(*rank)
+    kept = rows.withColumn("title_key", key).withColumn("n", F.row_number().over(one)).where(F.col("n") <= per_title)
+    few = Window.partitionBy("title_key").orderBy(*rank)
+    return kept.withColumn("n", F.row_number().over(few)).where(F.col("n") <= limit // per_file + per_title).drop("n", "title_key")
+
+
 @query("risk_portfolio")
 def _portfolio(g: Graph) -> DataFrame:
-    rows = by_risk(risk_rows(g.nodes, g.edges, g.candidates, g.ledger, g.commits))
-    return g.spark.createDataFrame(portfolio(rows.toLocalIterator()), rows.schema)
+    rows = risk_rows(g.nodes, g.edges, g.candidates, g.ledger, g.commits)
+    return g.spark.createDataFrame(portfolio(by_risk(contenders(rows)).toLocalIterator()), rows.schema)
 
 
 __all__ = ["API_NAME", "rank_risks", "risk_rows"]

@@ -13,13 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def _chain(remainder: int) -> str:
-    return f"""
-        select a_id, b_id, min(strength) as strength, min(k) as ord from (
-            select l_orderkey as k, l_partkey as a_id, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as b_id,
-                case when l_orderkey % 150 = 0 then 'framework-derived' else 'hard' end as strength
-            from {{lineitem}} where l_orderkey % 50 = {remainder}) x
-        where b_id is not null and a_id <> b_id group by a_id, b_id"""
+#: Each line of an order and the part of the line after it.
+_CHAIN = """select l_orderkey as k, l_partkey as a_id, l_linestatus, l_extendedprice, l_discount, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as b_id from {lineitem}"""
 
 
 def _values(texts: list[str | None]) -> str:
@@ -67,6 +62,10 @@ RELATIONS: dict[str, str] = {
         select x.k, s.t as specifier, case when x.k % 3 = 0 then 'test' else 'source' end as from_role, case when x.k % 5 = 1 then 'test' else 'source' end as target_role, case when x.k % 7 = 0 then 'type' else 'runtime' end as kind,
             x.returned <> 'R' as resolved, x.k % 11 = 0 or s.i in (6, 7, 8) as external, x.k % 4 = 0 as barrel, x.k % 9 <> 0 as named, x.k % 13 <> 0 as covered
         from (select l_orderkey * 8 + l_linenumber as k, l_returnflag as returned, l_partkey from {{lineitem}}) x join {_values(SPECIFIERS)} s(i, t) on s.i = x.l_partkey % {len(SPECIFIERS)}""",
+    "file_links": """
+        select distinct s.file as code_file, t.file as test_file, case when l_linestatus = 'F' then 'import' else 'stem' end as kind from {lineitem} join {symbols} s on s.k = l_partkey join {tests} t on t.k = l_suppkey where l_quantity <= 2 or (s.dir = 'utils' and l_quantity <= 20)""",
+    "behavior_areas": """
+        select external_id, case k % 6 when 0 then 'checkout' when 1 then 'utils' when 2 then 'medium' when 3 then 'promo' when 4 then 'controllers' end as area from {behaviors}""",
     "failures": f"""
         select e.event_id as k, replace(s.t, '~', chr(10)) as said, n.t as engines from {{events}} e join {_values(FAILURE_LINES)} s(i, t) on s.i = e.event_id % {len(FAILURE_LINES)} join {_values(NODE_RANGES)} n(i, t) on n.i = e.user_id % {len(NODE_RANGES)}""",
     "scored": """
@@ -81,7 +80,7 @@ RELATIONS: dict[str, str] = {
         select p.k, 'sym:' || p.file || '#' || p.name as external_id, p.file, p.dir, p.name, p.title, p.p_type, 1 as start_line, p.p_size as end_line, q.name as member_of,
             p.k % 5 <> 0 as eligible, p.k % 97 = 0 as stale,
             case when p.k % 5 <> 0 then null when cast(floor(p.k / 5) as bigint) % 3 = 0 then 'boilerplate accessor' when cast(floor(p.k / 5) as bigint) % 3 = 1 then 'infra code' else 'generated code' end as reason
-        from {parts} p left join {parts} q on q.k = p.k - p.k % 10 and q.file = p.file and q.k <> p.k""",
+        from {parts} p left join (select file, min(k) as k from {parts} group by file) f on f.file = p.file and f.k <> p.k and p.k % 3 = 0 left join {parts} q on q.k = f.k""",
     "tests": """
         select s_suppkey as k, 'test:tests/s' || cast(s_suppkey as varchar(20)) || '.test.ts' as external_id, 'tests/s' || cast(s_suppkey as varchar(20)) || '.test.ts' as file, s_name as title,
             case s_nationkey % 7 when 0 then 'unit' when 1 then 'component' when 2 then 'integration' when 3 then 'api' when 4 then 'e2e' when 5 then 'manual' else 'unknown' end as layer
@@ -96,11 +95,13 @@ RELATIONS: dict[str, str] = {
         union all select 30000000 + min(k), file, 'File', file, file, null, null, null, null, null, null, false, false, null, false, null, cast(1.0 as double) from {symbols} group by file
         union all select 40000000 + k, 'AC-' || cast(k as varchar(20)), 'AcceptanceCriterion', title, null, null, null, null, null, null, null, false, false, null, false, null, cast(0.8 as double) from {behaviors} where k % 6 = 0""",
     "symbol_tests": """
-        select l_partkey as p, l_suppkey as s, case when min(l_linestatus) = 'F' then 'hard' else 'reviewed' end as strength from {lineitem} where l_returnflag = 'R' and l_orderkey % 20 = 0 group by l_partkey, l_suppkey""",
+        select l_partkey as p, l_suppkey as s, case when min(l_linestatus) = 'F' then 'hard' else 'reviewed' end as strength from {lineitem} where l_returnflag = 'R' group by l_partkey, l_suppkey having sum(l_quantity) > 47""",
     "behavior_tests": """
-        select distinct o_custkey as c, l_suppkey as s from {orders} join {lineitem} on l_orderkey = o_orderkey where l_returnflag = 'R' and o_orderkey % 20 = 0""",
-    "calls": _chain(0),
-    "may_calls": _chain(7),
+        select o_custkey as c, l_suppkey as s from {orders} join {lineitem} on l_orderkey = o_orderkey where l_returnflag = 'R' group by o_custkey, l_suppkey having sum(l_quantity) > 48""",
+    "calls": f"""
+        select a_id, max_by(b_id, (l_extendedprice, k, b_id)) as b_id, case when max(k) % 3 = 0 then 'framework-derived' else 'hard' end as strength, min(k) as ord from ({_CHAIN}) x where b_id is not null and a_id <> b_id group by a_id, l_linestatus""",
+    "may_calls": f"""
+        select a_id, max_by(b_id, (l_discount, k, b_id)) as b_id, 'candidate' as strength, min(k) as ord from ({_CHAIN}) x where b_id is not null and a_id <> b_id group by a_id""",
     "edges": """
         select x.p * 10000 + x.s as ord, a.external_id as from_id, b.external_id as to_id, 'TESTED_BY' as type, x.strength from {symbol_tests} x join {symbols} a on a.k = x.p join {tests} b on b.k = x.s
         union all select x.p * 10000 + x.s, b.external_id, a.external_id, 'COVERS', x.strength from {symbol_tests} x join {symbols} a on a.k = x.p join {tests} b on b.k = x.s
@@ -110,9 +111,9 @@ RELATIONS: dict[str, str] = {
         union all select 4000000000000 + k, external_id, 'AC-' || cast(k as varchar(20)), 'HAS_ACCEPTANCE_CRITERION', 'hard' from {behaviors} where k % 6 = 0""",
     "candidates": """
         select x.p * 10000 + x.s as ord, a.external_id as from_id, b.external_id as to_id, 'MAY_BE_TESTED_BY' as type, x.confidence, x.p % 11 = 0 as ai_suggested
-        from (select l_partkey as p, l_suppkey as s, least(0.9, 0.28 + max(l_discount)) as confidence from {lineitem} where l_returnflag = 'A' and l_orderkey % 20 = 1 group by l_partkey, l_suppkey) x join {symbols} a on a.k = x.p join {tests} b on b.k = x.s
+        from (select l_partkey as p, l_suppkey as s, least(0.9, 0.28 + max(l_discount)) as confidence from {lineitem} where l_returnflag = 'A' group by l_partkey, l_suppkey having sum(l_quantity) > 47) x join {symbols} a on a.k = x.p join {tests} b on b.k = x.s
         union all select 1000000000000 + x.c * 10000 + x.s, a.external_id, b.external_id, 'MAY_BE_TESTED_BY', 0.5, false
-        from (select distinct o_custkey as c, l_suppkey as s from {orders} join {lineitem} on l_orderkey = o_orderkey where l_returnflag = 'A' and o_orderkey % 20 in (1, 2)) x join {behaviors} a on a.k = x.c join {tests} b on b.k = x.s
+        from (select o_custkey as c, l_suppkey as s from {orders} join {lineitem} on l_orderkey = o_orderkey where l_returnflag = 'A' group by o_custkey, l_suppkey having sum(l_quantity) > 47) x join {behaviors} a on a.k = x.c join {tests} b on b.k = x.s
         union all select 2000000000000 + x.ord, a.external_id, b.external_id, 'MAY_CALL', 0.55, false from {may_calls} x join {symbols} a on a.k = x.a_id join {symbols} b on b.k = x.b_id""",
     "commits": """
         select s.file, l_shipdate as ts, cast(l_quantity as bigint) as adds, cast(l_linenumber as bigint) as dels from {lineitem} join {symbols} s on s.k = l_partkey""",
@@ -122,7 +123,7 @@ RELATIONS: dict[str, str] = {
             event_type = 'purchase' as closed, event_type = 'purchase' as dynamic_proof, event_id % 3 <> 0 as fingerprint_matches
         from {events} cross join (select count(*) as n from {part}) p join {symbols} s on s.k = (user_id * 7 + event_id) % p.n""",
     "coverage_ranges": """
-        select s.file, cast(l_linenumber * 5 as integer) as start_line, cast(l_linenumber * 5 + 3 as integer) as end_line, case when l_linestatus = 'F' then 'lcov' else 'go' end as format from {lineitem} join {symbols} s on s.k = l_partkey where l_orderkey % 30 = 0""",
+        select s.file, cast(20 + x.lines % 25 as integer) as start_line, cast(23 + x.lines % 25 as integer) as end_line, case when x.status = 'F' then 'lcov' else 'go' end as format from (select l_partkey as p, sum(l_linenumber) as lines, min(l_linestatus) as status from {lineitem} group by l_partkey, l_returnflag) x join {symbols} s on s.k = x.p""",
     "file_keys": """
         select file, min(k) as k from {symbols} group by file""",
     "manifest_before": """
@@ -132,11 +133,11 @@ RELATIONS: dict[str, str] = {
         union all select 'src/new/' || lower(replace(r_name, ' ', '-')) || '.ts', 'n' || cast(r_regionkey as varchar(20)) from {region}""",
     "generated": """
         select o_orderkey as ord, 'gen:' || cast(o_orderkey as varchar(20)) as test_id, l_linenumber as place, case when o_orderkey % 9 = 0 then 'sym:missing#' || cast(l_partkey as varchar(20)) else s.external_id end as entity_id, o_orderkey % 3 = 0 as runnable, o_orderkey % 40 as bucket_no, o_orderdate as created_at
-        from {orders} join {lineitem} on l_orderkey = o_orderkey join {symbols} s on s.k = l_partkey where o_orderkey % 40 = 3""",
+        from {orders} join {lineitem} on l_orderkey = o_orderkey join {symbols} s on s.k = l_partkey""",
     "pings": """
         select event_id as id, event_type as lang, case when value < 10 then '0-10' when value < 50 then '10-50' when value < 100 then '50-100' else '100+' end as file_bucket, event_id % 2 as has_byok, value as duration, cast(user_id % 5 as varchar(20)) as version, ts from {events}""",
     "changed_files": """
-        select distinct file from {symbols} where k % 40 = 1""",
+        select distinct file from {symbols} where end_line = 50""",
 }
 
 

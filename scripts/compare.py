@@ -49,7 +49,7 @@ def main() -> None:
     p.add_argument("--dir", default="/root/testdata/sf0.001")
     p.add_argument("names", nargs="*")
     a = p.parse_args()
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
     db.execute("set timezone = 'UTC'")
