@@ -257,7 +257,7 @@ PACKAGE_LINE = r"^package\s+[A-Za-z_][A-Za-z0-9_]*\s*;?$"
 
 def is_generated(content: Column) -> Column:
     """Whether the comments before the first declaration say that the file is generated."""
-    lines = F.transform(F.split(F.substring(F.coalesce(content, F.lit("")), 1, 8192), "\r?\n"), F.trim)
+    lines = F.transform(F.split(F.substring(F.coalesce(content, F.lit("")), 1, 8192), "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     comment = lambda x: x.rlike(COMMENT)
     other = F.transform(lines, lambda x, i: F.when((x != "") & ~comment(x) & ~x.rlike(PACKAGE_LINE), i))
     head = F.slice(lines, 1, F.coalesce(F.array_min(other), F.size(lines)))
@@ -271,7 +271,7 @@ def is_generated(content: Column) -> Column:
     f"""select k, path, coalesce(len(list_filter(list_transform(range(1, len(head) + 1), lambda i: regexp_matches(head[i], '{COMMENT}') and regexp_matches(head[i], '\\bCode generated\\b')
         and len(list_filter(list_slice(lines, i, i + 5), lambda y: (y = '' or regexp_matches(y, '{COMMENT}')) and contains(y, 'DO NOT EDIT'))) > 0), lambda b: b)) > 0, false) as is_generated
     from (select *, list_slice(lines, 1, coalesce(list_min(list_filter(range(1, len(lines) + 1), lambda i: lines[i] <> '' and not regexp_matches(lines[i], '{COMMENT}') and not regexp_matches(lines[i], '{PACKAGE_LINE}'))) - 1, len(lines))) as head
-    from (select *, list_transform(regexp_split_to_array(left(coalesce(content, ''), 8192), '\\r?\\n'), lambda x: trim(x)) as lines from source_files) x) y""",
+    from (select *, list_transform(regexp_split_to_array(left(coalesce(content, ''), 8192), '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as lines from source_files) x) y""",
 )
 def _generated(g: Graph) -> DataFrame:
     return g.source_files.select("k", "path", is_generated(F.col("content")).alias("is_generated"))
