@@ -82,14 +82,14 @@ def _fingerprint(g: Graph) -> DataFrame:
     return symbols.join(files, "file", "left").select("external_id", fingerprint(F.col("hash"), F.col("external_id"), F.col("member_of")).alias("fingerprint"))
 
 
-def numbered(records: DataFrame, order: str = "idx") -> DataFrame:
-    """Records with run_id: their own, or their place in the whole ledger from 1 on.
+def numbered(records: DataFrame, order: str = "idx", held: int = 0) -> DataFrame:
+    """Records with run_id: their own, or their place in the whole ledger, ``held`` records being there before.
 
     Places come from counts of sorted partitions, so no task sees the whole ledger."""
     ordered = shared(records.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     before = sizes.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each partition
-    place = F.col("before") + F.col("row") - F.col("first") + 1
+    place = F.col("before") + F.col("row") - F.col("first") + 1 + held
     own = F.nullif(F.col("run_id"), F.lit("")) if "run_id" in records.columns else F.lit(None).cast("string")
     joined = ordered.join(F.broadcast(before), "part")
     return joined.withColumn("run_id", F.coalesce(own, F.concat(F.lit("run:"), F.lpad(place.cast("string"), F.greatest(F.lit(6), F.length(place.cast("string"))), F.lit("0"))))).drop("part", "row", "first", "before")
