@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import AREA_SQL, area, top_area
@@ -407,3 +407,61 @@ PYTHON_TEST_ROOT = r"(?i)^(tests?|unit_?tests?|integration_?tests?|functional_?t
 )
 def _siblings(g: Graph) -> DataFrame:
     return sibling(g.source_files, g.source_files)
+
+
+def tests_of_risks(risks: DataFrame, tests: DataFrame, most: int = 2) -> DataFrame:
+    """Generated tests (ord, target, runnable, title) of each risk row (id, file, rank): those that aim at it; at the
+    first row of a file also those that aim at a symbol of the file which is no row itself. Where one can run, those
+    that can't are left out; the first ``most`` are shown."""
+    rows = risks.join(risks.groupBy("file").agg(F.min("rank").alias("first")), "file").withColumn("is_first", F.col("rank") == F.col("first")).drop("first")
+    aimed = tests.where("target is not null").withColumn("target_file", F.nullif(F.regexp_extract("target", "^sym:(.+)#", 1), F.lit("")))
+    exact = rows.select("id").join(aimed, F.col("id") == F.col("target")).select("id", "ord", "title", "runnable", F.lit(False).alias("same_file"))
+    others = aimed.join(risks.select(F.col("id").alias("target")), "target", "left_anti")
+    near = rows.where("is_first").select("id", "file").join(others, F.col("file") == F.col("target_file")).select("id", "ord", "title", "runnable", F.lit(True).alias("same_file"))
+    runs = F.coalesce("runnable", F.lit(True))
+    linked = exact.unionByName(near).withColumn("runnable", runs)
+    best = linked.groupBy("id").agg(F.max("runnable").alias("any_runs"))
+    shown = linked.join(best, "id").where("runnable or not any_runs")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
+    return shown.withColumn("place", place).where(F.col("place") <= most).select("id", F.col("place").cast("long").alias("place"), "title", "same_file", "runnable")
+
+
+@query(
+    "risk_tests",
+    ("symbols", "orders_in_order"),
+    """, risks as (select external_id as id, file, k as rank from symbols where end_line >= 30), firsts as (select file, min(rank) as rank from risks group by file), tests as (select o.ord, s.external_id as target, s.file as target_file, o.runnable, 'gen:' || o.ord as title from orders_in_order o join symbols s on s.k = o.k),
+    linked as (select r.id, t.ord, t.title, coalesce(t.runnable, true) as runnable, false as same_file from risks r join tests t on t.target = r.id union all select r.id, t.ord, t.title, coalesce(t.runnable, true), true from risks r join firsts f on f.file = r.file and f.rank = r.rank join tests t on t.target_file = r.file where t.target not in (select id from risks)),
+    shown as (select *, row_number() over (partition by id order by ord) as place from (select *, bool_or(runnable) over (partition by id) as any_runs from linked) x where runnable or not any_runs)
+    select id, place, title, same_file, runnable from shown where place <= 2""",
+)
+def _risk_tests(g: Graph) -> DataFrame:
+    """Symbols of 30 lines and more count as the risk rows, in the order of their keys."""
+    risks = g.symbols.where("end_line >= 30").select(F.col("external_id").alias("id"), "file", F.col("k").alias("rank"))
+    tests = g.orders_in_order.join(g.symbols.select("k", F.col("external_id").alias("target")), "k").select("ord", "target", "runnable", F.concat(F.lit("gen:"), F.col("ord").cast("string")).alias("title"))
+    return tests_of_risks(risks, tests)
+
+
+@query("job_listing", (), "select event_id, event_type, ts from events order by ts desc, event_id")
+def _jobs(g: Graph) -> DataFrame:
+    """Jobs, the newest first."""
+    return g.events.select("event_id", "event_type", "ts").orderBy(F.desc("ts"), "event_id")
+
+
+def patched(nodes: DataFrame, edges: DataFrame, proofs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Test nodes and the two edges of each proof (test_file, symbol) that the graph lacks: the test and COVERS, and
+    TESTED_BY back."""
+    test = F.concat(F.lit("test:"), "test_file")
+    wanted = proofs.select(test.alias("external_id"), F.col("test_file").alias("file")).distinct()
+    new_nodes = wanted.join(nodes.select("external_id"), "external_id", "left_anti").withColumn("kind", F.lit("TestCase"))
+    forth = proofs.select(test.alias("from_id"), F.col("symbol").alias("to_id"), F.lit("COVERS").alias("type"))
+    back = proofs.select(F.col("symbol").alias("from_id"), test.alias("to_id"), F.lit("TESTED_BY").alias("type"))
+    new_edges = forth.unionByName(back).distinct().join(edges.select("from_id", "to_id", "type"), ["from_id", "to_id", "type"], "left_anti")
+    return new_nodes, new_edges
+
+
+@query("scoped_patch", ("nodes", "edges", "symbols", "orders_in_order"), """, proofs as (select distinct 'tests/s' || (ord % 40) || '.test.ts' as test_file, s.external_id as symbol from orders_in_order o join symbols s on s.k = o.k), wanted as (select 'test:' || test_file as from_id, symbol as to_id, 'COVERS' as type from proofs union select symbol, 'test:' || test_file, 'TESTED_BY' from proofs)
+    select 'node' as what, 'test:' || test_file as from_id, 'TestCase' as type, file as to_id from (select distinct test_file, test_file as file from proofs) x where 'test:' || test_file not in (select external_id from nodes) union all select 'edge', from_id, type, to_id from (select * from wanted except select from_id, to_id, type from edges) y""")
+def _patch(g: Graph) -> DataFrame:
+    proofs = g.orders_in_order.join(g.symbols.select("k", F.col("external_id").alias("symbol")), "k").select(F.concat(F.lit("tests/s"), (F.col("ord") % 40).cast("string"), F.lit(".test.ts")).alias("test_file"), "symbol").distinct()
+    new_nodes, new_edges = patched(g.nodes, g.edges, proofs)
+    return new_nodes.select(F.lit("node").alias("what"), F.col("external_id").alias("from_id"), F.col("kind").alias("type"), F.col("file").alias("to_id")).unionByName(new_edges.select(F.lit("edge").alias("what"), "from_id", "type", "to_id"))

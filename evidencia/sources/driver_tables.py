@@ -68,6 +68,13 @@ RELATIONS: dict[str, str] = {
         select external_id, case k % 6 when 0 then 'checkout' when 1 then 'utils' when 2 then 'medium' when 3 then 'promo' when 4 then 'controllers' end as area from {behaviors}""",
     "failures": f"""
         select e.event_id as k, replace(s.t, '~', chr(10)) as said, n.t as engines from {{events}} e join {_values(FAILURE_LINES)} s(i, t) on s.i = e.event_id % {len(FAILURE_LINES)} join {_values(NODE_RANGES)} n(i, t) on n.i = e.user_id % {len(NODE_RANGES)}""",
+    "modules": """
+        select distinct case when p_size % 4 = 0 then 'src/' || lower(p_type) || '/m' || p_size || '.test.ts' else 'src/' || lower(p_type) || '/m' || p_size || '.ts' end as path, p_size % 4 = 0 as is_test,
+            case when p_size % 3 = 0 then 'src/' || lower(p_type) || '/n' || q || '.ts' when p_size % 3 = 1 then 'src/shared/n' || q || '/index.ts' else 'src/' || lower(p_type) || '/n' || q || '.test.tsx' end as target, p_size % 3 = 2 as target_is_test,
+            case when p_size % 3 = 0 then './n' || q || '.js' when p_size % 3 = 1 then '../shared/n' || q else './n' || q || '.test' end as specifier, case when p_size % 5 = 0 then 'type' else 'runtime' end as kind
+        from (select p_size, p_type, cast(floor(p_retailprice) as bigint) % 7 as q from {part}) x""",
+    "orders_in_order": """
+        select o_orderkey as ord, 1 + (o_custkey * 7 + o_orderkey) % n.n as k, case when o_orderkey % 4 = 0 then false when o_orderkey % 4 = 1 then true end as runnable from {orders} cross join (select count(*) as n from {part}) n""",
     "scored": """
         select event_id as k, ((event_id * 7) % 11) / 10.0 as acceptance_criteria, ((event_id * 3) % 11) / 10.0 as interface_mapping, ((event_id * 5) % 11) / 10.0 as validation_evidence, (event_id % 11) / 10.0 as known_regressions, ((event_id * 9) % 11) / 10.0 as provenance,
             (user_id % 4) * 50 as total, user_id % 3 as excluded_test_inferred, case when event_id % 5 < 2 then 0 else user_id % 4 end as requirement_template, case when event_id % 5 < 2 then 0 else event_id % 2 end as markdown_requirement, (event_id % 6) * 20 as code_export, event_id % 3 as requirements, event_id % 101 as overall from {events}""",

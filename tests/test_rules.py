@@ -256,3 +256,29 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_imports_are_read_and_resolved(spark):
+    from evidencia.operators import imports
+
+    content = """import a, { b as c, type T } from "./x.js";
+import * as ns from '../lib';
+import type { P } from "pg";
+import {
+  type Q,
+} from "q";
+import "./side.css";
+export { z } from "./z";
+export type { Y } from "./y";
+// import no from "no";
+const d = require("./d"); const e = await import("./e");
+const s = 'import f from "g"';
+/* import h from "h"; */
+"""
+    found = imports.extracted(spark.createDataFrame([("src/m.ts", content), ("n.ts", None)], "path string, content string"))
+    got = {r.specifier: (r.kind, list(r.bindings)) for r in found.collect()}
+    assert got == {"./x.js": ("runtime", ["default a", "b c"]), "../lib": ("runtime", ["* ns"]), "pg": ("type", ["P P"]), "q": ("type", []), "./side.css": ("runtime", []), "./z": ("runtime", []), "./y": ("type", []), "./d": ("runtime", []), "./e": ("runtime", [])}
+    files = spark.createDataFrame([(p,) for p in ["src/x.ts", "src/x.js", "lib/index.ts", "src/z.tsx", "src/d/index.js", "src/e.mjs"]], "path string")
+    targets = {r.specifier: r.target for r in imports.resolved(found, files).collect()}
+    assert {k: v for k, v in targets.items() if v} == {"./x.js": "src/x.ts", "../lib": "lib/index.ts", "./z": "src/z.tsx", "./d": "src/d/index.js", "./e": "src/e.mjs"}
+    assert table(spark, imports.normalised, {("a/b", "../c"): "a/c", ("a", "../../c"): None, ("", "./x"): "x", ("a", "./b/../c"): "a/c"}) == []
