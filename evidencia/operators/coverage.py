@@ -87,7 +87,7 @@ def go_profile(lines: DataFrame) -> DataFrame:
 def xml_lines(documents: DataFrame, kind: str) -> DataFrame:
     """(artifact, xml) of coverage.py or JaCoCo reports to covered lines."""
     if kind == "cobertura":
-        schema = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: int, _hits: bigint>>>>>>>>"
+        schema = "packages struct<package: array<struct<classes: struct<class: array<struct<_filename: string, lines: struct<line: array<struct<_number: int, _hits: bigint>>>>>>>>>"
         one = documents.select("artifact", F.explode(F.from_xml("xml", schema)["packages"]["package"]).alias("p")).select("artifact", F.explode("p.classes.class").alias("c")).select("artifact", F.col("c._filename").alias("file"), F.explode("c.lines.line").alias("l"))
         hit, number = F.col("l._hits") > 0, F.col("l._number")
     else:

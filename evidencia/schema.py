@@ -1,46 +1,11 @@
-"""Relations of the evidence graph: column types, enumerations and their orders."""
+"""Enumerations of the evidence graph and their orders."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-PROVENANCE = T.StructType([T.StructField(n, T.StringType()) for n in ("source_scope_id", "source_ref", "quote_hash", "detector", "model_provider", "model_name", "prompt_version", "cache_key")])
-
-NODES = T.StructType(
-    [
-        T.StructField("ord", T.LongType()),
-        T.StructField("external_id", T.StringType(), False),
-        T.StructField("kind", T.StringType(), False),
-        T.StructField("title", T.StringType()),
-        T.StructField("file", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("member_of", T.StringType()),
-        T.StructField("start_line", T.IntegerType()),
-        T.StructField("end_line", T.IntegerType()),
-        T.StructField("layer", T.StringType()),
-        T.StructField("priority", T.StringType()),
-        T.StructField("inline_criteria", T.BooleanType()),
-        T.StructField("eligible", T.BooleanType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("stale", T.BooleanType()),
-        T.StructField("behavior_source", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-    ]
-)
-EDGES = T.StructType(
-    [T.StructField("ord", T.LongType())]
-    + [T.StructField(n, T.StringType()) for n in ("from_id", "to_id", "type", "strength")]
-)
-CANDIDATES = T.StructType(
-    [T.StructField("ord", T.LongType())]
-    + [T.StructField(n, T.StringType()) for n in ("from_id", "to_id", "type")]
-    + [T.StructField("confidence", T.DoubleType()), T.StructField("ai_suggested", T.BooleanType())]
-)
 
 #: Names in rank order (fixed values).
-STRENGTHS = ["hard", "reviewed", "framework-derived", "candidate", "weak"]
 GAP_EVIDENCE = ["none", "weak", "covered"]
 LAYERS = ["unit", "component", "integration", "api", "e2e", "manual", "unknown"]
 TIERS = ["proven", "runtime", "associated", "candidate", "none"]

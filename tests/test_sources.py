@@ -60,3 +60,28 @@ def test_cache_gives_hits_and_misses(spark):
     assert sorted(r.rel_path for r in hits.collect()) == ["a", "c"] and [r.rel_path for r in misses.collect()] == ["b"]
     config = spark.createDataFrame([("tsconfig.json", "1")], "rel_path string, hash string")
     assert files.gate_hash(found, config) == files.gate_hash(found.repartition(3), config) != files.gate_hash(found.limit(2), config)
+
+
+def test_xml_reports_give_covered_lines(spark):
+    from evidencia.operators.coverage import xml_lines
+
+    cobertura = '<coverage><packages><package><classes><class filename="a.py"><lines><line number="1" hits="2"/><line number="2" hits="0"/></lines></class></classes></package></packages></coverage>'
+    jacoco = '<report><package name="org/shop"><sourcefile name="A.java"><line nr="3" ci="0" cb="1"/><line nr="4" ci="0" cb="0"/></sourcefile></package></report>'
+    got = lambda xml, kind: [(r.file, r.start_line, r.end_line, r.format) for r in xml_lines(spark.createDataFrame([("r", xml)], "artifact string, xml string"), kind).collect()]
+    assert got(cobertura, "cobertura") == [("a.py", 1, 1, "cobertura")]
+    assert got(jacoco, "jacoco") == [("org/shop/A.java", 3, 3, "jacoco")]
+
+
+def test_csv_cells_hold_quotes_and_line_ends(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('behavior_name,acceptance_criteria\r\n"pays ""now""","a;\nb"\r\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "t.csv")).collect()] == [('pays "now"', "a;\nb")]
+
+
+def test_ids_of_nodes_and_edges(spark):
+    import hashlib
+
+    from evidencia.functions.expressions import edge_id, node_id
+
+    row = spark.range(1).select(node_id(F.lit("File"), F.lit("a.ts")).alias("n"), edge_id("edge", F.lit("a"), F.lit("CALLS"), F.lit("b")).alias("e")).first()
+    short = lambda s: hashlib.sha256(s.encode()).hexdigest()[:12]
+    assert row.n == f"File:{short('File|a.ts')}" and row.e == f"edge:{short('a|CALLS|b')}"
