@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, licenses, minhash, packing, quality, scoring, toxicity, urls
+from . import audit, chat, decontaminate, embeddings, licenses, minhash, packing, passages, prefixes, quality, scoring, toxicity, urls
 from .common import remainder, table
 
 MAX_TOKENS = 2048
@@ -75,5 +75,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_tree(prefixes.regrown(table(spark, sf_dir, "conversations")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_quality, op6_url_filter, op7_packing, op8_lm_scoring, op9_chat_format, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_embedding_near_dedup, op4_minhash_near_dedup, op5_quality, op6_url_filter, op7_packing, op8_lm_scoring, op9_chat_format, op10_toxicity, op11_prefix_trie, op12_filter_audit, op13_substring_dedup)}
