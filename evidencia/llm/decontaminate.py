@@ -6,9 +6,11 @@ template words of documents meet those of items in a hash join. Matches are gath
 alignment (the window's place in the document less that in the item). In an alignment, windows
 whose words equal the item's count; a window that differs in a slot counts if each of its slot
 values has one value in the whole alignment. A document is contaminated by an item if the
-windows that count make up ``LEAST_SHARE`` of the item's, or ``LEAST_WINDOWS``.
+windows that count make up ``LEAST_SHARE`` of the item's, or ``LEAST_WINDOWS``. An item of fewer than
+``WINDOW`` words is too short for a template: it is one window of its own length and matches where all
+its words stand, whatever their case.
 
-Null and empty texts match nothing, as do items of fewer than ``WINDOW`` words. Rows that repeat
+Null and empty texts match nothing. Rows that repeat
 a doc_id count as one document; rows without a doc_id count as one document for each text. Other
 columns are kept by ``keep_clean`` whatever their names, and ignored else; empty tables give no
 rows. Long texts are searched whole.
@@ -55,6 +57,19 @@ def document_key():
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256)))
 
 
+def short_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """The documents that hold an item of fewer than ``WINDOW`` words, as ``contaminated`` gives them; None without such items."""
+    lengths = [r.n for r in items.select(F.size("words").alias("n")).where(f"n between 1 and {WINDOW - 1}").distinct().collect()]  # WINDOW - 1 at most
+    if not lengths:
+        return None
+    plain = F.transform("words", lambda w: F.translate(w, NAME_MARK, "")).alias("plain")
+    runs = ", ".join(f"if(size(plain) < {n}, array(), transform(sequence(0, size(plain) - {n}), i -> array_join(slice(plain, i + 1, {n}), ' ')))" for n in lengths)
+    held = docs.select("doc_id", "document", plain).select("doc_id", "document", F.explode(F.expr(f"array_distinct(concat({runs}))")).alias("run"))
+    wanted = items.where(f"size(words) between 1 and {WINDOW - 1}").select("item_id", F.array_join(plain, " ").alias("run"))
+    one = F.lit(1).cast("long")
+    return held.join(wanted, "run").select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("n_slots"), "document").distinct()
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, share and n_slots of each contaminated document and item."""
     items = templates(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).drop("text")
@@ -74,7 +89,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     good = counted.where("size(met) > 0").select("doc_id", "document", "item_id", "item_windows", F.expr("transform(met, m -> m.item_place)").alias("places"), F.expr("array_distinct(flatten(transform(met, m -> m.slots)))").alias("slots"))
     found = good.groupBy("doc_id", "document", "item_id", "item_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
     share = F.col("n_windows") / F.col("item_windows")
-    return found.where((share >= LEAST_SHARE) | (F.col("n_windows") >= LEAST_WINDOWS)).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), share.alias("share"), "n_slots", "document")
+    long = found.where((share >= LEAST_SHARE) | (F.col("n_windows") >= LEAST_WINDOWS)).select("doc_id", "item_id", "n_windows", F.col("item_windows").cast("long").alias("item_windows"), share.alias("share"), "n_slots", "document")
+    short = short_items(docs, items)
+    return long if short is None else long.unionByName(short)
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

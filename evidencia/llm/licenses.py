@@ -2,8 +2,8 @@
 
 A notice of m characters with at most k errors holds at least one of k + 1 disjoint pieces
 unchanged, so exact searches for the pieces find every place where a match can lie. Around
-each such place the ``regex`` library matches the whole notice with at most k errors and
-reports the span and the number of edits. An edit changes three of a notice's runs of three
+each such place, in a window of its own, the ``regex`` library finds the best match of the whole notice
+with at most k errors and reports the span and the number of edits. An edit changes three of a notice's runs of three
 characters at most, so places that miss more than 3 k of them are passed over first.
 
 Null text counts as empty: no words, labels or spans, and score 0. Repeated rows each get
@@ -109,23 +109,18 @@ def scan(text: bytes) -> dict:
     spans, best = [], float(bool(starts))
     blanks = None
     for notice, ranges in windows.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(ranges):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
         pattern, own, least = patterns[notice]
-        for a, b in merged:
-            if len(own & runs(whole[a:b])) < least:
+        seen = set()
+        for a, b in sorted(set(ranges)):  # each by itself: in a wider window a better notice would hide a poorer one beside it
+            if len(own & runs(whole[a:b])) < least or not (m := pattern.search(whole, a, min(b, len(whole)))) or m.span() in seen:
                 continue
-            for m in pattern.finditer(whole, a, min(b, len(whole))):
-                edits = sum(m.fuzzy_counts)
-                if blanks is None:
-                    blanks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
-                first_word = int(np.searchsorted(blanks, m.start()))
-                spans.append((NOTICES[notice], first_word, first_word + m.group().strip().count(b" ") + 1, edits))
-                best = max(best, 1 - edits / len(notice))
+            seen.add(m.span())
+            edits = sum(m.fuzzy_counts)
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+            first_word = int(np.searchsorted(blanks, m.start()))
+            spans.append((NOTICES[notice], first_word, first_word + m.group().strip().count(b" ") + 1, edits))
+            best = max(best, 1 - edits / len(notice))
     spans.sort(key=lambda s: (s[3], s[1] - s[2], s))
     kept: list[tuple[int, int, tuple]] = []  # by place; no two lie over each other
     for s in spans:  # of notices that lie over each other, the one with fewest edits

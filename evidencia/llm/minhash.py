@@ -259,5 +259,5 @@ def keep_one_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     odd = stored(marked.select(F.col("doc_id").alias("odd_id"), "kept"), "copies")
     key = documents.doc_id.cast("long")
     once = documents.join(odd, key == odd.odd_id, "left_anti")
-    repeated = documents.join(odd.where("kept"), key == F.col("odd_id"), "left_semi").dropDuplicates(["doc_id"])
+    repeated = documents.join(odd.where("kept"), key == odd.odd_id, "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated)

@@ -71,6 +71,23 @@ def test_license_spans_match_an_exhaustive_search(seed):
             assert all(a[2] <= b[1] for a, b in itertools.pairwise(found["spans"]))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_license_notices_side_by_side_all_have_their_spans(seed):
+    assert [s[1:] for s in licenses.scan(b"released under the mt licens released under the mit license")["spans"]] == [(0, 5, 2), (5, 10, 0)]
+    r = random.Random(seed)
+    for notice in r.sample(list(licenses.NOTICES), 6):
+        edits = [r.choice([0, 1, licenses.errors_allowed(notice)]) for _ in range(4)]
+        parts = []
+        for n in edits:
+            words = notice.split()
+            for i in r.sample(range(len(words)), min(n, len(words))):
+                words[i] = words[i][:-1] + "q"
+            parts.append(" ".join(words))
+        found = licenses.scan(" ".join(parts).encode())
+        n = len(notice.split())
+        assert [s[1] // n for s in found["spans"]] == [0, 1, 2, 3], (notice, edits, found["spans"])  # its label, or that of a notice as near
+
+
 def test_license_base_labels_and_places_of_a_long_text():
     text = "the MIT license and; an Apache  License " * 3000
     found = licenses.scan(text.encode())
@@ -241,6 +258,25 @@ def test_copies_with_repeated_and_missing_ids(spark):
     assert len(got) == 4 and 4 in got and 5 in got and (1 in got) + (2 in got) == 1 and (6 in got) + (7 in got) == 1
 
 
+def test_items_of_few_words_match_as_they_are(spark):
+    bench = spark.createDataFrame([(1, "Blue Whale song"), (2, "12"), (3, "far beyond the blue whale song we heard"), (4, None), (5, "")], "item_id long, text string")
+    texts = ["the blue, whale SONG went on", "blue whales song", "we counted 12", "we counted 13", "whale", None, ""]
+    found = {(r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert found == {(0, 1, 1, 1), (2, 2, 1, 1)}
+    assert {r.doc_id for r in decontaminate.keep_clean(docs(spark, texts), bench).collect()} == {1, 3, 4, 5, 6}
+
+
+def test_columns_named_like_helpers_do_not_clash(spark):
+    names = ["odd_id", "found", "document", "rep", "kept", "n", "label", "key_a", "band", "score", "predicted", "window", "words", "keys", "component", "node", "rows", "quality", "toxic"]
+    rows = [(i, prose(i % 3, 60), *range(len(names))) for i in range(6)] + [(5, prose(2, 60), *range(len(names)))]
+    many = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    once = minhash.keep_one_each(many)
+    assert once.columns == many.columns and sorted(r.doc_id for r in once.collect()) == [0, 1, 2]
+    assert decontaminate.keep_clean(many, spark.createDataFrame([(1, prose(0, 60))], "item_id long, text string")).count() == 5
+    assert quality.keep_good(many, labels).columns == many.columns and toxicity.keep_civil(many, labels).columns == many.columns
+
+
 def test_stages_take_odd_documents(spark):
     wanted = table(spark, SMALL, "documents").columns
     some = table(spark, SMALL, "documents").limit(30).collect()
