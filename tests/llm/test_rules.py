@@ -85,7 +85,7 @@ def test_license_notices_side_by_side_all_have_their_spans(seed):
             parts.append(" ".join(words))
         found = licenses.scan(" ".join(parts).encode())
         n = len(notice.split())
-        assert [s[1] // n for s in found["spans"]] == [0, 1, 2, 3], (notice, edits, found["spans"])  # its label, or that of a notice as near
+        assert sorted(s[1] // n for s in found["spans"]) == [0, 1, 2, 3], (notice, edits, found["spans"])  # its label, or that of a notice as near
 
 
 def test_license_base_labels_and_places_of_a_long_text():
