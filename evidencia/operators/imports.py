@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources.driver_tables import Graph
 
-#: An import or re-export statement: keyword, ``type``, clause and specifier. Statements begin a line.
-STATIC = r"""(?m)^[ \t]*(import|export)[ \t]+(type[ \t]+)?([^'"`;()]*?)(?:[ \t\n]*from[ \t]*)?["']([^"'\n]+)["']"""
+#: An import or re-export statement: keyword, ``type``, clause and specifier. Statements begin a line; a clause is a
+#: name, a list in braces or a star, so that it never runs into the next statement.
+STATIC = r"""(?m)^[ \t]*(import|export)[ \t]+(type[ \t]+)?((?:[A-Za-z_$][\w$]*[ \t]*(?:,\s*)?)?(?:\{[^}]*\}|\*(?:[ \t]*as[ \t]+[\w$]+)?)?)(?:\s*from[ \t]*)?["']([^"'\n]+)["']"""
 #: ``import("x")`` and ``require("x")``.
 CALLED = r"""\b(?:import|require)[ \t]*\([ \t]*["']([^"'\n]+)["']"""
 #: Line and block comments go first, so that what they quote is no import.
@@ -57,21 +58,66 @@ def normalised(folder: Column, specifier: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["inside"], F.array_join(acc["held"], "/")))
 
 
+def tries(at: Column) -> Column:
+    """The files that a path without a certain ending may stand for, in order."""
+    bare = F.regexp_replace(at, r"\.[cm]?jsx?$", "")
+    ending = F.regexp_extract(at, r"(\.[cm]?jsx?)$", 1)
+    by_ending = F.array(at, *[F.concat(at, F.lit(e)) for e in ENDINGS])
+    written = F.array().cast("array<string>")
+    for end, sources in WRITTEN.items():
+        written = F.when(ending == end, F.array(*[F.concat(bare, F.lit(x)) for x in sources])).otherwise(written)
+    return F.concat(written, by_ending)
+
+
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     """The imports with their target among files (path), for relative specifiers; null where none is there."""
     folder = F.regexp_replace("path", "/?[^/]*$", "")
     rows = imports.withColumn("at", F.when(F.col("specifier").startswith("."), normalised(folder, F.col("specifier"))))
-    bare = F.regexp_replace("at", r"\.[cm]?jsx?$", "")
-    ending = F.regexp_extract("at", r"(\.[cm]?jsx?)$", 1)
-    by_ending = F.array(F.col("at"), *[F.concat("at", F.lit(e)) for e in ENDINGS])
-    written = F.array().cast("array<string>")
-    for end, sources in WRITTEN.items():
-        written = F.when(ending == end, F.array(*[F.concat(bare, F.lit(x)) for x in sources])).otherwise(written)
     keyed = rows.select("path", "specifier", "at").where("at is not null").distinct()
-    tries = keyed.select("path", "specifier", F.posexplode(F.concat(written, by_ending)).alias("rank", "target"))
+    return rows.drop("at").join(_first_known(keyed.select("path", "specifier", F.posexplode(tries(F.col("at"))).alias("rank", "target")), files), ["path", "specifier"], "left")
+
+
+def _first_known(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """Of each path and specifier the first candidate (rank, target) that is a file."""
     known = files.select(F.col("path").alias("target")).distinct()
-    best = tries.join(known, "target").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
-    return rows.drop("at").join(best, ["path", "specifier"], "left")
+    return candidates.join(known, "target").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
+
+
+def _configured(configs: DataFrame, paths: DataFrame) -> DataFrame:
+    """path with the base folder and the patterns (pattern and targets) of its nearest configuration (dir, base, patterns)."""
+    parts = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("dir")))
+    met = paths.select("path", F.explode(F.array_distinct(above)).alias("a")).select("path", "a.*").join(configs, "dir")
+    return met.groupBy("path").agg(F.max_by(F.struct("dir", "base", "patterns"), "depth").alias("c")).select("path", "c.dir", "c.base", "c.patterns")
+
+
+def resolved_by_configuration(imports: DataFrame, files: DataFrame, configs: DataFrame, packages: DataFrame) -> DataFrame:
+    """The imports with their target among files (path), for all specifiers, or null.
+
+    A relative specifier stands for its path. Any other is held against the patterns of the file's nearest
+    configuration (dir, base, patterns: array of pattern, with one star at most, and targets in order): an equal pattern, else
+    the one with the longest part before its star. Its targets come first, then the specifier below the base folder, then the
+    workspace package (name, dir) whose name it begins with; targets lie below the base folder, or below ``dir`` without one."""
+    keyed = imports.select("path", "specifier").distinct()
+    rows = keyed.join(_configured(configs, keyed.select("path").distinct()), "path", "left")
+    spec, folder = F.col("specifier"), F.regexp_replace("path", "/?[^/]*$", "")
+    relative = spec.startswith(".")
+    prefix, suffix = (lambda p: F.substring_index(p["pattern"], "*", 1)), (lambda p: F.when(p["pattern"].contains("*"), F.substring_index(p["pattern"], "*", -1)).otherwise(F.lit("")))
+    starred = lambda p: p["pattern"].contains("*")
+    fits = lambda p: F.when(starred(p), spec.startswith(prefix(p)) & spec.endswith(suffix(p)) & (F.length(spec) >= F.length(prefix(p)) + F.length(suffix(p)))).otherwise(spec == p["pattern"])
+    ranked = F.array_sort(F.transform(F.filter(F.coalesce("patterns", F.array().cast("array<struct<pattern:string,targets:array<string>>>")), fits), lambda p: F.struct(F.when(starred(p), -F.length(prefix(p))).otherwise(-(1 << 20)).alias("rank"), p["pattern"].alias("pattern"), p["targets"].alias("targets"))))
+    rows = rows.withColumn("best", F.when(~relative, F.get(ranked, F.lit(0))))
+    middle = F.when(F.col("best.pattern").contains("*"), F.substring(spec, F.length(F.substring_index("best.pattern", "*", 1)) + 1, F.length(spec) - F.length("best.pattern") + 1)).otherwise(F.lit(""))
+    root = F.coalesce("base", "dir")
+    by_pattern = F.coalesce(F.transform("best.targets", lambda t: normalised(root, F.replace(t, F.lit("*"), middle))), F.array().cast("array<string>"))
+    by_base = F.when(~relative & F.col("base").isNotNull(), F.array(normalised(F.col("base"), spec))).otherwise(F.array().cast("array<string>"))
+    name = F.when(spec.startswith("@"), F.regexp_extract(spec, "^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(spec, "^([^/]+)", 1))
+    rows = rows.withColumn("package", F.when(~relative, name)).join(packages.select(F.col("name").alias("package"), F.col("dir").alias("package_dir")), "package", "left")
+    by_package = F.when(F.col("package_dir").isNotNull(), F.array(normalised(F.col("package_dir"), F.substring(spec, F.length("package") + 2, F.length(spec))))).otherwise(F.array().cast("array<string>"))
+    at = F.filter(F.when(relative, F.array(normalised(folder, spec))).otherwise(F.concat(by_pattern, by_base, by_package)), lambda x: x.isNotNull())
+    each = rows.select("path", "specifier", F.posexplode(at).alias("place", "at")).select("path", "specifier", "place", F.posexplode(tries(F.col("at"))).alias("n", "target"))
+    found = _first_known(each.select("path", "specifier", F.struct("place", "n").alias("rank"), "target"), files)
+    return imports.join(found, ["path", "specifier"], "left")
 
 
 def import_edges(found: DataFrame, tests: DataFrame) -> DataFrame:

@@ -49,6 +49,35 @@ SYMBOL_NAMES = ["OrderService.createOrder", "OrderRepository.getOwner", "getOwne
 SPECIFIERS = ["./a.css", "../order.js", "./cart.tsx", "./helpers", "/abs/path.mts", "node:fs", "fs", "lodash", "@scope/pkg", "@/store", "config", "config/x", "shared/text", "core", "corex/a", "./logo.SVG", "../lib/index.cjs"]
 FAILURE_LINES = ["AssertionError: expected 1 to be 2", "expect(received).toBe(expected) redis", "Cannot find module node:sqlite", "Cannot find base config file ../tsconfig.json", "[TSCONFIG_ERROR] x", "Error: Cannot find package x", "Failed to resolve import y", "connect ECONNREFUSED 127.0.0.1", "PrismaClient init", "Connection timed out", "Segmentation fault", None, "SyntaxError: x to contain y", "Failed to load url z"]
 NODE_RANGES = [None, ">=24.2.0 <25", ">=18", "^18", "^18 || ^23.1", "~23.5", "~20.1", "23", "23.5.1", ">24", ">22.9", "<=22", "<=23", "18 - 22", "latest", "*", ">=18 <23.6"]
+#: Statements of scripts, which the words of conversations fill: names (%a to %d, %A), a file (%s) and a folder (%f).
+SCRIPT_FORMS = [
+    "export function %a(%b: string) {~  return %c(%b);~}",
+    'export * from "./%s";',
+    'export { %a, %b as %c } from "./%s.js";',
+    'import { %a, type %b } from "./%s";',
+    "export { %a as %c };",
+    'export type { %a } from "../%f/%s";',
+    "export const %a = %b(1), %c = [1, 2];",
+    "export default class %A {~  %b() { return %c(); }~}",
+    "export interface %A {~  %b: string;~}",
+    'import %a from "@/%f/%s";',
+    "class %A {~  %b() {~    return this.%c();~  }~  %c() { %a(); }~}",
+    'export * as %a from "./%s";',
+    "export declare function %a(): void;",
+    'import * as %a from "%f/%s";',
+    "async function %a() {~  await %b();~  %c.%d();~}",
+    '// export { %a } from "./%s";',
+    "export { %a };",
+    'export { default as %a } from "./%s";',
+    'import type { %a } from "./%s";~export { %a };',
+    "export enum %A { %b }",
+    'export abstract class %A {~  static %b() { return %A.%c(); }~}~export type * from "./%s";',
+    "const %a = () => %b();",
+    'import { %b, %a as %c } from "#kit/%s";',
+]
+#: Where the configurations of scripts lie: base folder, pattern and targets in order.
+SCRIPT_CONFIGS = [("", "src", "@/*", ["*"]), ("src/t", "src", "@/*", ["e/*", "*"]), ("src/a", None, "@/t/*", ["../t/*"])]
+SCRIPT_PACKAGES = [("#kit", "src/t"), ("@scope/kit", "src/e")]
 SYMBOL_KINDS = ["function", "method", "class", "const"]
 
 RELATIONS: dict[str, str] = {
@@ -78,6 +107,15 @@ RELATIONS: dict[str, str] = {
     "scored": """
         select event_id as k, ((event_id * 7) % 11) / 10.0 as acceptance_criteria, ((event_id * 3) % 11) / 10.0 as interface_mapping, ((event_id * 5) % 11) / 10.0 as validation_evidence, (event_id % 11) / 10.0 as known_regressions, ((event_id * 9) % 11) / 10.0 as provenance,
             (user_id % 4) * 50 as total, user_id % 3 as excluded_test_inferred, case when event_id % 5 < 2 then 0 else user_id % 4 end as requirement_template, case when event_id % 5 < 2 then 0 else event_id % 2 end as markdown_requirement, (event_id % 6) * 20 as code_export, event_id % 3 as requirements, event_id % 101 as overall from {events}""",
+    "script_sentences": """
+        select path, conv_id * 1000000 + turn * 10000 + i as ord, regexp_extract_all(try_element_at(said, cast(i as integer)), '[a-z]+', 0) as w
+        from (select *, explode(sequence(1, array_size(said))) as i from (select conv_id, turn, regexp_extract_all(lower(text), '[^.]+', 0) as said, 'src/' || substr(regexp_extract(lower(text), '([a-z]+)', 1), 1, 1) || '/' || substr(regexp_extract(lower(text), '[a-z]+[^a-z]+([a-z]+)', 1), 1, 2) || case when role = 'user' and length(text) % 2 = 0 then '.test.ts' else '.ts' end as path
+            from {conversations} where regexp_extract(lower(text), '[a-z]+[^a-z]+([a-z]+)', 1) <> '') t where array_size(said) > 0) x""",
+    "script_words": """
+        select path, ord, array_size(w) + length(try_element_at(w, 1)) as n, try_element_at(w, 1) as p, coalesce(try_element_at(w, 2), try_element_at(w, 1)) as q, coalesce(try_element_at(w, 3), try_element_at(w, 1)) as r, coalesce(try_element_at(w, 4), try_element_at(w, 2), try_element_at(w, 1)) as s from {script_sentences} where array_size(w) > 0""",
+    "script_lines": f"""
+        select x.path, x.ord, replace(replace(replace(replace(replace(replace(replace(replace(f.t, '%A', upper(substr(p, 1, 1)) || substr(p, 2, 2)), '%a', substr(p, 1, 2) || '1'), '%b', substr(q, 1, 2) || '1'), '%c', substr(r, 1, 2) || '1'), '%d', substr(s, 1, 2) || '1'), '%s', substr(s, 1, 2)), '%f', substr(r, 1, 1)), '~', chr(10)) as code
+        from {{script_words}} x join {_values(SCRIPT_FORMS)} f(i, t) on f.i = x.n % {len(SCRIPT_FORMS)}""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
@@ -148,6 +186,16 @@ RELATIONS: dict[str, str] = {
 }
 
 
+#: Names of functions over lists that the relations use, as Spark and as DuckDB have them.
+DIALECT = {"try_element_at(": "list_extract(", "array_size(": "len(", "explode(": "unnest(", "sequence(": "generate_series("}
+
+
+def _in_duckdb(sql: str) -> str:
+    for spark, other in DIALECT.items():
+        sql = sql.replace(spark, other)
+    return sql
+
+
 def _names(sql: str) -> list[str]:
     import string
 
@@ -166,7 +214,7 @@ def with_clause(*wanted: str) -> str:
 
     for name in wanted:
         add(name)
-    return "with " + ", ".join(f"{n} as ({RELATIONS[n].format(**{x: x for x in _names(RELATIONS[n])})})" for n in order)
+    return "with " + ", ".join(f"{n} as ({_in_duckdb(RELATIONS[n].format(**{x: x for x in _names(RELATIONS[n])}))})" for n in order)
 
 
 class Graph:
