@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .operators import barrels, calls, classification, coverage, evidence, graphs, imports, ledger, merge, scripts, selection, tallies, text  # noqa: F401  each registers its queries
+from .operators import barrels, calls, classification, coverage, evidence, graphs, imports, ledger, merge, scripts, selection, symbols, tallies, text  # noqa: F401  each registers its queries
 from .plans import reports, risk, traceability  # noqa: F401
 from .streaming import telemetry  # noqa: F401
 

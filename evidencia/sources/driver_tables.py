@@ -23,6 +23,12 @@ def _values(texts: list[str | None]) -> str:
     return "(values " + ", ".join(f"({i}, {shown(t)})" for i, t in enumerate(texts)) + ")"
 
 
+def _forms() -> str:
+    """A VALUES list of the forms of code: kind, number, text and whether it is blank."""
+    quote = lambda t: "'" + t.replace("{", "{{").replace("}", "}}") + "'"
+    return "(values " + ", ".join(f"('{kind}', {i}, {quote(t)}, {str(blank).lower()})" for kind, forms in CODE_FORMS.items() for i, (t, blank) in enumerate(forms)) + ")"
+
+
 #: Directories, file names, symbol names and file heads that the rules of classification tell apart.
 DIRECTORIES = ["src/api/v1", "src/services", "src/utils/text", "src/components/cart", "src/playwright", "playwright/suites", "e2e-tests/lib", "tests/unit", "src/app/__tests__", "server/channels/app", "server/channels/testing", "webapp/channels/src/actions", "app/models", "src/main/java/org/shop/cart", "src/test/java/org/shop/cart", "app/models/tests", "tests/models", "cmd/worker", ".github/scripts", "lib/mock-store", "src/icons", "src/integration", "src/jobs", "core", "packages/cli/src", "src/fixtures", "src/api/store/carts", "src/api/admin/users"]
 FILE_NAMES = ["order.ts", "orderService.ts", "order.test.ts", "order.spec.tsx", "order_test.go", "test_order.py", "OrderTest.java", "Latest.java", "OrderTests.cs", "LoadTest.cs", "order.d.ts", "order.e2e.ts", "cart.int.test.ts", "cart.api.test.ts", "cart.comp.test.tsx", "cart.unit.test.js", "order-helper.ts", "apitestlib.go", "README.md", "package.json", "jest.config.js", "schema.sql", "handler.py", "Makefile", "order_spec.rb", "OrderRepository.kt", "main.go", "index.ts", "testutils.ts", "order.py", "order.go", "Order.java", "text_test.py", "text.py", "CartIT.kt"]
@@ -75,6 +81,12 @@ SCRIPT_FORMS = [
     "const %a = () => %b();",
     'import { %b, %a as %c } from "#kit/%s";',
 ]
+#: Statements of Python, Go and Java files, and whether nothing of them is left without comments and literals.
+CODE_FORMS = {
+    "py": [("def %a(%b):~    return %c", False), ("class %A(%B):~    def %b(self):~        pass~    async def %c(self):~        pass", False), ("# def %a(", True), ('"""~def %a():~class %A:~"""', True), ("class %A:~    x = 1", False), ("async def %a():~    pass", False), ('x = "def %a(" # class %A:', False), ("%a = lambda: %b(1)", False)],
+    "go": [("func %A(x int) {~}", False), ("func %a() {~}", False), ("func (s *%A) %B() {~}", False), ("// func %A(", True), ("var x = `~func %A()~`", False), ("/* func %A() */", True), ("/*~func %B()~*/", True), ("type %A struct {~}", False)],
+    "java": [("public class %A {~}", False), ("class %A {}", False), ("@Entity public class %A extends %B {~}", False), ('String s = "public class %A";', False), ("/*~public class %A~*/", True), ("  public static class %A {~  }", False), ("// public class %A", True), ("@Table(name) @Getter public class %B {~}", False)],
+}
 #: Where the configurations of scripts lie: base folder, pattern and targets in order.
 SCRIPT_CONFIGS = [("", "src", "@/*", ["*"]), ("src/t", "src", "@/*", ["e/*", "*"]), ("src/a", None, "@/t/*", ["../t/*"])]
 SCRIPT_PACKAGES = [("#kit", "src/t"), ("@scope/kit", "src/e")]
@@ -116,6 +128,10 @@ RELATIONS: dict[str, str] = {
     "script_lines": f"""
         select x.path, x.ord, replace(replace(replace(replace(replace(replace(replace(replace(f.t, '%A', upper(substr(p, 1, 1)) || substr(p, 2, 2)), '%a', substr(p, 1, 2) || '1'), '%b', substr(q, 1, 2) || '1'), '%c', substr(r, 1, 2) || '1'), '%d', substr(s, 1, 2) || '1'), '%s', substr(s, 1, 2)), '%f', substr(r, 1, 1)), '~', chr(10)) as code
         from {{script_words}} x join {_values(SCRIPT_FORMS)} f(i, t) on f.i = x.n % {len(SCRIPT_FORMS)}""",
+    "code_lines": f"""
+        select x.path, x.ord, f.blank, replace(replace(replace(replace(replace(replace(f.t, '%A', upper(substr(p, 1, 1)) || substr(p, 2, 2)), '%B', upper(substr(q, 1, 1)) || substr(q, 2, 2)), '%a', substr(p, 1, 3)), '%b', substr(q, 1, 3)), '%c', substr(r, 1, 3)), '~', chr(10)) as code
+        from (select replace(replace(path, '.test', ''), '.ts', '.' || kind) as path, ord, n, p, q, r, kind from (select *, case when substr(path, 5, 1) < 'f' then 'py' when substr(path, 5, 1) < 'o' then 'go' else 'java' end as kind from {{script_words}}) y) x
+        join {_forms()} f(kind, i, t, blank) on f.kind = x.kind and f.i = x.n % 8""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """

@@ -282,3 +282,27 @@ function hidden() {
         ("caller", "use", "near", "CALLS", "same_file", 1.0), ("caller", "lib", "helper", "CALLS", "import", 1.0), ("caller", "lib", "odd", "CALLS", "import", 1.0), ("caller", "solo", "Only.unique", "MAY_CALL", "only_member", 0.65),
         ("Job.run", "use", "Job.step", "CALLS", "same_file", 1.0), ("Job.run", "use", "Job.create", "CALLS", "same_file", 1.0), ("Job.run", "lib", "Tool.build", "CALLS", "injected_import", 1.0), ("Job.run", "use", "Own.work", "CALLS", "same_file_type", 1.0),
     }  # fmt: skip  # far and lib.helper repeat exact pairs; a fixture is no product
+
+
+def test_symbols_by_pattern(spark):
+    from evidencia.operators import symbols
+
+    python = 'def top(a):\n    pass\n\n"""\ndef no():\n"""\n\nclass Thing(Base):\n    def act(self):\n        s = "def no2("\n    async def top(self):\n        pass\n# class No:\nasync def late (x):\n    pass\nclass Bare:\n    pass\nx = \'\\\'def no3(\'\n'
+    go = "package main\n\nfunc Run() {\n}\nfunc hidden() {}\nfunc (s *T) Method() {}\n/* func No() {\n*/\n  func Inner() {}\nvar s = `\nfunc Raw()\n`\n"
+    java = 'import x;\npublic class A {\n  public static class B {}\n  class C {}\n}\n@Entity(name) @Getter public class D {}\nString t = """\npublic class No {}\n""";\n'
+    rows = symbols.pattern_symbols(spark.createDataFrame([("a.py", python), ("b.go", go), ("C.java", java), ("d.ts", "export function f() {}"), ("e.py", None)], SOURCE))
+    got = {(r.path, r.name, r.kind, r.start_line) for r in rows.collect()}
+    assert got == {
+        ("a.py", "top", "function", 1), ("a.py", "late", "function", 14), ("a.py", "act", "method", 9), ("a.py", "Thing", "class", 3), ("a.py", "Bare", "class", 16),
+        ("b.go", "Run", "function", 2), ("b.go", "Inner", "function", 7), ("C.java", "A", "class", 2), ("C.java", "B", "class", 3), ("C.java", "D", "class", 6),
+    }
+    kept, dropped = symbols.within_total(rows, 4)
+    assert [r.name for r in kept.collect()] == ["A", "B", "D", "top"] and dropped.first().dropped == 6
+
+
+def test_a_file_gives_so_many_symbols_at_most(spark, monkeypatch):
+    from evidencia.operators import symbols
+
+    monkeypatch.setattr(symbols, "MOST_SYMBOLS", 2)
+    rows = symbols.pattern_symbols(spark.createDataFrame([("a.py", "def a():\n  pass\ndef b():\n  pass\ndef c():\n  pass\n"), ("b.py", "def a(): pass\n")], SOURCE)).collect()
+    assert {(r.path, r.name, r.truncated) for r in rows} == {("a.py", "a", True), ("a.py", "b", True), ("b.py", "a", False)}
