@@ -107,17 +107,28 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return kept.groupBy("caller", "callee").agg(F.min("strength").alias("strength"))
 
 
+def endpoint_entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, kind, title and start of endpoints, one row for each live symbol that they are implemented in."""
+    live = nodes.where("kind = 'CodeSymbol' and not stale").select(F.col("external_id").alias("to_id"))
+    ends = nodes.where("kind = 'Endpoint'").select(F.col("external_id").alias("from_id"), "title")
+    met = edges.where("type = 'IMPLEMENTED_IN'").join(live, "to_id", "left_semi").join(ends, "from_id")
+    return met.groupBy(F.col("from_id").alias("id"), F.col("to_id").alias("start")).agg(F.min("title").alias("title")).select("id", F.lit("Endpoint").alias("kind"), "title", "start")
+
+
 def ranked_entries(entry_ids: DataFrame, calls: DataFrame, risk: DataFrame | None = None) -> DataFrame:
-    """Entries (id, kind, title) with their score: that of their risk (id, score) or of their calls and, for
-    endpoints, of their route, whichever is greater."""
-    fans = calls.groupBy(F.col("caller").alias("id")).agg(F.count("*").alias("fans"))
-    said = F.concat_ws(" ", F.col("title"), F.col("id"))
+    """Entries (id, kind, title and the symbol where they start, which is the id unless told) with their score: that of the symbol's
+    risk (id, score), or of its calls and, for endpoints, of the route, whichever is greater."""
+    if "start" not in entry_ids.columns:
+        entry_ids = entry_ids.withColumn("start", F.col("id"))
+    once = entry_ids.groupBy("kind", "id", "start").agg(F.min("title").alias("title"))
+    fans = calls.groupBy(F.col("caller").alias("start")).agg(F.count("*").alias("fans"))
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("id"))
     route = F.when(F.col("kind") == "Endpoint", 500 + F.when(said.rlike(MUTATION), 250).otherwise(0) + F.when(said.rlike(HIGH_ROUTE), 250).otherwise(0)).otherwise(0)
-    rows = entry_ids.dropDuplicates(["kind", "id"]).join(fans, "id", "left")
-    known = F.lit(0.0)
+    rows, known = once.join(fans, "start", "left"), F.lit(0.0)
     if risk is not None:
-        rows, known = rows.join(risk.select("id", F.col("score").alias("risk")), "id", "left"), F.coalesce("risk", F.lit(0.0))
-    return rows.select("id", "kind", F.greatest(known, (route + F.coalesce("fans", F.lit(0)) * 10).cast("double")).alias("score"))
+        rows, known = rows.join(risk.select(F.col("id").alias("start"), F.col("score").alias("risk")), "start", "left"), F.coalesce("risk", F.lit(0.0))
+    fans = F.coalesce("fans", F.lit(0))
+    return rows.select("id", "kind", "title", "start", fans.cast("long").alias("fans"), F.greatest(known, (route + fans * 10).cast("double")).alias("score"))
 
 
 #: Routes that change things and routes that matter most (fixed values).
@@ -125,60 +136,66 @@ MUTATION = r"(?i)^(POST|PUT|PATCH|DELETE)\b"
 HIGH_ROUTE = r"(?i)payment|refund|checkout|cart|order|auth|login|token|customer|user|tax|fulfillment|ship"
 
 
-def flow_paths(ranked: DataFrame, calls: DataFrame) -> DataFrame:
-    """Simple call paths from entries (id, kind, score) that end where no call goes on, or at ``MOST_CALLS`` calls.
-
-    Depth-first order is that of the paths themselves, so of the first paths of an entry every start is among
-    its first starts: no level keeps more than ``MOST_OF_ENTRY`` paths of an entry. Of all, those of the best
-    entries count, ``MOST_PATHS`` at most. A path is as strong as its weakest call."""
-    calls = shared(calls)
-    first = Window.partitionBy("entry").orderBy("path")
-    paths = ranked.select(F.col("id").alias("entry"), F.array("id").alias("path"), F.lit(False).alias("derived"), F.lit(False).alias("ended"))
-    for _ in range(MOST_CALLS):
-        going = paths.where("not ended")
-        steps = going.join(calls, F.element_at("path", -1) == F.col("caller")).where("not array_contains(path, callee)")
-        longer = steps.select("entry", F.concat("path", F.array("callee")).alias("path"), (F.col("derived") | (F.col("strength") == "framework-derived")).alias("derived"), F.lit(False).alias("ended"))
-        stuck = going.join(steps.select("path").distinct(), "path", "left_anti").select("entry", "path", "derived", F.lit(True).alias("ended"))
-        every = paths.where("ended").unionByName(longer).unionByName(stuck).where("not (ended and size(path) = 1)")
-        paths = shared(every.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MOST_OF_ENTRY).drop("n"))
-    tier = F.when(F.col("derived"), "framework-derived: reachable").otherwise("hard: reachable")
-    rows = paths.join(ranked.select(F.col("id").alias("entry"), "kind", "score"), "entry").withColumn("tier", tier).withColumn("key", F.array_join("path", ">"))
-    rows = rows.withColumn("id", F.concat(F.lit("flow:"), F.substring(F.sha2(F.concat_ws("|", F.lit("flow"), "kind", "entry", "key", "tier"), 256), 1, 12)))
-    best = rows.orderBy(F.desc("score"), (F.col("kind") != "Endpoint"), "entry", "id").limit(MOST_PATHS)
-    return best.select("id", "entry", F.col("key").alias("path"), (F.size("path") - 1).cast("long").alias("depth"), "tier", (F.size("path") == MOST_CALLS + 1).alias("truncated"))
+def entry_order() -> list[Column]:
+    return [F.desc("score"), F.col("kind") != "Endpoint", F.col("id"), F.col("start")]
 
 
-FLOWS_SQL = """, live_ids as (select external_id as id from nodes where kind = 'CodeSymbol' and not stale), eligible_ids as (select external_id as id from nodes where kind = 'CodeSymbol' and eligible and not stale),
-    call_pairs as (select from_id as caller, to_id as callee, min(strength) as strength from edges where type = 'CALLS' and strength in ('hard', 'framework-derived') and from_id in (select id from live_ids) and to_id in (select id from live_ids) group by 1, 2),
-    starts as (select id from eligible_ids where id not in (select to_id from edges where type = 'CALLS' and from_id in (select id from eligible_ids))),
-    scored_starts as (select s.id, 'Behavior' as kind, greatest(0, count(c.caller) * 10)::double as score from starts s left join call_pairs c on c.caller = s.id group by s.id),
-    walk(path, derived) as (select [id], false from starts union all select list_append(w.path, c.callee), w.derived or c.strength = 'framework-derived' from walk w join call_pairs c on c.caller = w.path[-1] where not list_contains(w.path, c.callee) and len(w.path) <= 8),
-    whole as (select *, path[1] as entry from walk w where len(path) > 1 and (len(path) = 9 or not exists (select 1 from call_pairs c where c.caller = w.path[-1] and not list_contains(w.path, c.callee)))),
-    placed as (select *, row_number() over (partition by entry order by path) as n from whole),
-    named as (select *, array_to_string(path, '>') as key, case when derived then 'framework-derived: reachable' else 'hard: reachable' end as tier from placed where n <= 20),
-    flows as (select 'flow:' || left(sha256('flow|' || s.kind || '|' || entry || '|' || key || '|' || tier), 12) as id, entry, key as path, len(path) - 1 as depth, tier, len(path) = 9 as truncated, s.score from named join scored_starts s on s.id = entry)"""
+def walked_flows(ranked: DataFrame, calls: DataFrame) -> DataFrame:
+    """Simple call paths from entries (id, kind, title, start, fans, score) that end where no call goes on, or at ``MOST_CALLS`` calls.
 
+    Depth-first order is that of the paths themselves, so of the first paths of an entry every start is among its first
+    starts: no level keeps more of an entry than ``MOST_OF_ENTRY`` paths and one that tells of more. A path looks at no
+    more callees than that and those that lie on it. As each entry that calls another symbol has a path, the best
+    ``MOST_PATHS`` of them fill the list, and the others are not walked."""
+    kept = MOST_OF_ENTRY + 1
+    first = Window.partitionBy("id", "kind", "start").orderBy("path")
+    others = calls.where("caller <> callee").withColumn("n", F.row_number().over(Window.partitionBy("caller").orderBy("callee"))).where(F.col("n") <= kept + MOST_CALLS + 1)
+    nexts = shared(others.groupBy("caller").agg(F.array_sort(F.collect_list(F.struct("callee", "strength"))).alias("calls")))
+    walked = ranked.join(others.select(F.col("caller").alias("start")).distinct(), "start", "left_semi").orderBy(*entry_order()).limit(MOST_PATHS)
+    paths = shared(walked.select("id", "kind", "title", "start", "score", F.array("start").alias("path"), F.lit(False).alias("derived"), F.lit(False).alias("ended")))
+    for _ in range(MOST_CALLS):
+        met = paths.join(nexts, F.element_at("path", -1) == F.col("caller"), "left").drop("caller")
+        on = F.filter(F.coalesce(F.when(~F.col("ended"), F.col("calls")), F.array().cast(nexts.schema["calls"].dataType)), lambda c: ~F.array_contains("path", c["callee"]))
+        each = met.withColumn("on", on).select("*", F.explode_outer("on").alias("c"))
+        here = ["id", "kind", "title", "start", "score"]
+        every = each.select(*here, F.when(F.col("c").isNull(), F.col("path")).otherwise(F.concat("path", F.array("c.callee"))).alias("path"), (F.col("derived") | (F.coalesce("c.strength", F.lit("")) == "framework-derived")).alias("derived"), F.col("c").isNull().alias("ended"))
+        paths = shared(every.withColumn("n", F.row_number().over(first)).where(F.col("n") <= kept).drop("n"))
+    rows = paths.where("size(path) > 1").withColumn("n", F.row_number().over(first))
+    tier = F.when(F.col("derived"), "framework-derived: reachable").otherwise("hard: reachable")
+    rows = rows.withColumn("tier", tier).withColumn("key", F.array_join("path", ">"))
+    return rows.withColumn("flow", F.concat(F.lit("flow:"), F.substring(F.sha2(F.concat_ws("|", F.lit("flow"), "kind", "id", "key", "tier"), 256), 1, 12)))
 
-def static_flows(g: Graph) -> DataFrame:
-    calls = adjacency(g.nodes, g.edges)
-    starts = _flow_entries(g).select("id", F.lit("Behavior").alias("kind"), F.lit("").alias("title"))
-    return flow_paths(ranked_entries(starts, calls), calls)
 
+def best_flows(walked: DataFrame) -> DataFrame:
+    """Of all walked flows, ``MOST_OF_ENTRY`` of an entry, those of the best entries: ``MOST_PATHS`` at most. A flow is as strong as its weakest call."""
+    best = walked.where(F.col("n") <= MOST_OF_ENTRY).orderBy(*entry_order(), "flow").limit(MOST_PATHS)
+    return best.select(F.col("flow").alias("id"), F.col("id").alias("entry"), "kind", F.col("key").alias("path"), (F.size("path") - 1).cast("long").alias("depth"), "tier", (F.size("path") == MOST_CALLS + 1).alias("truncated"))
 
-@query("flow_paths", ("nodes", "edges"), FLOWS_SQL + " select id, entry, path, depth, tier, truncated from flows order by score desc, entry, id limit 500")
-def _flow_paths(g: Graph) -> DataFrame:
-    return static_flows(g)
 
+def flow_paths(ranked: DataFrame, calls: DataFrame) -> DataFrame:
+    return best_flows(walked_flows(ranked, shared(calls)))
 
-@query("flow_tiers", ("nodes", "edges"), FLOWS_SQL + ", kept as (select * from flows order by score desc, entry, id limit 500) select tier, count(*) as flows, count(*) filter (truncated) as truncated, max(depth) as longest from kept group by tier")
-def _flow_tiers(g: Graph) -> DataFrame:
-    return static_flows(g).groupBy("tier").agg(F.count("*").alias("flows"), F.count_if("truncated").alias("truncated"), F.max("depth").alias("longest"))
 
+def flow_limits(ranked: DataFrame, calls: DataFrame) -> DataFrame:
+    """One row: flows in all, truncated ones, and what the caps have left out: steps at the greatest depth, entries with further
+    flows, and flows and entries beyond the list's end.
 
-@query("flow_entry_ranking", ("nodes", "edges"), FLOWS_SQL + " select id, kind, score from scored_starts order by score desc, id")
-def _entry_ranking(g: Graph) -> DataFrame:
-    starts = _flow_entries(g).select("id", F.lit("Behavior").alias("kind"), F.lit("").alias("title"))
-    return ranked_entries(starts, adjacency(g.nodes, g.edges)).orderBy(F.desc("score"), F.col("kind") != "Endpoint", "id")
+    An entry is walked while the list isn't full, and stops at the first flow beyond its own cap."""
+    calls = shared(calls)
+    walked = shared(walked_flows(ranked, calls))
+    deep = F.size("path") == MOST_CALLS + 1
+    each = walked.groupBy("id", "kind", "start", "score").agg(F.count_if(F.col("n") <= MOST_OF_ENTRY).alias("flows"), F.count_if(deep).alias("deep"), F.count_if(F.col("n") > MOST_OF_ENTRY).alias("more"))
+    before = F.coalesce(F.sum("flows").over(Window.orderBy(*entry_order()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # MOST_PATHS rows at most
+    used = each.withColumn("before", before)
+    begun = used.where(F.col("before") < MOST_PATHS)
+    cut_off = begun.agg(F.coalesce(F.sum("deep"), F.lit(0)).alias("dropped_max_depth"), F.coalesce(F.sum("more"), F.lit(0)).alias("dropped_max_flows_per_entry"), F.coalesce(F.sum(F.greatest(F.col("before") + F.col("flows") - MOST_PATHS, F.lit(0))), F.lit(0)).alias("cut"), F.count("*").alias("begun"))
+    calling = ranked.where("fans > 0")
+    last = begun.orderBy(F.desc("before")).limit(1).select(F.col("score").alias("s"), (F.col("kind") != "Endpoint").alias("k"), F.col("id").alias("i"), F.col("start").alias("st"), (F.col("before") + F.col("flows") >= MOST_PATHS).alias("full"))
+    after = (F.col("score") < F.col("s")) | (F.col("score") == F.col("s")) & (F.struct(F.col("kind") != "Endpoint", "id", "start") > F.struct("k", "i", "st"))
+    beyond = calling.crossJoin(F.broadcast(last)).where(F.col("full") & after).agg(F.count("*").alias("beyond"))  # one row
+    best = best_flows(walked).agg(F.count("*").alias("total_flows"), F.count_if("truncated").alias("truncated_flows"))
+    rows = best.crossJoin(cut_off).crossJoin(beyond)  # one row each
+    return rows.select("total_flows", "truncated_flows", "dropped_max_depth", "dropped_max_flows_per_entry", (F.col("cut") + F.col("beyond")).alias("dropped_global_cap"))
 
 
 def flow_chain(flows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -188,12 +205,6 @@ def flow_chain(flows: DataFrame, ids: DataFrame) -> DataFrame:
     return first.select("target", F.posexplode("steps").alias("position", "step")).select("target", (F.col("position") + 1).cast("long").alias("position"), "step")
 
 
-@query("flow_chain", ("nodes", "edges"), FLOWS_SQL + """, kept as (select * from flows order by score desc, entry, id limit 500), steps as (select id, string_split(path, '>') as steps, unnest(string_split(path, '>')) as target from kept),
-    chosen as (select target, arg_min(steps, id) as steps from steps group by target) select target, unnest(range(1, len(steps) + 1)) as position, unnest(steps) as step from chosen""")
-def _flow_chain(g: Graph) -> DataFrame:
-    return flow_chain(static_flows(g), g.nodes.where("kind = 'CodeSymbol'").select(F.col("external_id").alias("id")))
-
-
 #: A node with at least one link in so many is a hub, if it has that many at all: there are 2 * SHARE hubs at most.
 SHARE, LEAST_HUB = 2048, 128
 #: Links of a partition in the loop over components.

@@ -194,6 +194,7 @@ def by_risk(rows: DataFrame) -> DataFrame:
 
 
 def rank_risks(g: Graph, limit: int = 20) -> DataFrame:
+    g.settle("symbols", "tests", "calls", "nodes", "edges", "commits")
     return by_risk(risk_rows(g.nodes, g.edges, g.candidates, g.ledger, g.commits)).limit(limit)
 
 
@@ -243,6 +244,7 @@ def _weights(g: Graph) -> DataFrame:
 
 @query("risk_rows", RELATIONS, RISK_SQL + " select * from risk")
 def _risk_rows(g: Graph) -> DataFrame:
+    g.settle("symbols", "tests", "calls", "nodes", "edges", "commits")
     return risk_rows(g.nodes, g.edges, g.candidates, g.ledger, g.commits)
 
 

@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import stored
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -132,6 +134,9 @@ RELATIONS: dict[str, str] = {
         select x.path, x.ord, f.blank, replace(replace(replace(replace(replace(replace(f.t, '%A', upper(substr(p, 1, 1)) || substr(p, 2, 2)), '%B', upper(substr(q, 1, 1)) || substr(q, 2, 2)), '%a', substr(p, 1, 3)), '%b', substr(q, 1, 3)), '%c', substr(r, 1, 3)), '~', chr(10)) as code
         from (select replace(replace(path, '.test', ''), '.ts', '.' || kind) as path, ord, n, p, q, r, kind from (select *, case when substr(path, 5, 1) < 'f' then 'py' when substr(path, 5, 1) < 'o' then 'go' else 'java' end as kind from {{script_words}}) y) x
         join {_forms()} f(kind, i, t, blank) on f.kind = x.kind and f.i = x.n % 8""",
+    "endpoints": """
+        select e.external_id, e.title, s.external_id as symbol from (select 'endpoint:' || page_id as external_id, case length(url) % 4 when 0 then 'POST ' when 1 then 'DELETE ' else 'GET ' end || regexp_extract(url, '://[^/]*([^?#]*)', 1) as title, length(url) * 7 as n from {pages}) e
+        join (select external_id, row_number() over (order by k) as n, count(*) over () as m from {symbols}) s on s.n = 1 + e.n % s.m""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
@@ -253,6 +258,12 @@ class Graph:
                 self.frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.frames[name]
 
+    def settle(self, *names: str) -> Graph:
+        """Writes relations that a query reads many times, so that they are worked out once; in the order given."""
+        for name in names:
+            self.frames[name] = stored(self.get(name), name)
+        return self
+
     @cached_property
     def live_symbols(self) -> DataFrame:
         return self.nodes.where("kind = 'CodeSymbol' and eligible and not stale")
