@@ -36,6 +36,8 @@ ODD = np.uint64(0xD6E8FEB86659FD93)
 HELD = 60_000
 #: Classes of a bucket that are compared pair by pair.
 SMALL = 40
+#: A bucket with at least one place in so many is frequent; no more than so many are.
+FREQUENT = 4096
 #: Shingles of a block, about; and columns of the matrix that counts common ones.
 BLOCK, COLUMNS = 50_000, 8192
 
@@ -207,6 +209,17 @@ def across_components(rest: DataFrame, documents: DataFrame, k: int, percent: in
     return dealt.groupBy("group", "x", "y").applyInArrow(compared, "a long, b long")
 
 
+def met_by_band(rows: DataFrame, table: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` (band, rep, ...) joined with ``table``, which has a row for each of some bands. Rows of ``frequent`` bands meet a
+    broadcast copy of theirs, ``FREQUENT`` rows at most, and are dealt out by themselves, so that no task gets all rows of one."""
+    others = [c for c in table.columns if c != "band"]
+    known = table.join(F.broadcast(frequent), "band", "left_semi").select("band", F.struct(F.lit(True).alias("met"), *others).alias("known"))
+    light = table.join(F.broadcast(frequent), "band", "left_anti").select(F.col("band").alias("key"), F.struct(F.lit(True).alias("met"), *others).alias("found"))
+    dealt = rows.join(F.broadcast(known), "band", "left").withColumn("key", F.when(F.col("known").isNull(), F.col("band")).otherwise(F.xxhash64("rep")))
+    both = dealt.join(light, "key", "left").withColumn("all", F.coalesce("known", "found")).where("all is not null")
+    return both.select(*rows.columns, *[F.col(f"all.{c}").alias(c) for c in others])
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands: int = 26, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = cut(sign(documents, k, bands, rows))
@@ -215,7 +228,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     members = signed.select("doc_id", *keys).join(classes, keys, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     one_each = signed.join(classes, keys).where("doc_id = rep").select("rep", "n", F.explode("bands").alias("band"))
     buckets = cut(one_each.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"))
-    placed = cut(one_each.join(buckets, "band"))
+    places = buckets.agg(F.sum("size")).first()[0] or 0
+    frequent = buckets.where(F.col("size") * FREQUENT >= places).select("band")  # FREQUENT rows at most
+    placed = cut(met_by_band(one_each, buckets, frequent))
 
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = placed.select(F.explode(F.array(pair(F.col("rep"), F.col("low")), pair(F.col("rep"), F.col("high")))).alias("p")).select("p.*").where("a < b").distinct()
@@ -226,7 +241,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, bands:
     label = F.coalesce("component", "rep")
     labelled = placed.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("band", "size", "low", "rep", "n", label.alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band")
-    rest = cut(labelled.join(mixed, "band"))
+    rest = cut(met_by_band(labelled, mixed, frequent))
     few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
     x, y = few.alias("x"), few.alias("y")
     fits = F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
