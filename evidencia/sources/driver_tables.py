@@ -83,6 +83,18 @@ SCRIPT_FORMS = [
     "const %a = () => %b();",
     'import { %b, %a as %c } from "#kit/%s";',
 ]
+#: Answers of models, which words fill; a tilde stands for a line's end, ^ for a backslash.
+ANSWER_FORMS = [
+    'Here you go:~```json~{"links": [{"behavior_id": "%a", "symbol_id": "%b", "confidence": 0.7}]}~```~Bye }',
+    '```~[{"behavior_id": "%a", "symbol_id": "%b", "confidence": 1.7}, {"behavior_id": "%c", "symbol_id": "%d"}]~```',
+    'Sure. {"links": [{"behavior_id": "%a", "symbol_id": "%b", "reasons": ["a } or { or ^" %c"]}]} ok?',
+    'They are [{"behavior_id": "%a", "symbol_id": "", "confidence": 0.25}, {"behavior_id": "%b", "symbol_id": "%c ]", "confidence": 0.5}] as %d',
+    "No links for %a and %b.",
+    "Open { %a then [1, 2] follows",
+    'Text ```JSON~  {"links": [{"symbol_id": "%a", "behavior_id": "%b", "confidence": 0}], "more": {"x": [1]}}  ~``` and {"links": [}',
+    "%a [1, [2, {}]] and no more brackets",
+    'First {"links": []} then %a ] [ }',
+]
 #: Statements of Python, Go and Java files, and whether nothing of them is left without comments and literals.
 CODE_FORMS = {
     "py": [("def %a(%b):~    return %c", False), ("class %A(%B):~    def %b(self):~        pass~    async def %c(self):~        pass", False), ("# def %a(", True), ('"""~def %a():~class %A:~"""', True), ("class %A:~    x = 1", False), ("async def %a():~    pass", False), ('x = "def %a(" # class %A:', False), ("%a = lambda: %b(1)", False)],
@@ -137,6 +149,8 @@ RELATIONS: dict[str, str] = {
     "endpoints": """
         select e.external_id, e.title, s.external_id as symbol from (select 'endpoint:' || page_id as external_id, case length(url) % 4 when 0 then 'POST ' when 1 then 'DELETE ' else 'GET ' end || regexp_extract(url, '://[^/]*([^?#]*)', 1) as title, length(url) * 7 as n from {pages}) e
         join (select external_id, row_number() over (order by k) as n, count(*) over () as m from {symbols}) s on s.n = 1 + e.n % s.m""",
+    "answers": f"""
+        select x.ord as k, x.form, replace(replace(replace(replace(replace(replace(f.t, '%a', x.p), '%b', x.q), '%c', x.r), '%d', x.s), '~', chr(10)), '^', chr(92)) as text from (select *, (n + length(q)) % {len(ANSWER_FORMS)} as form from {{script_words}}) x join {_values(ANSWER_FORMS)} f(i, t) on f.i = x.form""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
