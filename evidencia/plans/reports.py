@@ -313,8 +313,8 @@ def _backfill(g: Graph) -> DataFrame:
 @query("contract_tallies", "imports", "select category as framework, kind, count(*) as n, count(*) filter (named) as handler_edges from (select from_role as category, kind, named from imports) x group by grouping sets ((category), (kind), ())")
 def _contract_tallies(g: Graph) -> DataFrame:
     """Contracts by framework, by kind and in all, with those that have a handler; here imports stand for contracts."""
-    g.imports.select(F.col("from_role").alias("framework"), "kind", "named").createOrReplaceTempView("evidencia_contracts")
-    return g.spark.sql("select framework, kind, count(*) as n, count_if(named) as handler_edges from evidencia_contracts group by grouping sets ((framework), (kind), ())")
+    rows = g.imports.select(F.col("from_role").alias("framework"), "kind", "named")
+    return rows.groupingSets([["framework"], ["kind"], []], "framework", "kind").agg(F.count("*").alias("n"), F.count_if("named").alias("handler_edges"))
 
 
 @query("pack_tally", "nodes", "select kind as entity_type, count(*) as count from nodes where kind <> 'File' group by kind order by kind")

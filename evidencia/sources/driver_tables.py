@@ -151,6 +151,10 @@ RELATIONS: dict[str, str] = {
         join (select external_id, row_number() over (order by k) as n, count(*) over () as m from {symbols}) s on s.n = 1 + e.n % s.m""",
     "answers": f"""
         select x.ord as k, x.form, replace(replace(replace(replace(replace(replace(f.t, '%a', x.p), '%b', x.q), '%c', x.r), '%d', x.s), '~', chr(10)), '^', chr(92)) as text from (select *, (n + length(q)) % {len(ANSWER_FORMS)} as form from {{script_words}}) x join {_values(ANSWER_FORMS)} f(i, t) on f.i = x.form""",
+    "attempts": """
+        select f.k as ord, l.target_id as target_symbol, 'tests/t' || cast(f.k % 50 as varchar(20)) || '.test.ts' as test_path, case when f.k % 4 = 0 then 'non_killing' when f.k % 4 = 3 then 'proven' else 'needs_setup' end as classification,
+            case when f.k % 13 = 0 then 'runner binary not found: vitest' when f.k % 13 = 1 then 'no go.mod found above ' || l.target_id when f.k % 13 = 2 then 'test title appears more than once' else f.said end as reason, f.engines, case when l.status = 'unproven' then 'associated_non_assertion_failure' when l.status = 'error' then 'survived' end as mutant_status
+        from {failures} f join {ledger} l on l.idx = f.k""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
