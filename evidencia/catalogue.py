@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .operators import answers, barrels, calls, classification, coverage, evidence, graphs, imports, ledger, merge, scripts, selection, symbols, tallies, text  # noqa: F401  each registers its queries
-from .plans import doctor, flows, reports, risk, traceability  # noqa: F401
+from .plans import doctor, flows, reports, risk, system_map, traceability  # noqa: F401
 from .streaming import telemetry  # noqa: F401
 
 

@@ -155,6 +155,14 @@ RELATIONS: dict[str, str] = {
         select f.k as ord, l.target_id as target_symbol, 'tests/t' || cast(f.k % 50 as varchar(20)) || '.test.ts' as test_path, case when f.k % 4 = 0 then 'non_killing' when f.k % 4 = 3 then 'proven' else 'needs_setup' end as classification,
             case when f.k % 13 = 0 then 'runner binary not found: vitest' when f.k % 13 = 1 then 'no go.mod found above ' || l.target_id when f.k % 13 = 2 then 'test title appears more than once' else f.said end as reason, f.engines, case when l.status = 'unproven' then 'associated_non_assertion_failure' when l.status = 'error' then 'survived' end as mutant_status
         from {failures} f join {ledger} l on l.idx = f.k""",
+    "trigger_flows": """
+        select o_orderkey as flow, lower(substr(o_orderpriority, 3)) as lane, substr(o_orderpriority, 3) as label, cast(substr(o_orderpriority, 1, 1) as integer) as priority from {orders} where o_orderpriority is not null""",
+    "flow_steps": """
+        select l_orderkey as flow, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place, case when s.end_line = 7 then '' when s.k % 3 = 0 then s.dir else s.file end as owner from {lineitem} join {symbols} s on s.k = l_partkey""",
+    "owner_risks": """
+        select row_number() over (order by p_retailprice desc, p_partkey) as rank, s.file as owner, p_size > 45 as critical from {part} join {symbols} s on s.k = p_partkey""",
+    "owner_tiers": """
+        select s.file as owner, case when t.strength = 'hard' then 'assoc' when t.strength is not null then 'candidate' when s.k % 11 = 0 then 'proven' else 'none' end as tier from {symbols} s left join (select p, min(strength) as strength from {symbol_tests} group by p) t on t.p = s.k""",
     "public_files": """
         select path from {source_files} where k % 8 = 0""",
     "parts": """
