@@ -127,13 +127,20 @@ def _jaccard(g: Graph) -> DataFrame:
     return similar(left, g.part.select(whole.alias("id"), whole.alias("text")).distinct())
 
 
+#: A word of one symbol in so many is frequent.
+FREQUENT = 20
+
+
 def shortlist(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFrame:
     """The ``top`` symbols (id, title, file, detail) of each behaviour (id, title, kind, source_ref, criteria) by
     score, then file and id: 10 for each shared word, 6 for each word of the source's path in the file's, 25 when
     the behaviour's text holds the title, 3 for each directory that both paths begin with.
 
-    Symbols that score meet a behaviour by a word, by the first letters of their title, or among the first ``top``
-    of a directory above the source; the first ``top`` of all fill up with scores of 0. No others can be chosen."""
+    Symbols that score meet a behaviour by a rare word, by the first letters of their title, or among the first ``top``
+    of a directory above the source; the first ``top`` of all fill up with scores of 0. Words that one in ``FREQUENT``
+    symbols has (so many times the words of a symbol at most) would make all meet all. What only these tell of a symbol
+    is the same for all with the same such words in the same directory, of which the first ``top`` do, and of a behaviour
+    for all with the same such words and directory: the best ``top`` are found once for them. No others can be chosen."""
     cased = lambda *parts: F.concat_ws(" ", *[F.coalesce(p, F.lit("")) if not isinstance(p, str) else p for p in parts])
     words = lambda text: tokens(text, stop=LINK_STOP_WORDS)
     criteria = F.array_join(F.coalesce("criteria", F.array().cast("array<string>")), " ")
@@ -144,14 +151,29 @@ def shortlist(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFr
     s = symbols.select(F.col("id").alias("s_id"), "file", F.lower(F.coalesce("title", F.lit(""))).alias("s_title"), words(cased("id", F.col("title"), F.col("file"), F.col("detail"))).alias("s_words"), words(F.coalesce("file", F.lit(""))).alias("file_words"))
     # what a title begins with: three letters, or all of a shorter one
     start = F.concat(F.lit("^"), F.substring("s_title", 1, 3))
-    starts = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("b_text") - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit("^"), F.substring(F.col("b_text"), i, n))) for n in (1, 2, 3)])))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("b_text") - n + 1, F.lit(1))), lambda i: F.concat(F.lit("^"), F.substring(F.col("b_text"), i, F.lit(n))))
+    starts = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
     dirs = lambda path: F.transform(F.sequence(F.lit(0), F.greatest(F.size(F.filter(F.split(path, r"[\\/]+"), lambda x: x != "")), F.lit(0))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(F.filter(F.split(path, r"[\\/]+"), lambda x: x != ""), 1, i), "/")))
     by_word = s.select("s_id", F.explode(F.array_union("s_words", F.array(start))).alias("key"))
     by_dir = s.select("s_id", "file", F.explode(dirs(F.col("file"))).alias("key"))
     first = by_dir.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("file", "s_id"))).where(F.col("n") <= top).select("s_id", "key")
     keys = by_word.unionByName(first)
-    wanted = b.select("b_id", F.explode(F.array_union(F.array_union("b_words", starts), dirs(F.col("ref")))).alias("key"))
+    n_symbols = symbols.count()
+    frequent = [r.key for r in s.select(F.explode("s_words").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * FREQUENT > n_symbols).orderBy("key").collect()]  # FREQUENT times a symbol's words at most
+    common = lambda c: F.array_sort(F.array_intersect(c, F.array(*map(F.lit, frequent)).cast("array<string>")))
+    rare = lambda c: F.array_except(c, F.array(*map(F.lit, frequent)).cast("array<string>"))
+    keys = keys.where(~F.col("key").isin(frequent)) if frequent else keys
+    wanted = b.select("b_id", F.explode(F.array_union(F.array_union(rare(F.col("b_words")), starts), dirs(F.col("ref")))).alias("key"))
     pairs = wanted.join(keys, "key").select("b_id", "s_id").distinct()
+    kind = ["said", "ref_said", "ref_dirs"]
+    b_kinds = b.select("b_id", common(F.col("b_words")).alias("said"), common(F.col("ref_words")).alias("ref_said"), dirs(F.col("ref")).alias("ref_dirs"))
+    s_kinds = s.select("s_id", "file", common(F.col("s_words")).alias("s_said"), common(F.col("file_words")).alias("file_said"), F.regexp_replace("file", r"[^\\/]*$", "").alias("folder"))
+    few = s_kinds.withColumn("n", F.row_number().over(Window.partitionBy("s_said", "file_said", "folder").orderBy("file", "s_id"))).where(F.col("n") <= top)
+    alike = b_kinds.select(*kind).distinct().withColumn("kind", F.xxhash64(*kind)).withColumn("key", F.explode("said")).join(few.withColumn("key", F.explode("s_said")), "key").dropDuplicates(["kind", "s_id"])
+    depth = F.size(F.array_intersect("ref_dirs", dirs(F.col("file")))) - 1
+    plain = 10 * F.size(F.array_intersect("said", "s_said")) + 6 * F.size(F.array_intersect("ref_said", "file_said")) + 3 * depth
+    best = alike.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(plain.desc(), "file", "s_id"))).where(F.col("n") <= top).select("kind", "s_id")
+    pairs = pairs.unionByName(b_kinds.select("b_id", F.xxhash64(*kind).alias("kind")).join(best, "kind").select("b_id", "s_id")).distinct()
     met = pairs.join(b, "b_id").join(s, "s_id")
     held = (F.col("s_title") != "") & F.col("b_text").contains(F.col("s_title"))
     score = 10 * F.size(F.array_intersect("b_words", "s_words")) + 6 * F.size(F.array_intersect("ref_words", "file_words")) + F.when(held, 25).otherwise(0) + 3 * shared_depth(F.col("file"), F.col("ref"))
