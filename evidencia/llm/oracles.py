@@ -63,6 +63,15 @@ sums as (select p, depth, count(*) filter (leaf) as n_leaves, sum(saved) as save
 select e.conv_id, e.depth, u.conv_id as parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(array_to_string(e.ends, ','), '')) as ends_sha256
 from each e join sums s on s.p = e.p and s.depth = e.depth left join nodes u on u.depth = e.depth - 1 and u.p = e.p[1:e.depth - 1]"""
 
+SUBSTRING_DEDUP = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20) x),
+late as (select doc_id, i from windows qualify row_number() over (partition by k order by doc_id, i) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from late),
+each as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d) x),
+kept as (select e.doc_id, string_agg(word, ' ' order by e.p) as t, count(*) as n from each e left join gone g on g.doc_id = e.doc_id and g.p = e.p where g.p is null group by e.doc_id)
+select d.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept k on k.doc_id = d.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_prefix_trie": PREFIX_TREE, "op12_filter_audit": FILTER_AUDIT, "op3_embedding_near_dedup": NEAR_VECTORS, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op6_url_filter": URL_FILTER, "op9_chat_format": CHAT_FORMAT}
+    return {"op13_substring_dedup": SUBSTRING_DEDUP, "op11_prefix_trie": PREFIX_TREE, "op12_filter_audit": FILTER_AUDIT, "op3_embedding_near_dedup": NEAR_VECTORS, "op4_minhash_near_dedup": NEAR_DUPLICATES, "op6_url_filter": URL_FILTER, "op9_chat_format": CHAT_FORMAT}
