@@ -47,4 +47,4 @@ def test_stages_and_run_agree_with_brute_force(spark):
 def test_entry_lists_every_operator():
     names = entry.queries()
     assert "pipeline" in names and set(queries.queries()) <= set(names)
-    assert [n.partition("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.partition("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
