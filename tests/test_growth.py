@@ -1,5 +1,6 @@
 """Steps whose work once grew faster than their input."""
 
+from evidencia.operators import barrels
 from evidencia.sources.driver_tables import RUN, Graph, numbered
 
 DIR = "/root/testdata/sf0.001"
@@ -15,3 +16,22 @@ def test_endpoints_meet_symbols_by_equal_keys(spark):
     found = Graph(spark, DIR).endpoints
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join Inner, " in line and "%" in line]
+
+
+def test_equal_stars_are_one_step_and_count_as_many(spark, monkeypatch):
+    most, plain = [0], barrels.cut
+
+    def counted(df):
+        rows = plain(df)
+        most[0] = max(most[0], rows.count())
+        return rows
+
+    monkeypatch.setattr(barrels, "cut", counted)
+    star = lambda path, n: [(path, "star", None, None, "./next", None, False, p) for p in range(n)]
+    index = star("a", 100) + star("b", 100) + star("c", 30) + star("d", 30) + [("e", "local", "x", "function", None, None, False, 0)]
+    index = spark.createDataFrame(index, "path string, entry string, name string, kind string, specifier string, source string, of_type boolean, place int")
+    targets = spark.createDataFrame([("a", "./next", "b"), ("b", "./next", "e"), ("c", "./next", "d"), ("d", "./next", "e")], "path string, specifier string, target string")
+    starts = spark.createDataFrame([("a", "x"), ("c", "x")], "file string, binding string")
+    found = {r.file: (r.status, r.depth, r.terminal_file) for r in barrels.walk_barrels(starts, index, targets).collect()}
+    assert found == {"a": ("budget-exhausted", 0, None), "c": ("terminal", 2, "e")}  # 1 + 100 + 10,000 steps and 1 + 30 + 900
+    assert most[0] < 50
