@@ -12,28 +12,32 @@ from ..sources.driver_tables import Graph
 from .classification import language, language_sql
 from .evidence import denominator, of_kinds
 
-#: Lines of an interval's bin: spans meet in the bins they share, so a join needs no range comparison of whole files.
-BIN = 64
-
+_MOVED_SQL = r"(regexp_replace({0}, '\.ts$', '') || case when contains({0}, 'utils') then '.py' when contains({0}, 'economy') then '.go' when contains({0}, 'medium') then '.rb' else '.ts' end)"
 
-def bins(start: str, end: str) -> Column:
-    return F.sequence(F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN))
 
+def overlapped_spans(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """file, start_line, end_line and format where a range of the format overlaps the span, ends included.
 
-_MOVED_SQL = r"(regexp_replace({0}, '\.ts$', '') || case when contains({0}, 'utils') then '.py' when contains({0}, 'economy') then '.go' when contains({0}, 'medium') then '.rb' else '.ts' end)"
+    Spans and ranges never meet in pairs: a span overlaps one of the ranges that begin by its last line if the furthest end of
+    those reaches its first. That is a running maximum over a file's lines, to which each line gives one row for a format and a span."""
+    last = ranges.groupBy("file", "format", F.col("start_line").alias("line")).agg(F.max("end_line").alias("reach")).where("line is not null")
+    asked = spans.where("file is not null and start_line is not null").select("file", "start_line", "end_line").distinct()
+    asked = asked.join(ranges.select("file", "format").distinct(), "file").select("file", "format", F.col("end_line").alias("line"), F.lit(None).cast("int").alias("reach"), "start_line", "end_line")
+    rows = last.select("*", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")).unionByName(asked)
+    until = Window.partitionBy("file", "format").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("reach", F.max("reach").over(until)).where("reach >= start_line").select("file", "start_line", "end_line", "format")
 
 
 def overlaps(symbols: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pairs of symbol and range of one file whose lines overlap, ends included."""
-    s = symbols.select("external_id", "file", F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.explode(bins("start_line", "end_line")).alias("bin"))
-    r = ranges.select("file", F.col("start_line").alias("a"), F.col("end_line").alias("b"), "format", F.explode(bins("start_line", "end_line")).alias("bin"))
-    return s.join(r, ["file", "bin"]).where("s <= b and a <= e").drop("bin").distinct()
+    """external_id and format of the ranges of a symbol's file whose lines overlap it."""
+    found = overlapped_spans(symbols, ranges).groupBy("file", "start_line", "end_line").agg(F.collect_set("format").alias("formats"))
+    return symbols.select("external_id", "file", "start_line", "end_line").join(found, ["file", "start_line", "end_line"]).select("external_id", "formats")
 
 
 @query("span_overlap", ("nodes", "coverage_ranges"), "select n.external_id, list_sort(list(distinct c.format)) as formats from nodes n join coverage_ranges c on c.file = n.file and n.start_line <= c.end_line and c.start_line <= n.end_line where n.kind = 'CodeSymbol' group by n.external_id")
 def _spans(g: Graph) -> DataFrame:
     found = overlaps(of_kinds(g.nodes, ["CodeSymbol"]), g.coverage_ranges)
-    return found.groupBy("external_id").agg(F.array_sort(F.collect_set("format")).alias("formats"))
+    return found.groupBy("external_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("formats")))).alias("formats"))  # ids are few that repeat
 
 
 def runtime_summary(symbols: DataFrame, ranges: DataFrame) -> DataFrame:

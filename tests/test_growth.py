@@ -1,6 +1,8 @@
 """Steps whose work once grew faster than their input."""
 
-from evidencia.operators import barrels, calls, symbols
+from pyspark.sql import functions as F
+
+from evidencia.operators import barrels, calls, coverage, selection, symbols, text
 from evidencia.sources.driver_tables import RUN, Graph, numbered
 
 DIR = "/root/testdata/sf0.001"
@@ -46,3 +48,12 @@ def test_calls_and_symbols_beyond_the_caps_of_a_file(spark):
     assert calls.script_symbols(sources, capped=False).count() == 1101 and calls.script_symbols(sources).count() == 1000
     python = spark.createDataFrame([("a.py", "".join(f"def f{i}():\n    pass\n" for i in range(1100)))], "path string, content string")
     assert symbols.pattern_symbols(python, capped=False).count() == 1100 and symbols.pattern_symbols(python).count() == 1000
+
+
+def test_spans_and_ranges_never_meet_in_pairs(spark):
+    symbols = spark.createDataFrame([(f"s{i}", "a.ts", i, i + 2) for i in range(1, 400)] + [("t", "a.ts", 1000, 1001), ("u", "b.ts", 9, 9), ("v", "b.ts", None, 9)], "external_id string, file string, start_line int, end_line int")
+    ranges = spark.createDataFrame([("a.ts", i, i + 40, "lcov") for i in range(1, 300)] + [("a.ts", 1001, 1005, "go"), ("b.ts", 1, 8, "go"), ("b.ts", 9, 9, "lcov"), ("b.ts", 10, 20, "go")], "file string, start_line int, end_line int, format string")
+    found = coverage.overlaps(symbols, ranges)
+    assert {(r.external_id, tuple(r.formats)) for r in found.collect()} == {(f"s{i}", ("lcov",)) for i in range(1, 340)} | {("t", ("go",)), ("u", ("lcov",))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line and "<=" in line] and "explode" not in plan
