@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import percent_or_null, slug
 from ..functions.rules import any_sql, first_of, first_sql, quoted
+from ..lineage import cut as shared
 from ..registry import query
 from ..sources.driver_tables import Graph
 from .graphs import ENTRY_SQL, call_pairs, entries
@@ -168,10 +169,19 @@ def _slots(g: Graph) -> DataFrame:
 def bucket_plan(targets: DataFrame, limit: int, several: bool) -> DataFrame:
     """(target, bucket) pairs from targets (target_pos, buckets, thin): thin ones are passed over; of one
     wanted target the first that is left takes all; of several each gets its first kind, then its second, to the limit."""
-    fit = targets.where("not thin")
+    fit, wanted = targets.where("not thin"), limit if several else 1
+    # pairs come by depth, so of several targets none counts after the first ``limit`` that have a kind: kinds are worked out only up
+    # to these, in place of all targets, and as far as it takes to find them
+    while True:
+        ends = fit.select("target_pos").orderBy("target_pos").limit(wanted).agg(F.max("target_pos").alias("last"), F.count("*").alias("n")).first()
+        all_of_them = ends.n < wanted or ends.last is None
+        found = shared((fit if all_of_them else fit.where(F.col("target_pos").isNull() | (F.col("target_pos") <= ends.last))).select("target_pos", "buckets"))
+        if all_of_them or not several or found.where(F.size("buckets") > 0).count() >= limit:
+            break
+        wanted *= 8
     if not several:
-        fit = fit.orderBy("target_pos").limit(1)
-    pairs = fit.select("target_pos", F.posexplode("buckets").alias("depth", "bucket"))
+        found = found.orderBy("target_pos").limit(1)
+    pairs = found.select("target_pos", F.posexplode("buckets").alias("depth", "bucket"))
     return pairs.orderBy("depth", "target_pos").limit(limit)
 
 

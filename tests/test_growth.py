@@ -57,3 +57,18 @@ def test_spans_and_ranges_never_meet_in_pairs(spark):
     assert {(r.external_id, tuple(r.formats)) for r in found.collect()} == {(f"s{i}", ("lcov",)) for i in range(1, 340)} | {("t", ("go",)), ("u", ("lcov",))}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join Inner" in line and "<=" in line] and "explode" not in plan
+
+
+def test_kinds_are_worked_out_for_the_first_targets_alone(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def kinds(k):
+        seen.add(1)
+        return [] if k < 30 and k % 2 else ["a", "b"]
+
+    targets = spark.range(4000).select(F.col("id").alias("target_pos"), F.udf(kinds, "array<string>")("id").alias("buckets"), (F.col("id") < 2).alias("thin"))
+    assert [tuple(r)[0] for r in selection.bucket_plan(targets, 20, True).collect()] == [*range(2, 30, 2), *range(30, 36)]
+    assert [tuple(r) for r in selection.bucket_plan(targets, 2, False).collect()] == [(2, 0, "a"), (2, 1, "b")]
+    assert seen.value < 500
+    few = targets.where("target_pos < 6")
+    assert [tuple(r) for r in selection.bucket_plan(few, 20, True).collect()] == [(2, 0, "a"), (4, 0, "a"), (2, 1, "b"), (4, 1, "b")]
