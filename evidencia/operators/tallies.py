@@ -47,6 +47,7 @@ SPLIT_SQL = (
 
 
 def labelled(g: Graph) -> DataFrame:
+    g.settle("symbols", "calls", "may_calls")  # the links read them many times
     live = g.live_symbols.select(F.col("external_id").alias("member"), "file")
     found = components(cluster_links(g.nodes, g.edges, g.candidates).select("a", "b"))
     return shared(live.join(found, live.member == found.id, "left").select("member", "file", F.coalesce("component", "member").alias("component")))
@@ -90,7 +91,8 @@ def cluster_summaries(parts: DataFrame, links: DataFrame) -> DataFrame:
     from named order by size desc, hard_calls + likely_calls + imports desc, id limit 50""",
 )
 def _summary(g: Graph) -> DataFrame:
-    found = cluster_summaries(split_clusters(labelled(g)), cluster_links(g.nodes, g.edges, g.candidates))
+    members = labelled(g)  # first, as it writes what the links read
+    found = cluster_summaries(split_clusters(members), cluster_links(g.nodes, g.edges, g.candidates))
     return found.orderBy(F.desc("size"), F.desc(F.col("hard_calls") + F.col("likely_calls") + F.col("imports")), "id").limit(MOST_CLUSTERS)
 
 
