@@ -271,22 +271,33 @@ def provable(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("kind") == "CodeSymbol") & F.col("eligible") & ~F.coalesce("stale", F.lit(False)) & (F.col("surface") == "entrypoint_adjacent") & F.col("reason_code").isNull() & shape)
 
 
+#: Parts that a code file's symbols are dealt into, and its test files.
+SALTS, CHUNKS = 4, 64
+
+
 def associated_tests(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, links: DataFrame, strict: DataFrame) -> DataFrame:
-    """Symbol, test file, whether a hard edge ties them, and the place of the first tie. Hard edges tie any eligible
+    """Symbol, test file, whether a hard edge ties them, and the list of the first tie. Hard edges tie any eligible
     symbol; possible links, and files that belong together (all their symbols), only those of ``strict`` (id, file).
     What a model suggested doesn't count."""
     tests = of_kinds(nodes, ["TestCase"]).select(F.col("external_id").alias("t"), F.col("file").alias("test_file"))
     symbols = nodes.where("kind = 'CodeSymbol' and eligible and not stale").select(F.col("external_id").alias("s"))
 
     def pairs(rows: DataFrame, hard: bool, first: int, of: DataFrame) -> DataFrame:
-        ends = rows.select(F.explode(F.array(F.struct(F.col("from_id").alias("s"), F.col("to_id").alias("t")), F.struct(F.col("to_id").alias("s"), F.col("from_id").alias("t")))).alias("e"), "ord").select("e.*", "ord")
-        return ends.join(tests, "t").join(of, "s", "left_semi").select("s", "test_file", F.lit(hard).alias("hard"), F.struct(F.lit(first).alias("list"), F.col("ord").cast("string").alias("ord")).alias("place"))
+        ends = rows.select(F.explode(F.array(F.struct(F.col("from_id").alias("s"), F.col("to_id").alias("t")), F.struct(F.col("to_id").alias("s"), F.col("from_id").alias("t")))).alias("e")).select("e.*")
+        return ends.join(tests, "t").join(of, "s", "left_semi").select("s", "test_file", F.lit(hard).alias("hard"), F.lit(first).alias("list"))
 
     narrow = strict.select(F.col("id").alias("s"))
     kept = candidates.where(F.col("type").isin(WEAK_TYPES) & ~F.coalesce("ai_suggested", F.lit(False)))
-    by_file = links.join(files_of(tests), "test_file", "left_semi").join(strict.select(F.col("id").alias("s"), F.col("file").alias("code_file")), "code_file").select("s", "test_file", F.lit(False).alias("hard"), F.struct(F.lit(2).alias("list"), F.col("test_file").alias("ord")).alias("place"))
-    every = pairs(edges.where(F.col("type").isin(HARD_TYPES)), True, 0, symbols).unionByName(pairs(kept, False, 1, narrow)).unionByName(by_file)
-    return every.groupBy("s", "test_file").agg(F.max("hard").alias("hard"), F.min("place").alias("place")).select(F.col("s").alias("symbol"), "test_file", "hard", F.col("place.list").cast("long").alias("first_list"))
+    tied = pairs(edges.where(F.col("type").isin(HARD_TYPES)), True, 0, symbols).unionByName(pairs(kept, False, 1, narrow))
+    tied = tied.groupBy("s", "test_file").agg(F.max("hard").alias("hard"), F.min("list").cast("long").alias("list"))
+    # a symbol's test files by its file are as many as pairs: they meet what ties it already in the symbol's own row, so that no shuffle holds them
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    linked = links.join(files_of(tests), "test_file", "left_semi").groupBy("code_file", F.pmod(F.xxhash64("test_file"), F.lit(CHUNKS)).alias("chunk")).agg(F.collect_set("test_file").alias("test_files"))
+    linked = linked.select("code_file", "test_files", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    known = tied.groupBy("s").agg(F.collect_list("test_file").alias("known"))
+    rows = strict.select(F.col("id").alias("s"), F.col("file").alias("code_file")).distinct().join(known, "s", "left").withColumn("salt", salt("s"))
+    by_file = rows.join(linked, ["code_file", "salt"]).select("s", "known", F.explode("test_files").alias("test_file")).where(~F.coalesce(F.array_contains("known", F.col("test_file")), F.lit(False)))
+    return tied.select(F.col("s").alias("symbol"), "test_file", "hard", F.col("list").alias("first_list")).unionByName(by_file.select(F.col("s").alias("symbol"), "test_file", F.lit(False).alias("hard"), F.lit(2).cast("long").alias("first_list")))
 
 
 def files_of(tests: DataFrame) -> DataFrame:

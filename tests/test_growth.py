@@ -59,6 +59,18 @@ def test_spans_and_ranges_never_meet_in_pairs(spark):
     assert not [line for line in plan.splitlines() if "Join Inner" in line and "<=" in line] and "explode" not in plan
 
 
+def test_files_that_belong_together_are_not_grouped_as_pairs(spark):
+    nodes = spark.createDataFrame([("s", "CodeSymbol", "a.ts", True, False), ("t", "CodeSymbol", "a.ts", True, False)] + [(f"x{i}", "TestCase", f"x{i}.ts", False, False) for i in range(3)], "external_id string, kind string, file string, eligible boolean, stale boolean")
+    edges = spark.createDataFrame([("s", "x0", "TESTED_BY", 1)], "from_id string, to_id string, type string, ord long")
+    candidates = spark.createDataFrame([("s", "x1", "MAY_COVER", 1, False), ("s", "x0", "MAY_COVER", 1, False), ("t", "x0", "MAY_COVER", 2, True)], "from_id string, to_id string, type string, ord long, ai_suggested boolean")
+    links = spark.createDataFrame([("a.ts", f"x{i}.ts", k) for i in range(3) for k in ("stem", "import")], "code_file string, test_file string, kind string")
+    strict = spark.createDataFrame([("s", "a.ts"), ("t", "a.ts")], "id string, file string")
+    found = coverage.associated_tests(nodes, edges, candidates, links, strict)
+    assert {tuple(r) for r in found.collect()} == {("s", "x0.ts", True, 0), ("s", "x1.ts", False, 1), ("s", "x2.ts", False, 2), ("t", "x0.ts", False, 2), ("t", "x1.ts", False, 2), ("t", "x2.ts", False, 2)}
+    assert found.count() == 6
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # the pairs of files are given out as they are made
+
+
 def test_kinds_are_worked_out_for_the_first_targets_alone(spark):
     seen = spark.sparkContext.accumulator(0)
 
