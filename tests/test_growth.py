@@ -84,3 +84,11 @@ def test_kinds_are_worked_out_for_the_first_targets_alone(spark):
     assert seen.value < 500
     few = targets.where("target_pos < 6")
     assert [tuple(r) for r in selection.bucket_plan(few, 20, True).collect()] == [(2, 0, "a"), (4, 0, "a"), (2, 1, "b"), (4, 1, "b")]
+
+
+def test_no_task_ranks_all_owners(spark):
+    found = Graph(spark, DIR).owner_risks
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "row_number()" in line and "run#" not in line]
+    ranks = [r.rank for r in found.orderBy("rank").collect()]
+    assert ranks == list(range(1, len(ranks) + 1))
