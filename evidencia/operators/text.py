@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import LINK_STOP_WORDS, STOP_WORDS, bucket, priority_rank, round_half_up, route, shared_depth, slug, token_estimate, tokens
 from ..functions.rules import any_sql, first_of, first_sql, let, quoted
+from ..lineage import cut as shared
 from ..registry import query
 from ..sources.driver_tables import Graph
 
@@ -132,6 +133,42 @@ FREQUENT = 20
 
 
 def shortlist(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFrame:
+    """The ``top`` symbols of each behaviour, as ``shortlist_of`` finds them, from classes of symbols that score alike.
+
+    A score knows a symbol by its title, its file and those of its words that any behaviour has. Symbols alike in all three are
+    one class, which its smallest id stands for. Each class before another holds a symbol that goes before all of the other's, so
+    the first ``top`` symbols are in the first ``top`` classes, and are among the first ``top`` of their own class."""
+    asked = behaviors.select(F.explode(_behavior_words()).alias("word")).distinct()
+    said = symbols.select("id", F.explode(_symbol_words()).alias("word")).join(asked, "word", "left_semi")
+    said = said.groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("said"))
+    like = ["low", "file", "said"]
+    rank = F.row_number().over(Window.partitionBy(*like).orderBy("id"))
+    known = symbols.join(said, "id", "left").withColumn("low", F.lower(F.coalesce("title", F.lit(""))))
+    first = known.withColumn("n", rank).where(F.col("n") <= top).withColumn("rep", F.first("id").over(Window.partitionBy(*like).orderBy("id")))
+    first = shared(first.select("rep", "id", "title", "file", "detail"))
+    of_classes = shortlist_of(behaviors, first.where("id = rep").select("id", "title", "file", "detail").dropDuplicates(["id"]), top)
+    met = of_classes.withColumnRenamed("s_id", "rep").join(first.select("rep", "id", "file"), "rep")
+    best = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("score"), "file", "id"))
+    return met.withColumn("n", best).where(F.col("n") <= top).select("b_id", F.col("id").alias("s_id"), "score")
+
+
+def _cased(*parts) -> Column:
+    return F.concat_ws(" ", *[F.coalesce(p, F.lit("")) if not isinstance(p, str) else p for p in parts])
+
+
+def _behavior_words() -> Column:
+    return tokens(_cased("id", "title", "kind", F.col("source_ref"), _criteria()), stop=LINK_STOP_WORDS)
+
+
+def _criteria() -> Column:
+    return F.array_join(F.coalesce("criteria", F.array().cast("array<string>")), " ")
+
+
+def _symbol_words() -> Column:
+    return tokens(_cased("id", F.col("title"), F.col("file"), F.col("detail")), stop=LINK_STOP_WORDS)
+
+
+def shortlist_of(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFrame:
     """The ``top`` symbols (id, title, file, detail) of each behaviour (id, title, kind, source_ref, criteria) by
     score, then file and id: 10 for each shared word, 6 for each word of the source's path in the file's, 25 when
     the behaviour's text holds the title, 3 for each directory that both paths begin with.
@@ -141,14 +178,12 @@ def shortlist(behaviors: DataFrame, symbols: DataFrame, top: int = 40) -> DataFr
     symbols has (so many times the words of a symbol at most) would make all meet all. What only these tell of a symbol
     is the same for all with the same such words in the same directory, of which the first ``top`` do, and of a behaviour
     for all with the same such words and directory: the best ``top`` are found once for them. No others can be chosen."""
-    cased = lambda *parts: F.concat_ws(" ", *[F.coalesce(p, F.lit("")) if not isinstance(p, str) else p for p in parts])
     words = lambda text: tokens(text, stop=LINK_STOP_WORDS)
-    criteria = F.array_join(F.coalesce("criteria", F.array().cast("array<string>")), " ")
     b = behaviors.select(
-        F.col("id").alias("b_id"), F.coalesce("source_ref", F.lit("")).alias("ref"), F.lower(F.concat_ws(" ", "title", criteria)).alias("b_text"),
-        words(cased("id", "title", "kind", F.col("source_ref"), criteria)).alias("b_words"), words(F.coalesce("source_ref", F.lit(""))).alias("ref_words"),
+        F.col("id").alias("b_id"), F.coalesce("source_ref", F.lit("")).alias("ref"), F.lower(F.concat_ws(" ", "title", _criteria())).alias("b_text"),
+        _behavior_words().alias("b_words"), words(F.coalesce("source_ref", F.lit(""))).alias("ref_words"),
     )
-    s = symbols.select(F.col("id").alias("s_id"), "file", F.lower(F.coalesce("title", F.lit(""))).alias("s_title"), words(cased("id", F.col("title"), F.col("file"), F.col("detail"))).alias("s_words"), words(F.coalesce("file", F.lit(""))).alias("file_words"))
+    s = symbols.select(F.col("id").alias("s_id"), "file", F.lower(F.coalesce("title", F.lit(""))).alias("s_title"), _symbol_words().alias("s_words"), words(F.coalesce("file", F.lit(""))).alias("file_words"))
     # what a title begins with: three letters, or all of a shorter one
     start = F.concat(F.lit("^"), F.substring("s_title", 1, 3))
     pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("b_text") - n + 1, F.lit(1))), lambda i: F.concat(F.lit("^"), F.substring(F.col("b_text"), i, F.lit(n))))

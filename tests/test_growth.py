@@ -71,6 +71,17 @@ def test_files_that_belong_together_are_not_grouped_as_pairs(spark):
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # the pairs of files are given out as they are made
 
 
+def test_symbols_that_score_alike_are_weighed_once(spark, monkeypatch):
+    seen, plain = [], text.shortlist_of
+    monkeypatch.setattr(text, "shortlist_of", lambda b, s, top: seen.append(s.count()) or plain(b, s, top))
+    behaviors = spark.createDataFrame([(f"REQ {w}", f"{w} order", "Requirement", "src/a/x.md", [f"{w} expected"]) for w in ("green", "getUser", "blue")], "id string, title string, kind string, source_ref string, criteria array<string>")
+    symbols = spark.createDataFrame([(f"sym:{f}#fn{n}", t, f, "function") for n, (t, f) in enumerate((t, f) for _ in range(60) for t in ("green", "getUser", "pale blue", None) for f in ("src/a/b.ts", "lib/c.ts"))], "id string, title string, file string, detail string")
+    shown = lambda rows: {tuple(r) for r in rows.select("b_id", "s_id", "score").collect()}
+    found = text.shortlist(behaviors, symbols, 5)
+    assert shown(found) == shown(plain(behaviors, symbols, 5)) and found.count() == 15
+    assert seen == [8]  # of 480 symbols
+
+
 def test_kinds_are_worked_out_for_the_first_targets_alone(spark):
     seen = spark.sparkContext.accumulator(0)
 
