@@ -9,11 +9,13 @@ letters alone, none of them doubled, has one path and stands as it is; one with
 stands beside its likeliest path.
 
 The score is logistic in the evidence of restored words: their log odds between toxic and other
-documents, learned with the character model from a bounded sample of labelled rows
-(``SAMPLE`` documents with distinct texts, the lowest by a hash of the id) that are not held out.
+documents, learned with the character model from all labelled rows with distinct texts that are not
+held out. Words are counted and added up across tasks; the model's letters are counted from the words
+and their counts; its weights come from sums over all those rows, one small job for each round. Only
+the model itself comes to the driver: words with strong evidence, letter trigrams and five weights.
 
 Null text counts as empty; null labels are passed over; of several labels of one id or one text
-the largest counts. Without both labels in the sample every score is the share of label 1, or 0
+the largest counts. Without both labels among them every score is the share of label 1, or 0
 without labels. Repeated rows each get their row; other columns are ignored, and kept by
 ``keep_civil`` whatever their names. An empty table gives no rows. Long texts and long forms are
 read whole.
@@ -27,10 +29,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, batch, lean, remainder, text_bytes
+from .common import arrow_ready, batch, lean, remainder, stored, text_bytes
 from .packing import Recent
 
 #: Letters that a sign may stand for (fixed values).
@@ -40,8 +42,8 @@ STAND_IN, SHORTEN, SKIP = math.log(0.2), math.log(0.3), math.log(0.5)
 #: Words of one letter (fixed values), which the character model doesn't learn, and the cost of ending there.
 LONE, LONE_END = "aeiouyàô", math.log(0.1)
 STRIP = ".,;:!?\"'()[]{}<>#$%&*|-_/\\…«»“”„’‘¿¡~^=+`"
-#: Labelled documents to learn from, at most.
-SAMPLE = 20_000
+#: Keys that a task holds while it counts.
+HELD_KEYS = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 DOUBLE = re.compile(r"(.)\1")
@@ -186,6 +188,8 @@ class Restorer:
 class Evidence(Restorer):
     """Evidence of texts: each form's memo holds only the restored words that the lexicon has."""
 
+    NAMES = ("one", "odds", "best", "places", "forms")
+
     def __init__(self, model: Model):
         super().__init__(model.characters)
         self.lexicon, self.weights, self.prior = model.words, model.weights, model.prior
@@ -205,75 +209,133 @@ class Evidence(Restorer):
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, float(np.dot(self.weights, self.features(text)))))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
-    """Weights of a logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
+def logistic(pairs: DataFrame, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
+    """Weights of a logistic regression of y on x by Newton's method; each round adds up its sums over all rows."""
+    size = len(Evidence.NAMES)
+    w = np.zeros(size)
+    penalty = ridge * np.diag([0.0] + [1.0] * (size - 1)) + 1e-9 * np.eye(size)
+    schema = pa.schema([("place", pa.int32()), ("value", pa.float64())])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
+
+        def summed(batches, w=w):
+            total = np.zeros(size * (size + 1))
+            for b in batches:
+                x = b.column(0).flatten().to_numpy().reshape(-1, size)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+                total += np.concatenate([x.T @ (b.column(1).to_numpy() - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            yield batch(schema, place=np.arange(len(total), dtype=np.int32), value=total)
+
+        sums = np.zeros(size * (size + 1))
+        for r in pairs.mapInArrow(summed, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():  # a row for each sum
+            sums[r.place] = r.value
+        step = np.linalg.solve(sums[size:].reshape(size, size) + penalty, sums[:size] - penalty @ w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w.tolist()
 
 
-def sample(documents: DataFrame, labels: DataFrame, mod: int, held: int, size: int) -> DataFrame:
-    """text and label of labelled documents with distinct texts that are not held out."""
+def text_key() -> Column:
+    return F.unhex(F.md5("text")).alias("key")
+
+
+def texts_of(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+
+
+def marked_texts(documents: DataFrame, labels: DataFrame, mod: int, held: int) -> DataFrame:
+    """key and label of the distinct texts of labelled documents that are not held out, with the smallest doc_id that has
+    each and its number of rows."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id", mod) != held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))  # ``size`` rows
+    keyed = texts_of(documents).select("doc_id", text_key()).join(marked, "doc_id")
+    rows = keyed.groupBy("key", "doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    first = rows.groupBy("key").agg(F.max("toxic").alias("toxic"), F.min(F.struct("doc_id", "n")).alias("first"))
+    return stored(first.select("key", "toxic", "first.*"), "marked")
 
 
-def learn(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, size: int = SAMPLE) -> Model:
-    """``size`` bounds the labelled rows, and so all that comes to the driver."""
-    spark = documents.sparkSession
-    arrow_ready(spark)
-    rows = sample(documents, labels, mod, held, size)
-    schema = pa.schema([("kind", pa.string()), ("key", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+def counted_words(documents: DataFrame, marked: DataFrame) -> DataFrame:
+    """word, toxic and clean: how many of the marked texts have each restored word."""
+    texts = texts_of(documents).withColumn("key", text_key())
+    rows = texts.join(marked.where("n = 1").drop("n"), ["doc_id", "key"]).select("text", "toxic")
+    again = texts.join(marked.where("n > 1").drop("n"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "toxic")  # rows that repeat
 
     def counted(batches):
         restorer = Restorer(None)
-        totals: dict[tuple[str, str], list[int]] = {}
-        for b in batches:
-            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
-                words, _ = restorer.words(text.as_py())
-                for w in words:
-                    totals.setdefault(("word", w), [0, 0])[1 - toxic] += 1
-                    if len(w) > 1:
-                        for g in grams(w):
-                            totals.setdefault(("gram", g), [0, 0])[1 - toxic] += 1
-                totals.setdefault(("all", ""), [0, 0])[1 - toxic] += 1
+        yield from added((w, toxic, 1 - toxic) for b in batches for text, toxic in zip(b.column(0), b.column(1).to_pylist()) for w in restorer.words(text.as_py())[0])
+
+    return tallied(rows.unionByName(again), counted)
+
+
+def counted_grams(words: DataFrame) -> DataFrame:
+    """The same of the letters of those words, each as often as its word."""
+
+    def counted(batches):
+        yield from added((g, t, c) for b in batches for w, t, c in zip(*(x.to_pylist() for x in b.columns)) if len(w) > 1 for g in grams(w))
+
+    return tallied(words, counted)
+
+
+def added(counts):
+    """Batches of keys with their counts added up, ``HELD_KEYS`` of them at once."""
+    schema = pa.schema([("key", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    totals: dict[str, list[int]] = {}
+
+    def given():
         keys = list(totals)
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
-            yield batch(schema, kind=[k for k, _ in part], key=[k for _, k in part], toxic=[totals[k][0] for k in part], clean=[totals[k][1] for k in part])
-
-    counts = rows.mapInArrow(lean(counted), "kind string, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    t, c, k = F.col("toxic"), F.col("clean"), F.col("kind")
-    found = counts.filter((k == "all") | (k == "word") & (t >= 4) | (k == "gram") & (t + c >= 2)).persist()
-    try:
-        total = found.filter(k == "all").agg(F.sum("toxic"), F.sum("clean")).first()
-        n_toxic, n_clean = int(total[0] or 0), int(total[1] or 0)
-        if not n_toxic or not n_clean:
-            return Model(n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0)
-        odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
-        sure = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        top = found.filter((k == "word") & (F.length("key") >= 3)).withColumn("odds", odds).withColumn("sure", sure).filter("odds >= 1.5 and sure >= 3").select("key", "odds").collect()  # bounded by the sample, as the next
-        characters = {r.key: r.n for r in found.filter(k == "gram").select("key", (t + c).alias("n")).collect()}
-    finally:
-        found.unpersist()
-    model = Model(n_toxic / (n_toxic + n_clean), {r.key: float(r.odds) for r in top}, characters, [0.0] * 5)
-    shared = spark.sparkContext.broadcast(model)
+            yield batch(schema, key=part, toxic=[totals[k][0] for k in part], clean=[totals[k][1] for k in part])
+        totals.clear()
+
+    for key, toxic, clean in counts:
+        held = totals.get(key)
+        if held is None:
+            if len(totals) >= HELD_KEYS:
+                yield from given()
+            totals[key] = [toxic, clean]
+        else:
+            held[0] += toxic
+            held[1] += clean
+    yield from given()
+
+
+def tallied(rows: DataFrame, counted) -> DataFrame:
+    return rows.mapInArrow(lean(counted), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def featured(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, key of the text and features of every document."""
+    start = scorer(documents, model)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("x", pa.list_(pa.float64()))])
 
     def measured(batches):
-        evidence = Evidence(shared.value)
+        evidence = start()
         for b in batches:
-            yield batch(pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int32())]), x=[evidence.features(t.as_py()) for t in b.column(0)], y=b.column(1))
+            yield batch(schema, doc_id=b.column(0), key=b.column(2), x=[evidence.features(t.as_py()) for t in b.column(1)])
 
-    pairs = rows.mapInArrow(lean(measured), "x array<double>, y int").collect()
-    model.weights = logistic(np.array([r.x for r in pairs]), np.array([r.y for r in pairs], float))
-    return model
+    rows = texts_of(documents).select("doc_id", "text", text_key())
+    return stored(rows.mapInArrow(lean(measured), "doc_id long, key binary, x array<double>"), "features")
+
+
+def learn(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> tuple[Model, DataFrame | None]:
+    """The model, and the features of all documents if it has weights."""
+    arrow_ready(documents.sparkSession)
+    marked = marked_texts(documents, labels, mod, held)
+    n = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
+    if not n_toxic or not n_clean:
+        return Model(n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.0), None
+    t, c = F.col("toxic"), F.col("clean")
+    words = stored(counted_words(documents, marked), "words")
+    odds = F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+    sure = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    top = words.filter((t >= 4) & (F.length("key") >= 3)).withColumn("odds", odds).withColumn("sure", sure).filter("odds >= 1.5 and sure >= 3").select("key", "odds").collect()  # the lexicon
+    characters = {r.key: r.n for r in counted_grams(words).filter(t + c >= 2).select("key", (t + c).alias("n")).collect()}  # letters by three, two and one
+    model = Model(n_toxic / (n_toxic + n_clean), {r.key: float(r.odds) for r in top}, characters)
+    rows = featured(documents, model)
+    pairs = rows.select("key", "x").join(marked.select("key", "toxic"), "key").dropDuplicates(["key"])
+    model.weights = logistic(stored(pairs.select("x", F.col("toxic").cast("double").alias("y")), "pairs"))
+    return model, rows
 
 
 def scorer(documents: DataFrame, model: Model):
@@ -285,20 +347,16 @@ def scorer(documents: DataFrame, model: Model):
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:
     """doc_id and score of every document."""
-    start = scorer(documents, learn(documents, labels, mod, held))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def scored(batches):
-        evidence = start()
-        for b in batches:
-            yield batch(schema, doc_id=b.column(0), score=[evidence.score(t.as_py()) for t in b.column(1)])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(lean(scored), "doc_id long, score double")
+    model, rows = learn(documents, labels, mod, held)
+    if rows is None:
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(model.prior).alias("score"))
+    total = sum((F.get("x", F.lit(i)) * w for i, w in enumerate(model.weights)), F.lit(0.0))
+    return rows.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), total))))).alias("score"))
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, least: float = 0.5) -> DataFrame:
     """The documents whose score is below ``least``, with their own columns."""
-    start = scorer(documents, learn(documents, labels, mod, held))
+    start = scorer(documents, learn(documents, labels, mod, held)[0])
 
     def civil(batches):
         evidence = start()

@@ -8,8 +8,9 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from evidencia.llm import audit, passages, prefixes
+from evidencia.llm import audit, passages, prefixes, toxicity
 from evidencia.llm.oracles import oracle_sql
 from scripts.compare import compare
 
@@ -181,3 +182,21 @@ def test_a_window_has_the_phrase_of_its_words_alone():
         assert alone.of_windows[0] == text.of_windows[start]
     named = set(text.phrases().tolist())
     assert set(text.of_windows.tolist()) == named
+
+
+# --- toxicity
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_KEYS", 7)
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    rows = [(i, f"calm{word(i % 50)} words here " + ("blorgh" if i % 4 == 0 else "gentle")) for i in range(22000)] + [(5, None), (4, "calm twice"), (4, "calm twice")]
+    documents = spark.createDataFrame([r for r in rows if r[0] < 22000], "doc_id long, text string").withColumn("text", F.concat("text", F.lit(" "), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij")))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(22000)], "doc_id long, toxic int")
+    marked = toxicity.marked_texts(documents, labels, 5, 0)
+    learned = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(22000))
+    assert marked.count() in range(learned, learned + 3)
+    counts = {r.key: (r.toxic, r.clean) for r in toxicity.counted_words(documents, marked).where("key in ('blorgh', 'gentle', 'twice')").collect()}
+    toxic = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(0, 22000, 4))
+    assert counts["blorgh"] == (toxic, 0) and counts["gentle"] == (0, learned - toxic)
+    assert sum(counts.get("twice", (0, 0))) == (zlib.crc32(b"4") % 5 != 0)
