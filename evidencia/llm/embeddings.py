@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import arrow_ready, batch, cut, lean
 from .graph import connected_components
@@ -44,6 +45,8 @@ BLOCK_WIDTH = 3.5
 #: Share of pairs at the least similarity that each count keeps.
 RECALL = 0.998
 SCALE = 1000
+#: Bytes of components in a partition of blocks, about; partitions at least; rows that a task holds before it merges them.
+TILE_BYTES, LEAST_TILES, MOST_HELD = 16 << 20, 8, 1 << 20
 
 
 def projections(dim: int) -> np.ndarray:
@@ -78,56 +81,79 @@ def expected_recall(cosine: float) -> float:
     return 1 - lost
 
 
-def prepared(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim, first projection, components as bytes and their hash; the last four null for unfit vectors."""
-    schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("first", pa.float64()), ("raw", pa.binary()), ("key_a", pa.int64()), ("key_b", pa.int64())])
+def component_type(vectors: DataFrame) -> np.dtype:
+    """How components are kept: as floats if the table has floats, which hold them exactly, else as doubles."""
+    return np.dtype(np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else np.float64)
+
+
+def prepared(vectors: DataFrame, whole: bool = True) -> DataFrame:
+    """vec_id, dim and the hash of the components, null for unfit vectors; ``whole``: with the first projection and the components as bytes."""
+    schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("key_a", pa.int64()), ("key_b", pa.int64())] + [("first", pa.float64()), ("raw", pa.binary())] * whole)
+    kind = component_type(vectors)
 
     def made(batches):
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_128_digest
 
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
         for b in batches:
-            out = {n: [] for n in schema.names}
-            for vec_id, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.array(values if values and None not in values else [], np.float64)
-                norm = float(np.linalg.norm(x / np.abs(x).max())) * float(np.abs(x).max()) if len(x) and np.isfinite(x).all() and x.any() else 0.0
-                row = (vec_id, None, None, None, None, None)
-                if 0 < norm < math.inf:
-                    key = xxh3_128_intdigest((x + 0.0).tobytes())
-                    row = (vec_id, len(x), float((x / norm) @ projections(len(x))[:, 0]), x.tobytes(), signed(key >> 64), signed(key & (1 << 64) - 1))
-                for n, v in zip(schema.names, row):
-                    out[n].append(v)
-            yield batch(schema, **out)
+            lists = b.column(1)
+            values, starts = lists.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), lists.offsets.to_numpy()
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(starts), 0)
+            dims, keys, first, raw = np.zeros(len(sizes), np.int32), np.zeros((len(sizes), 2), np.int64), np.zeros(len(sizes)), [None] * len(sizes)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == dim)
+                x = values[starts[at][:, None] + np.arange(dim)] + 0.0  # null components are not numbers here
+                most = np.abs(x).max(1)
+                good = np.isfinite(x).all(1) & (most > 0)
+                x, at, most = x[good], at[good], most[good, None]
+                with np.errstate(over="ignore"):
+                    norm = np.linalg.norm(x / most, axis=1)[:, None] * most
+                good = np.isfinite(norm[:, 0])
+                x, at, norm = x[good], at[good], norm[good]
+                dims[at], first[at] = dim, (x / norm) @ projections(dim)[:, 0]
+                for i, row in zip(at.tolist(), x.astype(kind)):
+                    raw[i] = row.tobytes()
+                keys[at] = np.frombuffer(b"".join(xxh3_128_digest(raw[i]) for i in at.tolist()), np.int64).reshape(-1, 2)
+            fit = lambda v, t: pa.array(v, t, mask=dims == 0)
+            out = {"vec_id": b.column(0), "dim": fit(dims, pa.int32()), "key_a": fit(keys[:, 0], pa.int64()), "key_b": fit(keys[:, 1], pa.int64())}
+            yield batch(schema, **out, **({"first": fit(first, pa.float64()), "raw": raw} if whole else {}))
 
     arrow_ready(vectors.sparkSession)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(lean(made), "vec_id long, dim int, first double, raw binary, key_a long, key_b long")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(lean(made), "vec_id long, dim int, key_a long, key_b long" + ", first double, raw binary" * whole)
+
 
+def tiles(vectors: DataFrame) -> int:
+    """Partitions of blocks: of about ``TILE_BYTES`` at most, and so many that their pairs use all cores."""
+    size = (vectors.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0) * component_type(vectors).itemsize
+    return max(LEAST_TILES, -(-size // TILE_BYTES), math.isqrt(4 * vectors.sparkSession.sparkContext.defaultParallelism))
 
-def blocks(classes: DataFrame) -> DataFrame:
-    """Sorted runs of classes: block, dim, low and high of the first projection, ids, weights and components as bytes."""
-    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("raw", pa.binary())])
+
+def blocks(classes: DataFrame, parts: int) -> DataFrame:
+    """Sorted runs of classes: block, dim, low and high of the first projection; weight, least vec_id and hash of each class; components as bytes."""
+    each = ["weight", "least", "key_a", "key_b"]
+    schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("low", pa.float64()), ("high", pa.float64())] + [(c, pa.list_(pa.int64())) for c in each] + [("raw", pa.binary())])
 
     def packed(batches):
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         held: list[tuple] = []
 
         def flush():
             nonlocal number, held
-            dim, low, high = held[0][0], held[0][1], held[-1][1]
-            row = batch(schema, block=[number], dim=[dim], low=[low], high=[high], ids=[np.array([r[2] for r in held], np.int64).tobytes()], weights=[np.array([r[3] for r in held], np.int64).tobytes()], raw=[b"".join(r[4] for r in held)])
+            dim, first, raw, *rest = zip(*held)
+            row = batch(schema, block=[number], dim=[dim[0]], low=[first[0]], high=[first[-1]], raw=[b"".join(raw)], **{c: [v] for c, v in zip(each, rest)})
             number, held = number + 1, []
             return row
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("dim", "first", "rep", "weight", "raw"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("dim", "first", "raw", *each))):
                 if held and (held[0][0] != row[0] or len(held) == BLOCK):
                     yield flush()
                 held.append(row)
         if held:
             yield flush()
 
-    ordered = classes.select("dim", "first", "rep", "weight", "raw").repartitionByRange("dim", "first", "rep").sortWithinPartitions("dim", "first", "rep")
-    return ordered.mapInArrow(lean(packed), "block long, dim int, low double, high double, ids binary, weights binary, raw binary")
+    order = ["dim", "first", "key_a", "key_b"]
+    ordered = classes.select("dim", "first", "raw", *each).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(lean(packed), "block long, dim int, low double, high double, weight array<long>, least array<long>, key_a array<long>, key_b array<long>, raw binary")
 
 
 def components_in(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,48 +200,53 @@ def links_between(x: np.ndarray, y: np.ndarray, same: bool, cosine: float) -> tu
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Class, links and smallest class reached, once for each class, of such rows for pairs of blocks."""
+    reps, links, lows = map(np.concatenate, zip(*found))
+    node, place = np.unique(np.concatenate([reps, lows]), return_inverse=True)
+    low = components_in(len(node), place[: len(reps)], place[len(reps) :])
+    return node, np.bincount(place[: len(reps)], links, len(node)).astype(np.int64), node[low]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    rows = cut(prepared(vectors))
-    keys = ["dim", "key_a", "key_b"]
-    grouped = rows.where("dim is not null").groupBy(*keys).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.min_by(F.struct("first", "raw"), F.xxhash64("raw")).alias("one"))
-    classes = cut(grouped.select(*keys, "least", "weight", "one.*", F.monotonically_increasing_id().alias("rep")))
-    run = cut(blocks(classes))
+    keys, kind = ["dim", "key_a", "key_b"], component_type(vectors)
+    classes = prepared(vectors).where("dim is not null").groupBy(*keys).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.min_by(F.struct("first", "raw"), "first").alias("one"))
+    run = cut(blocks(classes.select(*keys, "least", "weight", "one.*"), tiles(vectors)))
     half = block_window(cosine, [r.dim for r in run.select("dim").distinct().collect()])
-    meta = run.select("block", "dim", "low", "high")
-    cell = lambda c: F.floor(c / half).cast("long")
-    left = meta.select(F.col("block").alias("i"), "dim", F.col("low").alias("i_low"), F.col("high").alias("i_high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") + half))).alias("cell"))
-    right = meta.select(F.col("block").alias("j"), "dim", F.col("low").alias("j_low"), cell(F.col("low")).alias("cell"))
-    meet = left.join(right, ["dim", "cell"]).where((F.struct("i_low", "i") <= F.struct("j_low", "j")) & (F.col("j_low") <= F.col("i_high") + half)).select("i", "j")
-    side = lambda c: run.select(F.col("block").alias(c), F.col("dim").alias(f"{c}_dim"), F.col("ids").alias(f"{c}_ids"), F.col("weights").alias(f"{c}_weights"), F.col("raw").alias(f"{c}_raw"))
+    side = lambda c: run.select(F.col("block").alias(c), *(F.col(n).alias(f"{c}_{n}") for n in ("dim", "low", "high", "weight", "raw")))
+    near = (F.col("i_dim") == F.col("j_dim")) & (F.struct("i_low", "i") <= F.struct("j_low", "j")) & (F.col("j_low") <= F.col("i_high") + half)
+    # partitions meet as they lie in the shared folder: a key would shuffle every block to all those near it
+    meet = side("i").hint("shuffle_replicate_nl").join(side("j"), near)
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def compared(batches):
+        found, held = [], 0
         for b in batches:
             for r in range(b.num_rows):
-                get = lambda c, kind: np.frombuffer(b.column(c)[r].as_py(), kind)
-                dim, same = b.column("i_dim")[r].as_py(), b.column("i")[r].as_py() == b.column("j")[r].as_py()
-                ids, weights = (np.concatenate([get(f"i_{c}", np.int64)] + [get(f"j_{c}", np.int64)] * (not same)) for c in ("ids", "weights"))
-                x, y = (get(f"{c}_raw", np.float64).reshape(-1, dim) for c in "ij")
-                i, j = links_between(x, y, same, cosine)
-                if not len(i):
-                    continue
-                j = j if same else j + len(x)
-                links = np.bincount(i, weights[j], len(ids)).astype(np.int64) + np.bincount(j, weights[i], len(ids)).astype(np.int64)
-                order = np.argsort(ids, kind="stable")
-                place = np.empty(len(ids), np.int64)
-                place[order] = np.arange(len(ids))
-                low = ids[order[components_in(len(ids), place[i], place[j])[place]]]
-                linked = links > 0
-                yield batch(schema, rep=ids[linked], links=links[linked], low=low[linked])
-
-    spread = max(8, vectors.sparkSession.sparkContext.defaultParallelism * 2)
-    found = cut(meet.join(side("i"), "i").join(side("j"), "j").repartition(spread, F.xxhash64("i", "j")).mapInArrow(lean(compared), "rep long, links long, low long"))
+                get = lambda c: b.column(c)[r].as_py()
+                weights_x, weights_y = (b.column(f"{c}_weight")[r].values.to_numpy() for c in "ij")
+                x, y = (np.frombuffer(get(f"{c}_raw"), kind).reshape(-1, get("i_dim")).astype(np.float64) for c in "ij")
+                ids_x, ids_y = ((get(c) << 24) + np.arange(len(v)) for c, v in (("i", x), ("j", y)))
+                i, j = links_between(x, y, get("i") == get("j"), cosine)
+                if len(i):
+                    found.append(merged([(ids_x[i], weights_y[j], ids_y[j]), (ids_y[j], weights_x[i], ids_x[i])]))
+                    held += len(found[-1][0])
+                if held > MOST_HELD:
+                    found = [merged(found)]
+                    held = 0
+        if found:
+            rep, links, low = merged(found)
+            for at in range(0, len(rep), 1 << 16):
+                yield batch(schema, **{n: v[at : at + (1 << 16)] for n, v in (("rep", rep), ("links", links), ("low", low))})
+
+    found = cut(meet.select("i", "i_dim", "i_weight", "i_raw", "j", "j_weight", "j_raw").mapInArrow(lean(compared), "rep long, links long, low long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    known = classes.select(*keys, "rep", "least", "weight").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(*keys, "least", "weight", "links", F.coalesce("component", "rep").alias("group"))
+    known = run.select("block", "dim", F.posexplode(F.arrays_zip("key_a", "key_b", "least", "weight")).alias("place", "c")).select((F.shiftleft("block", 24) + F.col("place")).alias("rep"), "dim", "c.*")
+    known = known.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(*keys, "least", "weight", "links", F.coalesce("component", "rep").alias("group"))
     known = cut(known)
     smallest = known.groupBy("group").agg(F.min("least").alias("component_id"))
     of_class = known.join(smallest, "group").select(*keys, "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("vec_id", *keys).join(of_class, keys, "left")
+    out = prepared(vectors, whole=False).join(of_class, keys, "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -183,6 +183,29 @@ def test_narrow_blocks_lose_no_pairs_at_the_least_similarity(spark, monkeypatch)
     assert linked >= 0.99 * 800, linked
 
 
+@pytest.mark.parametrize("parts, held", [(8, 1 << 20), (3, 1)])
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch, parts, held):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "LEAST_TILES", parts)
+    monkeypatch.setattr(embeddings, "MOST_HELD", held)
+    plans, plain = [], embeddings.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(embeddings, "cut", cut)
+    g = np.random.default_rng(5)
+    base = g.standard_normal((30, 16)).astype(np.float32)
+    rows = [(i, (base[i % 30] * (1 + i % 3) + 0.02 * (i % 7) * g.standard_normal(16)).astype(np.float32).tolist()) for i in range(300)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    want = brute_vectors(rows, 0.95)
+    assert sum(n for _, n, _ in want) > 2000 and sum(n for _, n, _ in got) >= 0.99 * sum(n for _, n, _ in want)
+    assert sum(a == b for a, b in zip(got, want)) >= 0.9 * len(want)
+    pairs = [p for p in plans if "j_raw" in p]
+    assert len(pairs) == 1 and "Exchange" not in pairs[0]
+
+
 def test_counts_are_calibrated():
     assert embeddings.least_count(24, 0.9545, 0.998) == 19
     assert embeddings.least_count(8, 1.0, 0.9) == 8
