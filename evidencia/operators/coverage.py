@@ -145,15 +145,16 @@ def _impact(g: Graph) -> DataFrame:
 
 @query("stale_tests", ("generated", "changed_files", "symbols"), "select distinct g.test_id from generated g join symbols s on s.external_id = g.entity_id where s.file in (select file from changed_files)")
 def _stale(g: Graph) -> DataFrame:
-    """Generated tests that rest on a changed file."""
+    """Generated tests that rest on a changed file. Symbols are hashed, so that the many more tests are not sorted by their targets,
+    and tests are dealt out before they are made distinct, as few of one test share a task until then."""
     files = g.symbols.join(g.changed_files, "file", "left_semi").select(F.col("external_id").alias("entity_id"))
-    return g.generated.join(files, "entity_id", "left_semi").select("test_id").distinct()
+    return g.generated.join(files.hint("shuffle_hash"), "entity_id", "left_semi").select("test_id").repartition("test_id").distinct()
 
 
 @query("citation_validation", ("generated", "nodes"), "select test_id, count(*) as cited, count(n.external_id) as valid, count(*) - count(n.external_id) as invalid from generated g left join nodes n on n.external_id = g.entity_id group by test_id")
 def _citations(g: Graph) -> DataFrame:
     known = g.nodes.select(F.col("external_id").alias("entity_id"), F.lit(1).alias("known")).dropDuplicates(["entity_id"])
-    rows = g.generated.join(known, "entity_id", "left").groupBy("test_id")
+    rows = g.generated.join(known.hint("shuffle_hash"), "entity_id", "left").groupBy("test_id")
     return rows.agg(F.count("*").alias("cited"), F.count("known").alias("valid"), (F.count("*") - F.count("known")).alias("invalid"))
 
 

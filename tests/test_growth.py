@@ -103,3 +103,10 @@ def test_no_task_ranks_all_owners(spark):
     assert not [line for line in plan.splitlines() if "row_number()" in line and "run#" not in line]
     ranks = [r.rank for r in found.orderBy("rank").collect()]
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_generated_tests_are_not_sorted_by_their_targets(spark):
+    g = Graph(spark, DIR)
+    stale, cited = (f(g)._jdf.queryExecution().executedPlan().toString() for f in (coverage._stale, coverage._citations))
+    assert all("ShuffledHashJoin [entity_id" in p and "Sort [entity_id" not in p for p in (stale, cited))
+    assert stale.index("HashAggregate(keys=[test_id") < stale.index("Exchange hashpartitioning(test_id") < stale.index("ShuffledHashJoin") and stale.count("HashAggregate(keys=[test_id", stale.index("Exchange hashpartitioning(test_id")) == 0
