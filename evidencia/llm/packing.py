@@ -26,10 +26,11 @@ from .common import arrow_ready, batch, lean, row_base, text_bytes
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("batch_id", pa.int64())])
 DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, batch_id long"
 
-#: Chunks whose pre-tokens the standard library's patterns find as the tokenizer does:
-#: printable ASCII and precomposed Latin letters, which normalisation leaves alone.
-PLAIN = re.compile("[\x21-\x7eÀ-įı-ž]*")
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Texts and chunks whose pre-tokens the standard library's patterns find as the tokenizer does:
+#: printable ASCII, ASCII white space and precomposed Latin letters, which normalisation leaves alone.
+PLAIN = re.compile("[\t-\r\x20-\x7eÀ-įı-ž]*")
+LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ž"
+PRE_TOKEN = re.compile(rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9{LETTERS}]+")
 
 
 class Recent(dict):
@@ -65,12 +66,13 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space, so a text's ids are those of its chunks between ASCII
-    white space, one after the other, and a memo of chunks saves most of the work. Chunks
-    outside ``PLAIN``, or with a special token's string, go through the whole tokenizer.
+    The tokenizer drops white space, so a text's ids are those of its pre-tokens, one after the
+    other, and a memo of pre-tokens saves most of the work. Of a text that isn't ``PLAIN``, or
+    holds a special token's string, the chunks between ASCII white space are told apart, and those
+    that are the reason go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,31 +80,31 @@ class Encoder:
         self.letters = byte_letters()
         self.four = struct.Struct("<I").pack
         self.words = Recent(self._word, memo)
-        self.chunks = Recent(self._chunk, memo)
         for probe in PROBES:
             plain = b"".join(map(self.four, self.tokenizer.encode(probe, add_special_tokens=False).ids))
             if self.encode(probe.encode()) != plain:
-                raise ValueError(f"{path}: this tokenizer doesn't lower case, split and encode as the memo of chunks does")
+                raise ValueError(f"{path}: this tokenizer doesn't lower case, split and encode as the memo of pre-tokens does")
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
         found = self.model.tokenize(shown)
         return self.four(found[0].id) if len(found) == 1 else b"".join([self.four(t.id) for t in found])
 
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if chunk.isalpha():
-            return self.words[text.lower()]
-        if chunk[:-1].isalpha() and text[-1] in ".,;:!?":
-            return self.words[text[:-1].lower()] + self.words[text[-1]]
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(text.lower())))
 
+    def _chunk(self, text: str) -> bytes:
+        if "<|" in text or not PLAIN.fullmatch(text):
+            return b"".join(map(self.four, self.tokenizer.encode(text, add_special_tokens=False).ids))
+        return self._plain(text)
+
     def encode(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # else lower case could turn a text's own words into a special token's string
+        whole = text.decode()
+        if "<|" not in whole and PLAIN.fullmatch(whole):
+            return self._plain(whole)
+        if "<|" not in whole:  # else lower case could turn a text's own words into a special token's string
             text = text.lower()
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return b"".join([self._chunk(chunk.decode()) for chunk in text.split()])
 
 
 def cuts(tokens: int, max_tokens: int) -> Iterator[tuple[int, int]]:

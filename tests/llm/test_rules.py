@@ -291,3 +291,15 @@ def test_stages_take_odd_documents(spark):
     name, stage = corpus_pipeline.STAGES[-1]
     assert {r.doc_id for r in stage(spark, documents, SMALL).select("doc_id").distinct().collect()} == {r.doc_id for r in documents.select("doc_id").distinct().collect()}
     assert stage(spark, documents.limit(0), SMALL).count() == 0
+
+
+def test_plain_texts_are_told_apart_by_pre_tokens_alone(monkeypatch):
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), memo=8)
+    wanted = lambda t: np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    odd = ["a <|endoftext|> B\tc", "\x1cone\x1ftwo three Ünï̇", "İSTANBUL ſtraße ×÷ 中文 ２３", "x\u0085y\n<| Z"]
+    assert [encoder.encode(t.encode()) for t in odd] == [wanted(t) for t in odd]
+    monkeypatch.setattr(encoder, "_chunk", None)
+    plain = ["It's THEY'RE 'tis \"don't\"!\n\tA1b22_c-d×e÷f Été\x0bœuvre\x0cŸ ĳ", "", " \r\n", "w0rd w1rd, " * 30 + "'s'll'x''ve"]
+    assert [encoder.encode(t.encode()) for t in plain] == [wanted(t) for t in plain]
