@@ -24,6 +24,8 @@ one makes a block of its own size. An empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,8 +42,8 @@ BLOCK_BYTES, LEAST_BLOCKS = 2 << 20, 256
 #: Stands for rows without a doc_id.
 NO_ID = (1 << 63) - 1
 NOTHING = np.uint64((1 << 64) - 1)
-#: Words of a block are numbered from this character on, in so many numbers.
-FIRST_CHARACTER, CHARACTERS = 0x10000, 0x100000
+#: A word of a block is so many characters, from this one on, so that no state of an automaton has many ways out of it.
+DIGITS, FIRST_CHARACTER = 2, 0x10000
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -52,15 +54,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words."""
+    """A hash of each run of k words: a polynomial in ODD, put together from those of runs of 1, 2, 4 words and so on."""
     n = len(hashes) - k + 1
-    s = hashes[:n].copy()
-    for i in range(1, k):
-        s *= ODD
-        s += hashes[i : i + n]
+    parts = [np.ascontiguousarray(hashes)]
+    while 2 << len(parts) - 1 <= k:
+        size = 1 << len(parts) - 1
+        parts.append(parts[-1][:-size] * times(size) + parts[-1][size:])
+    s, done = parts[-1][:n].copy(), 1 << len(parts) - 1
+    for i in range(len(parts) - 2, -1, -1):
+        if k >> i & 1:
+            s *= times(1 << i)
+            s += parts[i][done : done + n]
+            done += 1 << i
     return mix(s)
 
 
+def times(k: int) -> np.uint64:
+    """ODD to the power of k."""
+    return np.uint64(pow(int(ODD), k, 1 << 64))
+
+
 def sliding(least, a: np.ndarray, k: int) -> np.ndarray:
     """``least`` (np.minimum or np.maximum) of each run of k numbers."""
     size = 1
@@ -93,8 +106,9 @@ class Text:
         held = np.where(at, self.runs, NOTHING)
         return np.flatnonzero(at.any() and (sliding(np.minimum, held, self.window - self.length + 1) == self.of_windows))
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        return rolled(self.hashes[:, 0], self.window).view(np.int64), rolled(self.hashes[:, 1], self.window).view(np.int64)
+    def digests(self, half: int) -> np.ndarray:
+        """One of the two halves of each window's digest."""
+        return rolled(self.hashes[:, half], self.window).view(np.int64)
 
 
 def texts(rows: pa.Table, window: int):
@@ -139,12 +153,14 @@ def window_keepers(docs: DataFrame, phrases: DataFrame, window: int) -> DataFram
             if t.long_enough and len(recurring):
                 at = recurring[np.minimum(np.searchsorted(recurring, t.runs.view(np.int64)), len(recurring) - 1)] == t.runs.view(np.int64)
                 starts = t.recurring(at)
-                x, y = t.digests()
-                a.append(x[starts]), b.append(y[starts]), ids.append(np.full(len(starts), doc_id))
+                if len(starts):
+                    a.append(t.digests(0)[starts]), b.append(t.digests(1)[starts]), ids.append(np.full(len(starts), doc_id))
         if not a:
             return WINDOWS.empty_table()
         a, b, ids = map(np.concatenate, (a, b, ids))
-        _, first = np.unique(np.stack([a, b], 1).view([("a", np.int64), ("b", np.int64)]).ravel(), return_index=True)  # the rows' order is that of doc_id
+        order = np.lexsort((b, a))  # equal ones stay in the order of doc_id
+        a, b, ids = a[order], b[order], ids[order]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         release()
         return pa.table([a[first], b[first], ids[first]], schema=WINDOWS)
 
@@ -152,6 +168,17 @@ def window_keepers(docs: DataFrame, phrases: DataFrame, window: int) -> DataFram
     return each.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "a")
 
 
+def spelled(words: np.ndarray) -> str:
+    """The words in characters, ``DIGITS`` to a word: the digits of its number among the block's words. Each place has
+    characters of its own, so that a phrase is only found where a word begins."""
+    known, number = np.unique(words, return_inverse=True)
+    base = 1
+    while base**DIGITS < len(known):
+        base += 1
+    digits = np.stack([number // base**i % base + i * base for i in range(DIGITS)], 1)
+    return (digits + FIRST_CHARACTER).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def hits(block: list[Text], recurring: np.ndarray) -> list[np.ndarray]:
     """For each text the mask of its places where a recurring phrase stands, found by the block's automaton."""
     import ahocorasick
@@ -160,21 +187,20 @@ def hits(block: list[Text], recurring: np.ndarray) -> list[np.ndarray]:
     masks = {id(t): np.zeros(len(t.runs), bool) for t in long}
     if not long or not len(recurring):
         return [masks.get(id(t)) for t in block]
-    _, number = np.unique(np.concatenate([t.hashes[:, 0] for t in long]), return_inverse=True)
-    line = (number % CHARACTERS + FIRST_CHARACTER).astype("<u4").tobytes().decode("utf-32-le")
+    line = spelled(np.concatenate([t.hashes[:, 0] for t in long]))
     runs = np.concatenate([np.concatenate([t.runs.view(np.int64), np.zeros(t.length - 1, np.int64)]) for t in long])
     phrase, first = np.unique(runs, return_index=True)
     first = first[np.isin(phrase, recurring, assume_unique=True)]
     length, automaton = long[0].length, ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i in first.tolist():
-        automaton.add_word(line[i : i + length], i)
+        automaton.add_word(line[DIGITS * i : DIGITS * (i + length)], i)
     automaton.make_automaton()
     at = 0
     for t in long:
         # a text's last places, too short for a phrase, have none in the block either, as texts are streamed one by one
-        for end, i in automaton.iter(line[at : at + len(t.words)]):
-            start = end - length + 1
-            masks[id(t)][start] = runs[at + start] == runs[i]
+        found = np.fromiter(chain.from_iterable(automaton.iter(line[DIGITS * at : DIGITS * (at + len(t.words))])), np.int64).reshape(-1, 2)
+        start = found[:, 0] // DIGITS - length + 1
+        masks[id(t)][start] = runs[at + start] == runs[found[:, 1]]
         at += len(t.words)
     return [masks.get(id(t)) for t in block]
 
@@ -195,7 +221,7 @@ def without_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
             gone = np.zeros(len(t.words) + 1, np.int64)
             if mask is not None and len(starts := t.recurring(mask)):
                 own = kept_window[np.searchsorted(keeper, doc_id) : np.searchsorted(keeper, doc_id, "right")]
-                digest = t.digests()[0][starts]
+                digest = t.digests(0)[starts]
                 first = np.zeros(len(starts), bool)
                 first[np.unique(digest, return_index=True)[1]] = True
                 later = starts[~(first & np.isin(digest, own))]

@@ -303,3 +303,19 @@ def test_plain_texts_are_told_apart_by_pre_tokens_alone(monkeypatch):
     monkeypatch.setattr(encoder, "_chunk", None)
     plain = ["It's THEY'RE 'tis \"don't\"!\n\tA1b22_c-d×e÷f Été\x0bœuvre\x0cŸ ĳ", "", " \r\n", "w0rd w1rd, " * 30 + "'s'll'x''ve"]
     assert [encoder.encode(t.encode()) for t in plain] == [wanted(t) for t in plain]
+
+
+def test_phrases_are_found_with_few_ways_out_of_a_state(spark):
+    from evidencia.llm import passages
+
+    g = random.Random(3)
+    lines = [" ".join(f"w{g.randrange(3000)}" for _ in range(400)).encode() for _ in range(12)]
+    lines += [b" ".join(lines[i].split()[100:160] + lines[i + 1].split()[7:40]) for i in range(6)] + [b"short"]
+    block = [passages.Text(x, 20) for x in lines]
+    runs = np.concatenate([t.runs for t in block if t.long_enough]).view(np.int64)
+    recurring = np.unique(runs)[::3]
+    found = passages.hits(block, recurring)
+    assert [m is None for m in found] == [not t.long_enough for t in block]
+    assert all((m == np.isin(t.runs.view(np.int64), recurring)).all() for t, m in zip(block, found) if m is not None)
+    known = np.arange(3000, dtype=np.uint64)
+    assert len(set(passages.spelled(known))) <= 2 * 55 and len(passages.spelled(known)) == 2 * 3000
