@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from evidencia import lineage
 from evidencia.operators import barrels, calls, coverage, selection, symbols, text
+from evidencia.plans import flows
 from evidencia.sources.driver_tables import RUN, Graph, numbered
 
 DIR = "/root/testdata/sf0.001"
@@ -110,3 +112,15 @@ def test_generated_tests_are_not_sorted_by_their_targets(spark):
     stale, cited = (f(g)._jdf.queryExecution().executedPlan().toString() for f in (coverage._stale, coverage._citations))
     assert all("ShuffledHashJoin [entity_id" in p and "Sort [entity_id" not in p for p in (stale, cited))
     assert stale.index("HashAggregate(keys=[test_id") < stale.index("Exchange hashpartitioning(test_id") < stale.index("ShuffledHashJoin") and stale.count("HashAggregate(keys=[test_id", stale.index("Exchange hashpartitioning(test_id")) == 0
+
+
+def test_entries_are_ranked_from_written_tables_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MANY", 100)
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    read = lambda rows: [line for line in plan(rows).splitlines() if "Relation [" in line or "LogicalRDD" in line]
+    seen, plain = [], flows.Flows
+    monkeypatch.setattr(flows, "Flows", lambda g: seen.append(plain(g)) or seen[-1])
+    assert len(read(flows._entry_ranking(Graph(spark, DIR)))) == 1
+    assert len(read(seen[0].calls)) == 1
+    joins = [line for line in plan(seen[0].ranked).splitlines() if "Join " in line]
+    assert len(joins) > 3 and all("strategy=merge" in line for line in joins)
